@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import repeated_lines, split_items, top_n
+from quillmill.llm import quality, repeated_lines, spam, split_items, top_n
 from quillmill.runtime import table
 
 
@@ -41,5 +41,26 @@ def p5_ranked(spark: SparkSession, d: str) -> DataFrame:
     return top_n.top_items(table(spark, d, "content_atoms"), 3)
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "content_reservoir").select(F.col("id").alias("item_id"), F.col("raw_text").alias("text"))
+    return a.union(table(spark, d, "raw_ingest").select("id", "raw_content"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.junk(_texts(spark, d), "item_id", "text").distinct()
+
+
+def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.with_statistics(_texts(spark, d), "text").drop("text").dropDuplicates(["item_id"])
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam(table(spark, d, "documents"))
+
+
+def p10_measures(spark: SparkSession, d: str) -> DataFrame:
+    return spam.judged(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
