@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import quality, repeated_lines, spam, split_items, top_n
+from quillmill.llm import leakage, quality, repeated_lines, spam, split_items, top_n
 from quillmill.runtime import table
 
 
@@ -54,6 +54,10 @@ def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.with_statistics(_texts(spark, d), "text").drop("text").dropDuplicates(["item_id"])
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam(table(spark, d, "documents"))
 

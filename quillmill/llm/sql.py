@@ -28,10 +28,20 @@ p AS (SELECT *, row_number() OVER (PARTITION BY pillar, batch_id ORDER BY score
 """
 
 
+P9_FOUND = r"""
+WITH w AS (SELECT doc_id, string_split_regex(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS a FROM documents WHERE text IS NOT NULL),
+v AS (SELECT item_id, string_split_regex(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS a FROM eval_items WHERE text IS NOT NULL),
+d AS (SELECT doc_id, array_to_string(a[i:i + 12], ' ') AS g FROM w, range(1, greatest(len(a) - 11, 1)) AS r(i)),
+e AS (SELECT DISTINCT item_id, array_to_string(a[i:i + 12], ' ') AS g FROM v, range(1, greatest(len(a) - 11, 1)) AS r(i))
+SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND,
         "p2_found": P2_FOUND,
+        "p9_found": P9_FOUND,
         "p5_found": _P5 + "SELECT id FROM p WHERE position <= 3",
         "p5_ranked": _P5 + "SELECT pillar, batch_id, id, score, CAST(position AS BIGINT) AS position FROM p WHERE position <= 3",
     }
