@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import leakage, quality, repeated_lines, spam, split_items, top_n
+from quillmill.llm import leakage, main_body, quality, repeated_lines, spam, split_items, top_n
 from quillmill.runtime import table
 
 
@@ -41,6 +41,20 @@ def p5_ranked(spark: SparkSession, d: str) -> DataFrame:
     return top_n.top_items(table(spark, d, "content_atoms"), 3)
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    author = F.concat(F.lit("a:"), repeated_lines.author_key(F.col("source_author")))
+    blog = table(spark, d, "content_reservoir").filter("source_type = 'BLOG'").select(F.col("id").alias("item_id"), F.col("raw_text").alias("text"), F.col("raw_title").alias("title"), author.alias("source"))
+    return blog.union(table(spark, d, "raw_ingest").select("id", "raw_content", "raw_title", main_body.source_of_url(F.col("source_url"))))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return main_body.furniture(_pages(spark, d))
+
+
+def p3_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return main_body.main_bodies(_pages(spark, d)).drop("text")
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "content_reservoir").select(F.col("id").alias("item_id"), F.col("raw_text").alias("text"))
     return a.union(table(spark, d, "raw_ingest").select("id", "raw_content"))
