@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import leakage, main_body, quality, repeated_lines, spam, split_items, top_n
+from quillmill.llm import history, leakage, main_body, quality, repeated_lines, spam, split_items, top_n
 from quillmill.runtime import table
 
 
@@ -55,6 +55,19 @@ def p3_bodies(spark: SparkSession, d: str) -> DataFrame:
     return main_body.main_bodies(_pages(spark, d)).drop("text")
 
 
+def _arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """src, id, kind (0 accepted, 1 new), ts, text, url of all rows that count."""
+    old = table(spark, d, "content_reservoir").select(F.lit("reservoir").alias("src"), "id", F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("ts"), F.col("raw_text").alias("text"), F.lit(None).cast("string").alias("url"))
+    kind = F.when(F.col("status") == "PENDING", 1).otherwise(0)
+    raw = table(spark, d, "raw_ingest").filter("status in ('PASSED', 'PENDING') and id is not null")
+    return old.union(raw.select(F.lit("ingest"), "id", kind, F.when(kind == 1, F.col("ingested_at")), "raw_content", "source_url"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _arrivals(spark, d)
+    return history.by_content(rows.drop("url")).union(history.by_address(rows.drop("text"))).distinct()
+
+
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "content_reservoir").select(F.col("id").alias("item_id"), F.col("raw_text").alias("text"))
     return a.union(table(spark, d, "raw_ingest").select("id", "raw_content"))
