@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import history, leakage, main_body, quality, repeated_lines, spam, split_items, top_n
+from quillmill.llm import history, leakage, main_body, packing, quality, repeated_lines, spam, split_items, top_n
 from quillmill.runtime import table
 
 
@@ -81,6 +81,14 @@ def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
     return quality.with_statistics(_texts(spark, d), "text").drop("text").dropDuplicates(["item_id"])
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(packing.packed(table(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
