@@ -43,20 +43,20 @@ _MARK = re.compile(r"^(?:[-–•*·☐›>]|\[[ x]?\]|\(?\d{1,3}[.)])\s+\S")
 _NAV = frozenset("home about contact login menu search archive archives topics shop store newsletter podcast courses events books press faq members essays community start-here blog rss imprint privacy account cart categories videos subscribe donate advertise".split())
 _SEPS = re.compile(r"[|·›»/•>]|\s{2,}|\s[–-]\s")
 _CUE = re.compile(
-    r"(?:use|cookies?\?|verwenden|usamos|utilisons) ?(?:des )?cookies|cookies\? only|cookie (?:settings|policy|notice)|privacy (?:policy|matters|notice)|\| privacy|consent choices|data to measure|datenschutz|subscribe (?:for|\||to .*(?:never|e-?mail|updates))|unsubscribe|sign(?:ed)? up (?:free|at|for|now|today)|all rights|copyright \d|copyright ©|©|terms of use|imprint|"
+    r"(?<![a-z])(?:(?:use|cookies?\?|verwenden|usamos|utilisons) ?(?:des )?cookies|cookies\? only|cookie (?:settings|policy|notice)|privacy (?:policy|matters|notice)|\| privacy|consent choices|data to measure|datenschutz|subscribe (?:for|\||to .*(?:never|e-?mail|updates))|unsubscribe|sign(?:ed)? up (?:free|at|for|now|today)|all rights|copyright \d|copyright ©|terms of use|imprint|"
     r"required fields|e-?mail address|leave a (?:reply|comment)|\bcomments?\b|\blikes?\b.*\bshares?\b|share (?:this:|it with)|follow (?:us:|[a-z]+ [a-z]+ (?:for|on))|\brss\b|back to (?:top|the)|"
     r"report an error|older posts|newer posts|powered by|some links|commission|affiliate|min(?:ute)?s? read|last updated|\bby the\b.*\beditors\b|popular (?:this|now|posts)|recent posts|"
-    r"filed under|posted (?:in|on|by)|^tags?:|^published\b|related:|you may also like|recommended for you|read next|^next:|^← ?|previous:|→$|"
-    r"advertisement|sponsored|brought to you|use code|% off|story continues|download the|free worksheet|image credit|\[photo|photo:|photo by|"
+    r"filed under|posted (?:in|on|by)|^tags?:|^published\b|related:|you may also like|recommended for you|read next|^next:|^← ?|previous:|"
+    r"advertisement|sponsored|brought to you|use code|story continues|download the|free worksheet|image credit|\[photo|photo:|photo by|"
     r"skip to|toggle navigation|you are here|search this site|save this|like this\?|tap the heart|if this helped|thanks for reading|printed from|you are receiving|"
     r"information (?:only|purposes)|medical advice|views expressed|property of|transcribed by|errors are ours|about the author|written by|writing from|founder of|"
     r"join [\d,.]+ |listen on|episode \d|in this week's podcast|readers inside|we send one letter|join [\d.,]+ readers|workbook for|in our shop|is a small magazine|hello at|^contact:|may use your data|stores small files|accept all|aceptar|akzeptieren|accepter|ok / no thanks|"
-    r"reproduced without|written permission|letters on an? |subscribers|enter your email|^by [a-z]+ [a-z]+ ?\||reply from|lives with|consult a|^[a-z]+ [a-z]+ \| ",
-    re.I,
+    r"reproduced without|written permission|letters on an? |subscribers|enter your email|^by [a-z]+ [a-z]+ ?\||reply from|lives with|consult a|^[a-z]+ [a-z]+ \| )|©|→$|% off",
 )
 _COMMENT = re.compile(r"^(?:reply from\s+)?\S*[a-z]\d{1,4}(?:,\s*[\d.\-/]+| says| wrote)?\s*:", re.I)
 _DATE = re.compile(r"\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b")
 _CRUMB = re.compile(r"^(?:you are here|home|start|[a-z-]+)\s*[›»>/:]\s*\S", re.I)
+_DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 _EDGE = re.compile(r"^\W+|\W+$")
 
@@ -82,10 +82,12 @@ def features(lines: list[tuple[int, str, str]], title: str | None) -> np.ndarray
     want = _EDGE.sub("", _SPACE.sub(" ", title)).lower() if title else None
     cues = np.zeros(n, np.float32)
     long_ = np.zeros(n, np.float32)
+    table: list[list[float]] = []
     for j, (_, raw, bare) in enumerate(lines):
         toks = bare.split(" ")
         k = len(toks)
-        row = x[j]
+        row = [0.0] * len(NAMES)
+        table.append(row)
         row[0] = min(k, 60)
         if "<a" in raw or "http" in raw or "www." in raw:
             row[1] = min(1.0, sum(len(_TAGS.sub("", m)) for m in _LINK.findall(raw)) / len(bare))
@@ -101,19 +103,21 @@ def features(lines: list[tuple[int, str, str]], title: str | None) -> np.ndarray
         else:
             row[13] = 1.0
         if k <= 40:
-            bits = [t.strip(".,:;|·/»›>–-…!? ") for t in low.split(" ")]
+            bits = [t.strip(".,:;|·/»›>–-…!? ") for t in low.split(" ")] if k <= 16 else low.split(" ")
             bits = [b for b in bits if b]
-            row[14] = sum(b in _NAV for b in bits) / max(1, len(bits))
+            row[14] = sum(map(_NAV.__contains__, bits)) / max(1, len(bits))
             row[15] = len(_SEPS.findall(raw.strip() if "<" not in raw else bare))
-            row[16] = sum(c.isdigit() for c in bare) / len(bare)
+            row[16] = sum(map(len, _DIGITS.findall(bare))) / len(bare)
             row[17] = 1.0 if _DATE.search(bare) else 0.0
             row[20] = 1.0 if _COMMENT.match(bare) else 0.0
             row[21] = 1.0 if _CRUMB.match(bare) else 0.0
             row[22] = 1.0 if bare.isupper() else 0.0
-            row[23] = sum(b in _COMMON for b in bits) / max(1, len(bits))
+            row[23] = sum(map(_COMMON.__contains__, bits)) / max(1, len(bits))
         row[18] = 1.0 if _MARK.match(bare) else 0.0
         if want and _EDGE.sub("", low) == want:
             row[19] = 1.0
+    if n:
+        x[:] = table
     w = x[:, 0]
     # a sentence that no cue speaks against; what stands after the last of them is the page's tail
     body = (x[:, 10] > 0) & (w >= 4) & (cues == 0) & (x[:, 20] == 0)
@@ -399,7 +403,8 @@ def _filled(template: str, r: random.Random, site: dict[str, str]) -> str:
         if k == "W":
             return r.choice([*_NOUN, "palvel", "torken", "mindri"])
         if k == "T":
-            return clause().capitalize()
+            first = r.choice(["", "", "", "Learning to hold ", "The part of you that ", "A fear of losing ", "Whoever often "])
+            return first + clause() if first else clause().capitalize()
         if k == "P":
             return f"{clause()} {r.choice(_TAIL)}{r.choice(['.', '.', '?'])}".capitalize()
         if k == "F":
@@ -481,8 +486,8 @@ def is_prose(lines: list[tuple[int, str, str]], x: np.ndarray) -> bool:
     prose = sum(k for k, f in zip(toks, x) if k >= 7 or (k >= 2 and f[10]))
     if not total or prose < 0.4 * total:
         return False
-    words = re.findall(r"[^\W_]+", " ".join(b for _, _, b in lines).lower())
-    return bool(words) and sum(map(_COMMON.__contains__, words)) >= 0.12 * len(words)
+    words = " ".join(b for _, _, b in lines).lower().split(" ")
+    return sum(map(_COMMON.__contains__, words)) >= 0.12 * len(words)
 
 
 def _classifier(model: Tree):
