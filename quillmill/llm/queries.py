@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import history, leakage, main_body, packing, quality, repeated_lines, spam, split_items, top_n
+from quillmill.llm import history, leakage, main_body, packing, quality, repeated_lines, scanned, spam, split_items, top_n
 from quillmill.runtime import table
 
 
@@ -33,6 +33,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return a.union(b)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.found_defects(table(spark, d, "extraction_results"), table(spark, d, "chunks"), ["doc_id", "chunk_index"])
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.repaired(table(spark, d, "extraction_results"), table(spark, d, "chunks"), ["doc_id", "chunk_index"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n.top_items(table(spark, d, "content_atoms"), 3).select("id").distinct()
 
