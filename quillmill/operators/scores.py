@@ -61,11 +61,11 @@ def tension(text: Column) -> Column:
 def blamed(low: Column, terms: list[str] = L.BLAME, reach: int = 50) -> Column:
     """Whether a blame term has a negation or contrast within ``reach`` characters before or from its start.
 
-    The text is cut at the terms; a fold carries the last ``reach`` characters, so the cost is
+    The text is cut at the terms (each search starts where the last ended, or fails at once); a fold carries the last ``reach`` characters, so the cost is
     linear in the text however many terms it has.
     """
     any_term = "(?:" + "|".join(terms) + r")\b"
-    pattern = rf"(?sU)(.*?)\b(?={any_term})(?=(.{{0,{reach}}}))({any_term})"
+    pattern = rf"(?sU)\G(.*?)\b(?={any_term})(?=(.{{0,{reach}}}))({any_term})"
     between, ahead, term = (F.regexp_extract_all(low, F.lit(pattern), F.lit(k)) for k in (1, 2, 3))
     parts = F.arrays_zip(between.alias("b"), ahead.alias("a"), term.alias("t"))
     zero = F.struct(F.lit("").alias("carry"), F.lit(False).alias("hit"))
