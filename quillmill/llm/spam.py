@@ -36,6 +36,8 @@ REDUNDANT, STUFFED = 0.7, 1.0
 LOW_PUNCTUATION = 0.03
 LINK_SHARE, TAG_SHARE = 0.5, 0.5
 KEY_PAIR, KEY_WORD = 0.12, 0.06
+#: Share of function words from which a text without punctuation is speech.
+SPOKEN = 0.3
 MIN_WORDS = 40
 
 _URL = re.compile(r"https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+")
@@ -100,7 +102,9 @@ def judge(text: str | None) -> tuple | None:
         one = top.most_common(1)[0][1] / n if top else 0.0
         two = max((c for (a, b), c in pairs.most_common(8) if a not in _ANY and b not in _ANY), default=0) * 2 / n
         key = max(one, two / 2)
-        if normal <= REDUNDANT and ended < LOW_PUNCTUATION:
+        # speech without punctuation has its function words; keyword and tag lists have not
+        spoken = sum(map(_ANY.__contains__, words)) >= SPOKEN * n and normal > REDUNDANT * 0.6
+        if normal <= REDUNDANT and ended < LOW_PUNCTUATION and not spoken:
             reason = "redundant"
         elif two >= KEY_PAIR or one >= KEY_WORD:
             reason = "stuffed"

@@ -40,9 +40,9 @@ def piece_array(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Col
     own = F.when(F.length(text) <= limit, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(boundary_pattern(size)), F.lit(0)))
     # the last `overlap` characters of the part before, cut to start at a word if one starts soon
     window = lambda p: F.when(F.length(p) > overlap, F.right(p, F.lit(overlap))).otherwise(p)
-    soon = max(0, min(60, overlap // 3))
+    soon = min(60, overlap // 3)
     inside = lambda p: F.when(F.length(p) > overlap, F.substring(F.right(p, F.lit(overlap + 1)), 1, 1).rlike(r"\S")).otherwise(F.lit(False))
-    tail = lambda p: F.when(inside(p), F.regexp_replace(window(p), r"(?s)\A\S{1,%d}?\s+(?=\S)" % max(1, soon), "")).otherwise(window(p))
+    tail = lambda p: F.when(inside(p), F.regexp_replace(window(p), r"(?s)\A\S{0,%d}\s+(?=\S)" % soon, "")).otherwise(F.regexp_replace(window(p), r"\A\s+(?=\S)", ""))
     tails = F.concat(F.array(F.lit("")), F.transform(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), tail))
     return F.transform(F.arrays_zip(tails.alias("t"), own.alias("o")), lambda x: F.struct(F.length(x["t"]).alias("overlap_chars"), F.concat(x["t"], x["o"]).alias("text")))
 
