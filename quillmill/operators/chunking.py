@@ -42,7 +42,8 @@ def paragraph_chunks(docs: DataFrame, id_col: str, text: str, separator: str = "
         return F.when(~left, s["done"]).when((s["sum"] >= least) | (n == 0), F.concat(s["done"], F.array(rest))).otherwise(F.concat(F.slice(s["done"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(merged)))
 
     folded = base.withColumn("c", F.aggregate(F.arrays_zip("w", "hit"), acc, step, finish))
-    out = folded.select("__id", "ps", F.posexplode("c").alias("index", "c"))
+    # outer: for the inner form the planner would test the whole fold below the projection, and compute it twice
+    out = folded.select("__id", "ps", F.posexplode_outer("c").alias("index", "c")).filter("c is not null")
     return out.select(
         F.col("__id").alias(id_col), "index",
         F.array_join(F.slice("ps", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), separator).alias("text"),
@@ -64,7 +65,7 @@ def window_chunks(docs: DataFrame, id_col: str, text: str, title: str | None = N
     df = docs.filter(F.col(text).isNotNull()).withColumn("__w", words(F.col(text))).withColumn("__n", F.size("__w"))
     starts = F.sequence(F.lit(0), F.greatest(F.col("__n") - (overlap + 1), F.lit(0)), F.lit(size - overlap))
     df = df.withColumn("__s", F.when(F.col("__n") <= size, F.array(F.lit(0))).otherwise(starts))
-    df = df.select(*docs.columns, "__w", "__n", F.size("__s").alias("parts"), F.posexplode("__s").alias("part", "__at"))
+    df = df.select(*docs.columns, "__w", "__n", F.size("__s").alias("parts"), F.posexplode_outer("__s").alias("part", "__at"))
     piece = F.when(F.col("__n") <= size, F.col(text)).otherwise(F.array_join(F.slice("__w", F.col("__at") + 1, size), " "))
     df = df.withColumn("chunk", piece)
     if title:

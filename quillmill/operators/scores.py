@@ -126,7 +126,7 @@ def centroid_novelty(vectors: DataFrame, id_col: str, vector: str, group: str) -
     """
     norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
     unit = vectors.withColumn("__u", F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)))
-    each = unit.filter("__u is not null").select(group, F.posexplode("__u").alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("m"))
+    each = unit.filter("__u is not null").select(group, F.posexplode_outer("__u").alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("m"))
     mean = each.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("__m"))
     mnorm = F.sqrt(F.aggregate(F.transform("__m", lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
     dot = F.aggregate(F.zip_with("__u", "__m", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

@@ -21,7 +21,7 @@ from quillmill.operators import topk as W
 from quillmill.operators import urls as H
 from quillmill.plans import parameters as P
 from quillmill.plans.oracle import oracle_sql
-from quillmill.runtime import table
+from quillmill.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -37,7 +37,7 @@ def queries() -> dict[str, Query]:
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").filter("text is not null")
+    return spread(table(s, d, "documents")).filter("text is not null")
 
 
 def _scans(s: SparkSession, d: str) -> DataFrame:

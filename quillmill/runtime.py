@@ -43,3 +43,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of a few small files, spread over the cores for CPU-heavy work.
+
+    A file of one row group is one task. Where the scan has at most half as many tasks as the
+    cluster has cores, rows are dealt out first; larger tables are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

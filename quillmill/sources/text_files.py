@@ -18,7 +18,7 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 def text_blocks(files: DataFrame, value: str = "value", least_words: int = 50) -> DataFrame:
     """Blocks between dashed lines; a ``URL:`` header each, the rest cleaned and long enough."""
     header = r"(?imd)^URL\s*:\s*(.+)$"
-    b = files.select(F.explode(F.split(F.col(value), r"\n-{3,}\n")).alias("b")).select(stripped(F.col("b")).alias("b"))
+    b = files.select(F.explode_outer(F.split(F.col(value), r"\n-{3,}\n")).alias("b")).select(stripped(F.col("b")).alias("b"))
     url = stripped(F.regexp_extract("b", header, 1))
     url = F.when(url.startswith("http"), url).otherwise(F.concat(F.lit("https://"), url))
     out = b.filter(F.col("b").rlike(header)).select(url.alias("url"), clean_article(F.regexp_replace("b", header, "")).alias("content"))
