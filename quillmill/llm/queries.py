@@ -8,19 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import history, leakage, main_body, packing, quality, repeated_lines, scanned, spam, split_items, top_n
-from quillmill.runtime import table
+from quillmill.runtime import spread, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.repeated_lines(table(spark, d, "content_reservoir"))
+    return repeated_lines.repeated_lines(spread(table(spark, d, "content_reservoir")))
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.without_repeated(table(spark, d, "content_reservoir")).select("id", F.length("raw_text").alias("chars_before"), F.length("clean_text").alias("chars_after"), "clean_text")
+    return repeated_lines.without_repeated(spread(table(spark, d, "content_reservoir"))).select("id", F.length("raw_text").alias("chars_before"), F.length("clean_text").alias("chars_after"), "clean_text")
 
 
 def _p2(spark: SparkSession, d: str) -> list[tuple[DataFrame, str, str]]:
-    return [(table(spark, d, "content_reservoir"), "id", "raw_text"), (table(spark, d, "chunks"), "doc_id", "text")]
+    return [(spread(table(spark, d, "content_reservoir")), "id", "raw_text"), (table(spark, d, "chunks"), "doc_id", "text")]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -34,11 +34,11 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return scanned.found_defects(table(spark, d, "extraction_results"), table(spark, d, "chunks"), ["doc_id", "chunk_index"])
+    return scanned.found_defects(spread(table(spark, d, "extraction_results")), table(spark, d, "chunks"), ["doc_id", "chunk_index"])
 
 
 def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return scanned.repaired(table(spark, d, "extraction_results"), table(spark, d, "chunks"), ["doc_id", "chunk_index"])
+    return scanned.repaired(spread(table(spark, d, "extraction_results")), table(spark, d, "chunks"), ["doc_id", "chunk_index"])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +51,8 @@ def p5_ranked(spark: SparkSession, d: str) -> DataFrame:
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     author = F.concat(F.lit("a:"), repeated_lines.author_key(F.col("source_author")))
-    blog = table(spark, d, "content_reservoir").filter("source_type = 'BLOG'").select(F.col("id").alias("item_id"), F.col("raw_text").alias("text"), F.col("raw_title").alias("title"), author.alias("source"))
-    return blog.union(table(spark, d, "raw_ingest").select("id", "raw_content", "raw_title", main_body.source_of_url(F.col("source_url"))))
+    blog = spread(table(spark, d, "content_reservoir")).filter("source_type = 'BLOG'").select(F.col("id").alias("item_id"), F.col("raw_text").alias("text"), F.col("raw_title").alias("title"), author.alias("source"))
+    return blog.union(spread(table(spark, d, "raw_ingest")).select("id", "raw_content", "raw_title", main_body.source_of_url(F.col("source_url"))))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +65,9 @@ def p3_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 def _arrivals(spark: SparkSession, d: str) -> DataFrame:
     """src, id, kind (0 accepted, 1 new), ts, text, url of all rows that count."""
-    old = table(spark, d, "content_reservoir").select(F.lit("reservoir").alias("src"), "id", F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("ts"), F.col("raw_text").alias("text"), F.lit(None).cast("string").alias("url"))
+    old = spread(table(spark, d, "content_reservoir")).select(F.lit("reservoir").alias("src"), "id", F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("ts"), F.col("raw_text").alias("text"), F.lit(None).cast("string").alias("url"))
     kind = F.when(F.col("status") == "PENDING", 1).otherwise(0)
-    raw = table(spark, d, "raw_ingest").filter("status in ('PASSED', 'PENDING') and id is not null")
+    raw = spread(table(spark, d, "raw_ingest")).filter("status in ('PASSED', 'PENDING') and id is not null")
     return old.union(raw.select(F.lit("ingest"), "id", kind, F.when(kind == 1, F.col("ingested_at")), "raw_content", "source_url"))
 
 
@@ -77,8 +77,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "content_reservoir").select(F.col("id").alias("item_id"), F.col("raw_text").alias("text"))
-    return a.union(table(spark, d, "raw_ingest").select("id", "raw_content"))
+    a = spread(table(spark, d, "content_reservoir")).select(F.col("id").alias("item_id"), F.col("raw_text").alias("text"))
+    return a.union(spread(table(spark, d, "raw_ingest")).select("id", "raw_content"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,23 +90,23 @@ def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed(table(spark, d, "documents"))
+    return packing.packed(spread(table(spark, d, "documents")))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill(packing.packed(table(spark, d, "documents")))
+    return packing.fill(packing.packed(spread(table(spark, d, "documents"))))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leakage.leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return spam.spam(table(spark, d, "documents"))
+    return spam.spam(spread(table(spark, d, "documents")))
 
 
 def p10_measures(spark: SparkSession, d: str) -> DataFrame:
-    return spam.judged(table(spark, d, "documents"))
+    return spam.judged(spread(table(spark, d, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

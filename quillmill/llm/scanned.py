@@ -432,7 +432,7 @@ def paragraphs(lines: list[str | None]) -> str:
 
 def lexicon_of(texts: DataFrame, text: str = "text", most: int = LEXICON, least: int = MIN_COUNT) -> dict[str, int]:
     """Counts of the words of clean texts: at most ``most`` of them reach the driver."""
-    tok = F.explode(F.split(F.lower(F.col(text)), r"\s+"))
+    tok = F.explode_outer(F.split(F.lower(F.col(text)), r"\s+"))
     word = F.regexp_replace(F.regexp_replace("w", r"^[“”\"'(\[‘«—–]+", ""), r"[“”\"')\]’»,.?!;:…—–]+$", "")
     counts = texts.filter(F.col(text).isNotNull()).select(tok.alias("w")).select(word.alias("w")).filter(F.col("w").rlike(r"^\p{L}[\p{L}'’-]*$")).groupBy("w").count()
     return {r.w: r["count"] for r in counts.filter(F.col("count") >= least).orderBy(F.desc("count"), "w").limit(most).collect()}

@@ -51,7 +51,7 @@ def split_items(items: DataFrame, id_col: str, text: str = "text", index: str =
     """(item_id, chunk_index, pieces, piece_no, overlap_chars, text): every item as pieces of at most ``limit`` characters."""
     rows = items.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(index).alias("chunk_index"), F.col(text).alias("text"))
     arr = rows.select("item_id", "chunk_index", piece_array(F.col("text"), limit, overlap).alias("p"))
-    return arr.select("item_id", "chunk_index", F.size("p").alias("pieces"), F.posexplode("p").alias("piece_no", "x")).select(
+    return arr.select("item_id", "chunk_index", F.size("p").alias("pieces"), F.posexplode_outer("p").alias("piece_no", "x")).filter("x is not null").select(
         "item_id", "chunk_index", "pieces", "piece_no", "x.overlap_chars", "x.text"
     )
 
