@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.shingles import Hasher, buffers, distinct, mixed, words_of
@@ -38,6 +38,8 @@ ship("quillmill.llm.shingles")
 
 K, MIN_WORDS = 3, 20
 ROWS, BANDS, SLICES = 4, 32, 16
+#: Classes of a crowded key that a query meets in the first round.
+LEADERS = 32
 #: Similarity of 7/10 in whole numbers.
 NUM, DEN = 7, 10
 #: Bits of the fixed-size filter that spares reading texts in no pair.
@@ -102,18 +104,37 @@ def classes(table: DataFrame) -> DataFrame:
     )
 
 
-def near_classes(cls: DataFrame) -> DataFrame:
-    """(q, x): pairs of classes that share a band and that no pivot separates; q holds a new row."""
+def band_entries(cls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries of a query's first round, entries left for the second): fp, size, band.
+
+    A key that more than ``LEADERS`` classes share (a template with a changing date, say) would pair
+    them all. Its classes are ranked, accepted and early ones first, and the first round meets the
+    leaders only; queries that they don't settle meet the rest in the second.
+    """
+    entries = cls.select("fp", "size", F.col("h1").isNull().alias("late"), F.col("n1.ts").alias("ts"), F.explode("bands").alias("band"))
+    crowded = staged(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEADERS).select("band"), "crowded")
+    if crowded.isEmpty():
+        return entries.select("fp", "size", "band"), entries.limit(0).select("fp", "size", "band")
+    rank = F.row_number().over(Window.partitionBy("band").orderBy("late", F.col("ts").asc_nulls_first(), "fp"))
+    ranked = staged(entries.join(crowded, "band").withColumn("rank", rank).select("fp", "size", "band", (rank > LEADERS).alias("rest")), "ranked")
+    first = entries.join(crowded, "band", "left_anti").select("fp", "size", "band").unionByName(ranked.filter("not rest").drop("rest"))
+    return first, ranked.filter("rest").drop("rest")
+
+
+def near_classes(cls: DataFrame, queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """(q, x): pairs of a query class and another that share a band and that no pivot separates.
+
+    ``queries``: fp of the classes that ask; ``entries``: fp, size, band of those asked.
+    """
     info = cls.select("fp", "size", "slices")
-    entries = cls.select("fp", "size", F.col("n1").isNotNull().alias("new"), F.explode("bands").alias("band"))
-    a = entries.filter("new").select(F.col("fp").alias("q"), F.col("size").alias("qs"), "band")
+    a = cls.join(queries, "fp", "left_semi").select(F.col("fp").alias("q"), F.col("size").alias("qs"), F.explode("bands").alias("band"))
     b = entries.select(F.col("fp").alias("x"), F.col("size").alias("xs"), "band")
     # the pivot "empty set": |A| and |B| differ by at most the distance allowed
     pairs = a.join(b, "band").filter((F.col("q") != F.col("x")) & (F.col("qs") * DEN >= F.col("xs") * NUM) & (F.col("xs") * DEN >= F.col("qs") * NUM)).select("q", "x").distinct()
     pairs = pairs.join(info.select(F.col("fp").alias("q"), F.col("size").alias("qs"), F.col("slices").alias("qv")), "q").join(info.select(F.col("fp").alias("x"), F.col("size").alias("xs"), F.col("slices").alias("xv")), "x")
     # the slices: the differences of the distances add up to no more than |A - B| + |B - A|
     apart = F.aggregate(F.zip_with("qv", "xv", lambda u, v: F.abs(u.cast("int") - v.cast("int"))), F.lit(0), lambda s, v: s + v)
-    return pairs.filter(apart * (NUM + DEN) <= (F.col("qs") + F.col("xs")) * (DEN - NUM)).select("q", "x", "qs", "xs")
+    return pairs.filter(apart * (NUM + DEN) <= (F.col("qs") + F.col("xs")) * (DEN - NUM)).select("q", "x")
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -178,13 +199,26 @@ def by_content(rows: DataFrame, history_table: DataFrame | None = None) -> DataF
     fresh = pivot_table(rows if history_table is None else rows.filter("kind = 1"))
     table = staged(fresh if history_table is None else history_table.unionByName(fresh), "pivots")
     cls = staged(classes(table), "classes")
-    pairs = staged(near_classes(cls), "pairs")
-    links = verified(pairs, cls, rows)
-    itself = cls.filter("n1 is not null").select(F.col("fp").alias("q"), F.col("fp").alias("x"))
-    earliest = cls.select(F.col("fp").alias("x"), "h1", "h2", "n1")
-    near = links.unionByName(itself).join(earliest, "x")
-    near = near.groupBy("q").agg(F.min("h1").alias("h1"), F.max("h2").alias("h2"), F.min("n1").alias("n1"))
     new = table.filter("kind = 1").select("id", "ts", F.col("fp").alias("q")).distinct()
+    first, rest = band_entries(cls)
+    asking = cls.filter("n1 is not null").select("fp")
+    itself = asking.select(F.col("fp").alias("q"), F.col("fp").alias("x"))
+    links = verified(staged(near_classes(cls, asking, first), "pairs"), cls, rows).unionByName(itself)
+    found = _settled(new, links, cls)
+    if rest.isEmpty():
+        return found
+    found = staged(found, "found")
+    open_ = new.join(found, "id", "left_anti")
+    pairs = staged(near_classes(cls, open_.select(F.col("q").alias("fp")).distinct(), rest), "pairs")
+    if pairs.isEmpty():
+        return found
+    return found.unionByName(_settled(open_, verified(pairs, cls, rows), cls)).distinct()
+
+
+def _settled(new: DataFrame, links: DataFrame, cls: DataFrame) -> DataFrame:
+    """ids of the new rows that repeat a row of a class linked to theirs."""
+    near = links.join(cls.select(F.col("fp").alias("x"), "h1", "h2", "n1"), "x")
+    near = near.groupBy("q").agg(F.min("h1").alias("h1"), F.max("h2").alias("h2"), F.min("n1").alias("n1"))
     return new.join(near, "q").filter(_repeats()).select("id").distinct()
 
 

@@ -27,7 +27,9 @@ def edited(r, words, k):
     return out
 
 
-def test_near_duplicates_of_history(spark):
+@pytest.mark.parametrize("leaders", [32, 1])
+def test_near_duplicates_of_history(spark, monkeypatch, leaders):
+    monkeypatch.setattr(P6, "LEADERS", leaders)
     r = random.Random(5)
     t0, rows = datetime(2025, 1, 1), []
     bases = [[r.choice(WORDS) for _ in range(r.choice([18, 20, 25, 80, 200]))] for _ in range(40)]
