@@ -515,6 +515,54 @@ def merged_dimension(s, d):
     return R.merged(sup.filter("key < 12"), cus, "key")
 
 
+# Projections, lookups and counters
+
+
+@query
+def record_projection(s, d):
+    i = _ingest(s, d)
+    body = F.when(F.coalesce(F.col("raw_content"), F.lit("")) == "", F.col("raw_title")).otherwise(F.concat_ws("\n\n", "raw_title", "raw_content"))
+    return i.select("id", F.md5(body).alias("body_md5"), F.concat_ws(":", "source_type", "source_identifier").alias("source_key"))
+
+
+@query
+def lookup_with_default(s, d):
+    first = F.element_at(F.create_map(*[F.lit(x) for kv in P.PILLAR_TONE.items() for x in kv]), F.col("pillar"))
+    return _reservoir(s, d).select("id", F.coalesce(first, F.lit("CURIOUS")).alias("tone"))
+
+
+@query
+def harvest_status(s, d):
+    b = _ingest(s, d).groupBy("source_type").agg(F.count_if(F.col("status") == "ERROR").alias("errors"), F.count_if(F.col("status") != "ERROR").alias("stored"))
+    return b.withColumn("outcome", F.when((F.col("errors") > 0) & (F.col("stored") == 0), "failed").when(F.col("errors") > 0, "partial").otherwise("success"))
+
+
+@query
+def import_progress(s, d):
+    r = _reservoir(s, d).filter("source_author is not null").groupBy("source_author").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source_id").alias("sources"))
+    share = F.round(F.col("chunks") * 100.0 / 40, 1)
+    return r.withColumn("percent", share).withColumn("bucket", F.when(F.col("chunks") >= 40, "done").when(F.col("chunks") >= 10, "active").otherwise("remaining"))
+
+
+@query
+def first_and_last_lines(s, d):
+    ls = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    return _chunks(s, d).select("doc_id", "chunk_index", F.md5(F.get(ls, F.lit(0))).alias("first_md5"), F.md5(F.element_at(ls, -1)).alias("last_md5"), F.size(ls).alias("lines"))
+
+
+@query
+def nested_projection(s, d):
+    a = _atoms(s, d).dropDuplicates(["id"])
+    return a.select("id", F.size("classification.emotional_triggers").alias("triggers"), F.to_json(F.struct(F.col("classification.proof_type").alias("proof"), F.col("classification.hook_mechanism").alias("hook"))).alias("packed"))
+
+
+@query
+def latest_by_version(s, d):
+    a = table(s, d, "content_atoms")
+    top = W.best_n(a, ["id"], [F.desc_nulls_last("updated_at"), F.desc_nulls_last("virality_score")], 1)
+    return top.select("id", "updated_at")
+
+
 # Rendering
 
 

@@ -259,6 +259,17 @@ SELECT id, source_type, false AS backfill FROM o WHERE own UNION ALL SELECT id,
         "hosts_only_in_documents": f"SELECT DISTINCT source AS host FROM documents WHERE source IS NOT NULL EXCEPT SELECT {_HOST} AS host FROM raw_ingest WHERE source_url IS NOT NULL",
         "token_overlap": "WITH a AS (SELECT DISTINCT ON (id) id, format_fit FROM content_atoms) SELECT id, CAST(len(list_intersect(format_fit, ['REEL', 'QUOTE'])) AS INTEGER) AS shared, CAST(len(list_filter(list_distinct(format_fit), lambda x: x <> 'REEL')) AS INTEGER) AS others FROM a",
         "merged_dimension": "WITH s AS (SELECT DISTINCT CAST(s_nationkey AS INTEGER) AS key FROM supplier WHERE s_nationkey < 12) SELECT key, 'supplier' AS origin FROM s UNION ALL SELECT DISTINCT CAST(c_nationkey AS INTEGER), 'customer' FROM customer WHERE c_nationkey NOT IN (SELECT key FROM s)",
+        "record_projection": f"""WITH {_INGEST} SELECT id, md5(CASE WHEN coalesce(raw_content, '') = '' THEN raw_title ELSE concat_ws(chr(10) || chr(10), raw_title, raw_content) END) AS body_md5, concat_ws(':', source_type, source_identifier) AS source_key FROM i""",
+        "lookup_with_default": f"WITH {_RESERVOIR} SELECT id, CASE pillar WHEN 'PRODUCTIVITY' THEN 'URGENT' WHEN 'RELATIONSHIPS' THEN 'WARM' WHEN 'PHILOSOPHY' THEN 'CALM' ELSE 'CURIOUS' END AS tone FROM r",
+        "harvest_status": f"""WITH {_INGEST}, b AS (SELECT source_type, count(*) FILTER (WHERE status = 'ERROR') AS errors, count(*) FILTER (WHERE status <> 'ERROR') AS stored FROM i GROUP BY source_type)
+SELECT *, CASE WHEN errors > 0 AND stored = 0 THEN 'failed' WHEN errors > 0 THEN 'partial' ELSE 'success' END AS outcome FROM b""",
+        "import_progress": f"""WITH {_RESERVOIR}, b AS (SELECT source_author, count(*) AS chunks, count(DISTINCT source_id) AS sources FROM r WHERE source_author IS NOT NULL GROUP BY source_author)
+SELECT *, CAST(round(chunks * 100.0 / 40, 1) AS DOUBLE) AS percent, CASE WHEN chunks >= 40 THEN 'done' WHEN chunks >= 10 THEN 'active' ELSE 'remaining' END AS bucket FROM b""",
+        "first_and_last_lines": f"""WITH {_CHUNKS}, p AS (SELECT doc_id, chunk_index, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM c)
+SELECT doc_id, chunk_index, md5(ls[1]) AS first_md5, md5(ls[-1]) AS last_md5, CAST(len(ls) AS INTEGER) AS lines FROM p""",
+        "nested_projection": """WITH a AS (SELECT DISTINCT ON (id) id, classification AS k FROM content_atoms)
+SELECT id, CAST(len(k.emotional_triggers) AS INTEGER) AS triggers, '{' || array_to_string(list_filter([CASE WHEN k.proof_type IS NOT NULL THEN '"proof":' || to_json(k.proof_type) END, CASE WHEN k.hook_mechanism IS NOT NULL THEN '"hook":' || to_json(k.hook_mechanism) END], lambda x: x IS NOT NULL), ',') || '}' AS packed FROM a""",
+        "latest_by_version": "SELECT id, max(updated_at) AS updated_at FROM content_atoms GROUP BY id",
         "rendered_lists": """WITH a AS (SELECT DISTINCT ON (id) id, format_fit, secondary_pillars FROM content_atoms)
 SELECT id, array_to_string(list_transform(format_fit, lambda x, i: i || '. ' || x), chr(10)) AS numbered,
   CASE WHEN len(secondary_pillars) > 0 THEN array_to_string(list_transform(secondary_pillars, lambda x: '- ' || x), chr(10)) ELSE 'N/A' END AS bullets FROM a""",

@@ -16,3 +16,5 @@ CORPUS_SIGNALS = {
 ELITE_AXES = [("punch", 1, 30), ("identity", 1, 20), ("tension", 1, 20), ("quotability", 1, 60)]
 
 URL_PATTERNS = [("forum.example", "forum"), ("video.example", "video"), ("papers.example", "papers"), ("ledger", "ledger"), (".example", "other")]
+
+PILLAR_TONE = {"PRODUCTIVITY": "URGENT", "RELATIONSHIPS": "WARM", "PHILOSOPHY": "CALM"}
