@@ -53,7 +53,7 @@ _CUE = re.compile(
     r"join [\d,.]+ |listen on|episode \d|in this week's podcast|readers inside|we send one letter|join [\d.,]+ readers|workbook for|in our shop|is a small magazine|hello at|^contact:|may use your data|stores small files|accept all|aceptar|akzeptieren|accepter|ok / no thanks|"
     r"reproduced without|written permission|letters on an? |subscribers|enter your email|^by [a-z]+ [a-z]+ ?\||reply from|lives with|consult a|^[a-z]+ [a-z]+ \| )|©|→$|% off",
 )
-_COMMENT = re.compile(r"^(?:reply from\s+)?\S*[a-z]\d{1,4}(?:,\s*[\d.\-/]+| says| wrote)?\s*:", re.I)
+_COMMENT = re.compile(r"^(?:reply from\s+)?\S*[a-z]\d{1,4}(?:,\s*[\d.\-/]+|\s+says|\s+wrote)?\s*:", re.I)
 _DATE = re.compile(r"\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b")
 _CRUMB = re.compile(r"^(?:you are here|home|start|[a-z-]+)\s*[›»>/:]\s*\S", re.I)
 _DIGITS = re.compile(r"\d+")
@@ -96,10 +96,11 @@ def features(lines: list[tuple[int, str, str]], title: str | None) -> np.ndarray
         row[11] = min(sents, 6)
         long_[j] = k >= 15 and sents >= 1
         low = bare.lower()
+        row[20] = 1.0 if _COMMENT.match(bare) else 0.0
         first = _CUE.search(low)
-        if first:
+        if first or row[20]:
             cues[j] = row[12] = 1.0
-            row[13] = first.start() / len(low) if len(low) else 0.0
+            row[13] = first.start() / len(low) if first else 0.0
         else:
             row[13] = 1.0
         if k <= 40:
@@ -113,7 +114,6 @@ def features(lines: list[tuple[int, str, str]], title: str | None) -> np.ndarray
             row[22] = 1.0 if bare.isupper() else 0.0
             row[23] = sum(map(_COMMON.__contains__, bits)) / max(1, len(bits))
         row[18] = 1.0 if _MARK.match(bare) else 0.0
-        row[20] = 1.0 if _COMMENT.match(bare) else 0.0
         if want and _EDGE.sub("", low) == want:
             row[19] = 1.0
     if n:
@@ -351,6 +351,7 @@ B|tl;dr {P}
 B|Update - {P}
 B|“{P},” he said.
 B|“{P}” — from our reader survey, {I}
+B|>
 B|Not {W}. {W}.
 B|“No.”
 B|“Maybe,” he said.
@@ -437,7 +438,11 @@ def training_pages(pages: int = TRAIN_PAGES, seed: int = 11) -> tuple[np.ndarray
         if r.random() < 0.6:
             page.append((title, False, False))
         heavy = r.random() < 0.75
-        if r.random() < 0.15:
+        if r.random() < 0.25:
+            # a list in the text
+            sign, t = r.choice(["• ", "- ", "* ", "☐ ", "> "]), r.choice(["{P}", "{P}", "{T}"])
+            page += [(fill(r.choice(["{P} {P}", "{P}"])), False, False)] + [(fill(sign + t), False, False) for _ in range(r.randrange(2, 9))]
+        if r.random() < 0.3:
             # running text broken into short lines
             words = fill(" ".join(["{P}"] * r.randrange(4, 16))).split()
             if r.random() < 0.5:
