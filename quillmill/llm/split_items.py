@@ -2,7 +2,7 @@ r"""Problem 2: oversized items cut at natural boundaries, with overlap.
 
 One bounded-quantifier expression extracts the pieces' own parts: its alternatives, strongest
 boundary first, consume up to the limit and give back to the last boundary in the second half of
-it; a bare character is the last resort. A look back at the end of the part before supplies the
+it, else to one in the first; a bare character is the last resort. A look back at the end of the part before supplies the
 overlap. All of it is array functions over one extraction, linear in the text's length.
 
 Defined results: null text gives no piece; an empty text is one empty piece; a text of at most
@@ -22,16 +22,16 @@ LIMIT, OVERLAP = 6000, 300
 def boundary_pattern(size: int) -> str:
     """Parts of at most ``size`` characters: the rest, else up to a paragraph, line, sentence, clause, word, character."""
     h = max(1, size // 2)
-    take = "(?:.{%d,%d})" % (h, size)
     ends = [
-        r"(?<=\n[ \t\r ]{0,4}\n)(?!\s)",
+        r"(?<=\n[ \t\r ]{0,4}\n)(?!\s)",
         r"(?<=\n)(?!\n)",
-        r"(?<=[.!?…][\"'”’»)\]]{0,2}[\s ])(?=\S)",
-        r"(?<=[,;:)–—][\s ])(?=\S)",
-        r"(?<=[\s ])(?=\S)",
-        r"(?!\p{M})",
+        r"(?<=[.!?…][\"'”’»)\]]{0,2}[\s ])(?=\S)",
+        r"(?<=[,;:)–—][\s ])(?=\S)",
+        r"(?<=[\s ])(?=\S)",
     ]
-    return r"(?s).{1,%d}\z|" % size + "|".join(take + e for e in ends) + "|.{1,%d}" % size
+    full = ["(?:.{%d,%d})" % (h, size) + e for e in ends]
+    short = ["(?:.{1,%d})" % h + e for e in ends]
+    return "|".join([r"(?s).{1,%d}\z" % size, *full, *short, r"(?:.{%d,%d})(?!\p{M})" % (h, size), ".{1,%d}" % size])
 
 
 def piece_array(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
@@ -43,7 +43,9 @@ def piece_array(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Col
     soon = min(60, overlap // 3)
     inside = lambda p: F.when(F.length(p) > overlap, F.substring(F.right(p, F.lit(overlap + 1)), 1, 1).rlike(r"\S")).otherwise(F.lit(False))
     tail = lambda p: F.when(inside(p), F.regexp_replace(window(p), r"(?s)\A\S{0,%d}\s+(?=\S)" % soon, "")).otherwise(F.regexp_replace(window(p), r"\A\s+(?=\S)", ""))
-    tails = F.concat(F.array(F.lit("")), F.transform(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), tail))
+    # two parts reach back far enough: a part shorter than half the limit has a longer one beside it
+    back = F.transform(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), lambda p, i: F.concat(F.coalesce(F.get(own, i - 1), F.lit("")), p))
+    tails = F.concat(F.array(F.lit("")), F.transform(back, tail))
     return F.transform(F.arrays_zip(tails.alias("t"), own.alias("o")), lambda x: F.struct(F.length(x["t"]).alias("overlap_chars"), F.concat(x["t"], x["o"]).alias("text")))
 
 

@@ -96,6 +96,13 @@ def test_cuts_prefer_paragraphs(spark):
     assert all(250 <= p.overlap_chars <= 300 and not p.text[:1].isspace() for p in ps[1:])
 
 
+def test_words_stay_whole_where_they_can(spark):
+    text = "A start. " + "x" * 5696 + " end of it. " + "y" * 9000
+    df = spark.createDataFrame([("a", 0, text)], "id string, chunk_index int, text string")
+    ps = [p.text[p.overlap_chars :] for p in P2.split_items(df, "id", "text").orderBy("piece_no").collect()]
+    assert "".join(ps) == text and ps[0] == "A start. " and ps[1] == "x" * 5696 + " " and ps[2] == "end of it. "
+
+
 ATOMS = "id string, primary_pillar string, virality_score double, updated_at timestamp, source_metadata struct<credibility:string,batch_id:string>, extra string"
 
 
