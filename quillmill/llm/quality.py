@@ -20,14 +20,17 @@ MIN_CHARS = 100
 #: Published-style thresholds; a failed one names its reason.
 MIN_COMMON, MIN_PROSE, MAX_SYMBOLS, MAX_DIGITS, WORD_LENGTH = 0.12, 0.4, 0.3, 0.25, (2.0, 14.0)
 
+STATISTICS = frozenset("chars words lines mean_word_length common_share symbol_share digit_share ended_share bullet_share prose_share reasons junk".split())
+
 TAG = r"<[^<>\n]{1,300}+>"
 #: A line of seven tokens or more, or one of at least two that ends in punctuation.
 PROSE_LINE = r"(?md)^[ \t\r\xa0]*+(?:(?:[^\s]++[ \t\r\xa0]*+){7}[^\n]*+|[^\s]++[ \t\r\xa0]++[^\n]*?[.!?…,;:][\"'”’»)]{0,2}+[ \t\r\xa0]*+)$"
 
 
 def with_statistics(items: DataFrame, text: str) -> DataFrame:
-    """The rows with the statistics' columns, ``reasons`` and ``junk`` added."""
+    """The rows with the statistics' columns, ``reasons`` and ``junk`` added; input columns of these names give way."""
     t = F.col(text)
+    items = items.drop(*[c for c in items.columns if c.lower() in STATISTICS and c != text])
     df = items.withColumn("__plain", F.translate(F.regexp_replace(t, TAG, " "), "\xa0  　", "    "))
     df = df.withColumn("__flat", F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("__plain"), r"[^\p{L}\p{N}]+", " ")), F.lit(" ")))
     # what is left without the prose lines

@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_clean(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.without_repeated(spread(table(spark, d, "content_reservoir"))).select("id", F.length("raw_text").alias("chars_before"), F.length("clean_text").alias("chars_after"), "clean_text")
+    return repeated_lines.without_repeated(spread(table(spark, d, "content_reservoir"))).dropDuplicates(["id"]).select("id", F.length("raw_text").alias("chars_before"), F.length("clean_text").alias("chars_after"), "clean_text")
 
 
 def _p2(spark: SparkSession, d: str) -> list[tuple[DataFrame, str, str]]:

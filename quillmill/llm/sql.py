@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillmill.llm.common_words import all_words
+
 P1_FOUND = r"""
 WITH t AS (
   SELECT id, raw_text, trim(regexp_replace(lower(source_author), '[\s\x{A0}]+', ' ', 'g')) AS a
@@ -37,10 +39,45 @@ SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g)
 """
 
 
+P6_FOUND = r"""
+WITH rows AS (
+  SELECT DISTINCT 'r' AS src, id, 0 AS kind, CAST(NULL AS TIMESTAMPTZ) AS ts, raw_text AS text, CAST(NULL AS VARCHAR) AS url FROM content_reservoir
+  UNION SELECT DISTINCT 'i', id, CASE WHEN status = 'PENDING' THEN 1 ELSE 0 END, CASE WHEN status = 'PENDING' THEN ingested_at END, raw_content, source_url FROM raw_ingest WHERE status IN ('PASSED', 'PENDING')),
+w AS (SELECT src, id, kind, ts, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS a FROM rows WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT src, id, kind, ts, hash(a[i] || ' ' || a[i + 1] || ' ' || a[i + 2]) AS h FROM w, range(1, len(a) - 1) AS r(i) WHERE len(a) >= 20),
+n AS (SELECT src, id, count(*) AS n FROM g GROUP BY src, id),
+c AS (SELECT q.id AS qid, x.src AS xsrc, x.id AS xid, count(*) AS k FROM g q JOIN g x ON q.h = x.h
+  WHERE q.kind = 1 AND q.id <> x.id AND (x.kind = 0 OR x.ts < q.ts OR (x.ts = q.ts AND x.id < q.id)) GROUP BY q.id, x.src, x.id),
+near AS (SELECT DISTINCT qid AS id FROM c JOIN n q ON q.id = qid AND q.src = 'i' JOIN n x ON x.id = xid AND x.src = xsrc WHERE k * 17 >= (q.n + x.n) * 7),
+u AS (SELECT id, kind, ts, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^([A-Za-z][A-Za-z0-9+.-]*:)?//', '') AS t FROM rows WHERE url IS NOT NULL),
+v AS (SELECT id, kind, ts, regexp_replace(lower(regexp_extract(t, '^([^/?]*)', 1)), '^(?:www\.|m\.)+', '') AS host, regexp_replace(regexp_extract(t, '^[^/?]*(/[^?]*)', 1), '/+$', '') AS path,
+  array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_extract(t, '\?(.*)$', 1), '&'), lambda p: regexp_matches(p, '^(p|id|v)=.')))), '&') AS kept FROM u),
+k AS (SELECT id, kind, ts, host || ' ' || path || ' ' || kept AS page FROM v WHERE host <> '' AND (path <> '' OR kept <> '')),
+same AS (SELECT DISTINCT q.id FROM k q JOIN k x ON q.page = x.page WHERE q.kind = 1 AND q.id <> x.id AND (x.kind = 0 OR x.ts < q.ts OR (x.ts = q.ts AND x.id < q.id)))
+SELECT id FROM near UNION SELECT id FROM same
+"""
+
+
+P7_FOUND = r"""
+WITH t AS (SELECT id, raw_text AS text FROM content_reservoir UNION ALL SELECT id, raw_content FROM raw_ingest),
+p AS (SELECT id, regexp_replace(text, '<[^<>\n]{1,300}>', ' ', 'g') AS plain FROM t WHERE length(text) >= 100),
+q AS (SELECT id, regexp_replace(plain, '[\x{A0}\x{2007}\x{202F}\x{3000}]', ' ', 'g') AS plain FROM p),
+f AS (SELECT id, plain, list_filter(string_split(regexp_replace(lower(plain), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws,
+  list_filter(list_transform(string_split(plain, chr(10)), lambda l: len(regexp_extract_all(l, '[^\s\v]+')) * 2 + CAST(regexp_matches(l, '[.!?…,;:]["''”’»)]{0,2}[ \t\r]*$') AS INTEGER)), lambda k: k > 1) AS ls FROM q),
+m AS (SELECT id, len(ws) AS n, length(array_to_string(ws, '')) AS alnum, length(regexp_replace(array_to_string(ws, ''), '[0-9]', '', 'g')) AS letters,
+  length(regexp_replace(plain, '[ \n\r\t]', '', 'g')) AS visible, len(list_filter(ws, lambda w: list_contains(@WORDS@, w))) AS common,
+  coalesce(list_sum(list_transform(ls, lambda k: k // 2)), 0) AS tokens, coalesce(list_sum(list_transform(ls, lambda k: CASE WHEN k >= 14 OR (k >= 5 AND k % 2 = 1) THEN k // 2 ELSE 0 END)), 0) AS prose FROM f)
+SELECT DISTINCT id AS item_id FROM m WHERE n = 0 OR common < 0.12 * n OR coalesce(prose / nullif(tokens, 0), 0) < 0.4 OR coalesce((visible - alnum) / nullif(visible, 0), 0) > 0.3
+  OR coalesce((alnum - letters) / nullif(visible, 0), 0) > 0.25 OR alnum / n NOT BETWEEN 2 AND 14
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND,
         "p2_found": P2_FOUND,
+        "p6_found": P6_FOUND,
+        "p7_found": P7_FOUND.replace("@WORDS@", "[" + ", ".join(f"'{w}'" for w in all_words()) + "]"),
         "p9_found": P9_FOUND,
         "p5_found": _P5 + "SELECT id FROM p WHERE position <= 3",
         "p5_ranked": _P5 + "SELECT pillar, batch_id, id, score, CAST(position AS BIGINT) AS position FROM p WHERE position <= 3",

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillmill.llm import main_body as P3
 from quillmill.llm import quality as P7
@@ -74,6 +75,8 @@ def test_quality(spark):
     assert {k: out[k].junk for k in cases} == {k: j for k, (_, j) in cases.items()}
     assert out["null"].junk is None or not out["null"].junk
     assert out["list"].reasons and not out["prose"].reasons and out["prose"].words == len(PROSE.split()) * 3
+    clash = P7.with_statistics(df.withColumn("words", F.lit("mine")).withColumn("Junk", F.lit(1)).withColumn("extra", F.lit(2)), "text")
+    assert {"extra", "words", "junk"} <= set(clash.columns) and clash.filter("id = 'prose'").first().words == len(PROSE.split()) * 3
     assert {x.item_id for x in P7.junk(df, "id", "text").collect()} == {k for k, (_, j) in cases.items() if j}
 
 
