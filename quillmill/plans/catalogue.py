@@ -21,6 +21,7 @@ from quillmill.operators import topk as W
 from quillmill.operators import urls as H
 from quillmill.plans import parameters as P
 from quillmill.plans.oracle import oracle_sql
+from quillmill.plans.pipeline import passages
 from quillmill.runtime import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +186,13 @@ def elite_stats(s, d):
     return E.selection_stats(gated, elite_selection(s, d), "doc_id", few=2)
 
 
+@query
+def passage_pipeline(s, d):
+    """Scanned books from raw text to chosen passages."""
+    out = passages(_scans(s, d), "doc_id", "raw_text", "pages", P.CORPUS_SIGNALS, P.ELITE_AXES, least=60, most=300, hard=400)
+    return out.select("doc_id", "index", "word_count", "total", "adjusted_total", F.array_join("axes", ",").alias("axes"))
+
+
 @query
 def novelty_scores(s, d):
     n = S.centroid_novelty(table(s, d, "embeddings"), "vec_id", "embedding", "label")
