@@ -116,7 +116,7 @@ class Index:
         pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
         # bands of 2k+1 diagonals that overlap by k: with k = 0 a band is one diagonal
         for shift in {0, self.k}:
-            band = (d - p + len(self.starts) * 0 + shift) // width
+            band = (d - p + shift) // width
             order = np.lexsort((d, band, item, doc))
             o_doc, o_item, o_band, o_d, o_p = doc[order], item[order], band[order], d[order], p[order]
             new = np.ones(len(order), bool)
