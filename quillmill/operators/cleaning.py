@@ -43,14 +43,14 @@ def drop_repeated_lines(docs: DataFrame, id_col: str, text: str, min_lines: int
 
 
 def drop_contents(text: Column, start: list[str] = L.TOC_START, entry: str = L.TOC_LINE, patience: int = 5) -> Column:
-    """T4: a table of contents, as a fold over the lines that carries indexes only.
+    """T4: a table of contents, as a fold over the lines that carries a flag for each.
 
     After a heading, entries reset the count and go; other lines count and go too, until the
     ``patience``-th ends the table and stays.
     """
     arr = lines(text)
     is_start = "^(?:" + any_of(start) + ")$"
-    zero = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("strange"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("keep"))
+    zero = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("strange"), F.array().cast("array<boolean>").alias("keep"))
 
     def step(s: Column, x: Column) -> Column:
         begins = F.lower(stripped(x)).rlike(is_start)
@@ -62,12 +62,12 @@ def drop_contents(text: Column, start: list[str] = L.TOC_START, entry: str = L.T
         return F.struct(
             F.when(begins, True).when(ends, False).otherwise(s["inside"]).alias("inside"),
             F.when(begins | s["inside"], count).otherwise(s["strange"]).cast("int").alias("strange"),
-            (s["at"] + 1).alias("at"),
-            F.when(keep, F.concat(s["keep"], F.array(s["at"]))).otherwise(s["keep"]).alias("keep"),
+            F.concat(s["keep"], F.array(keep)).alias("keep"),
         )
 
-    kept = F.aggregate(arr, zero, step, lambda s: s["keep"])
-    return joined(F.transform(kept, lambda i: F.element_at(arr, i + 1)))
+    flags = F.aggregate(arr, zero, step, lambda s: s["keep"])
+    pairs = F.filter(F.arrays_zip(arr.alias("line"), flags.alias("keep")), lambda x: x["keep"])
+    return joined(F.transform(pairs, lambda x: x["line"]))
 
 
 def _first(arr: Column, test, low: Column, high: Column) -> Column:
