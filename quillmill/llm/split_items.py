@@ -34,17 +34,24 @@ def boundary_pattern(size: int) -> str:
     return "|".join([r"(?s).{1,%d}\z" % size, *full, *short, r"(?:.{%d,%d})(?!\p{M})" % (h, size), ".{1,%d}" % size])
 
 
-def piece_array(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
-    """array<struct<overlap_chars int, text string>> of a text's pieces, in order."""
-    size = limit - overlap
-    own = F.when(F.length(text) <= limit, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(boundary_pattern(size)), F.lit(0)))
-    # the last `overlap` characters of the part before, cut to start at a word if one starts soon
-    window = lambda p: F.when(F.length(p) > overlap, F.right(p, F.lit(overlap))).otherwise(p)
-    soon = min(60, overlap // 3)
-    inside = lambda p: F.when(F.length(p) > overlap, F.substring(F.right(p, F.lit(overlap + 1)), 1, 1).rlike(r"\S")).otherwise(F.lit(False))
-    tail = lambda p: F.when(inside(p), F.regexp_replace(window(p), r"(?s)\A\S{0,%d}\s+(?=\S)" % soon, "")).otherwise(F.regexp_replace(window(p), r"\A\s+(?=\S)", ""))
+def own_parts(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
+    """The pieces' own parts, in order; joined they give the text back."""
+    pattern = F.lit(boundary_pattern(limit - overlap))
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(F.regexp_extract_all(text, pattern, F.lit(0)))
+
+
+def with_overlaps(own: Column, overlap: int = OVERLAP) -> Column:
+    """array<struct<overlap_chars int, text string>> of own parts; ``own`` must be a column, for it is used repeatedly."""
+    # the last `overlap` characters of the piece before, and one more to see whether a word is cut;
     # two parts reach back far enough: a part shorter than half the limit has a longer one beside it
-    back = F.transform(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), lambda p, i: F.concat(F.coalesce(F.get(own, i - 1), F.lit("")), p))
+    long_ = lambda p: F.length(p) > overlap
+    last = lambda p: F.right(p, F.lit(overlap + 1))
+    back = F.transform(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), lambda p, i: F.when(long_(p), last(p)).otherwise(last(F.concat(F.coalesce(F.get(own, i - 1), F.lit("")), p))))
+    # cut to start at a word if one starts soon
+    soon = min(60, overlap // 3)
+    inside = lambda w: long_(w) & F.substring(w, 1, 1).rlike(r"\S")
+    window = lambda w: F.right(w, F.lit(overlap))
+    tail = lambda w: F.when(inside(w), F.regexp_replace(window(w), r"(?s)\A\S{0,%d}\s+(?=\S)" % soon, "")).otherwise(F.regexp_replace(window(w), r"\A\s+(?=\S)", ""))
     tails = F.concat(F.array(F.lit("")), F.transform(back, tail))
     return F.transform(F.arrays_zip(tails.alias("t"), own.alias("o")), lambda x: F.struct(F.length(x["t"]).alias("overlap_chars"), F.concat(x["t"], x["o"]).alias("text")))
 
@@ -52,7 +59,8 @@ def piece_array(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Col
 def split_items(items: DataFrame, id_col: str, text: str = "text", index: str = "chunk_index", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(item_id, chunk_index, pieces, piece_no, overlap_chars, text): every item as pieces of at most ``limit`` characters."""
     rows = items.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("item_id"), F.col(index).alias("chunk_index"), F.col(text).alias("text"))
-    arr = rows.select("item_id", "chunk_index", piece_array(F.col("text"), limit, overlap).alias("p"))
+    parts = rows.select("item_id", "chunk_index", own_parts(F.col("text"), limit, overlap).alias("own"))
+    arr = parts.select("item_id", "chunk_index", with_overlaps(F.col("own"), overlap).alias("p"))
     return arr.select("item_id", "chunk_index", F.size("p").alias("pieces"), F.posexplode_outer("p").alias("piece_no", "x")).filter("x is not null").select(
         "item_id", "chunk_index", "pieces", "piece_no", "x.overlap_chars", "x.text"
     )
