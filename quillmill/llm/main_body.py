@@ -50,7 +50,7 @@ _CUE = re.compile(
     r"advertisement|sponsored|brought to you|use code|story continues|download the|free worksheet|image credit|\[photo|photo:|photo by|"
     r"skip to|toggle navigation|you are here|search this site|save this|like this\?|tap the heart|if this helped|thanks for reading|printed from|you are receiving|"
     r"information (?:only|purposes)|medical advice|views expressed|property of|transcribed by|errors are ours|about the author|written by|writing from|founder of|"
-    r"join [\d,.]+ |listen on|episode \d|in this week's podcast|readers inside|we send one letter|join [\d.,]+ readers|workbook for|in our shop|is a small magazine|hello at|^contact:|may use your data|stores small files|accept all|aceptar|akzeptieren|accepter|ok / no thanks|"
+    r"join [\d,.]+ |listen on|episode \d|in this week's podcast|readers inside|we send one letter|join [\d.,]+ readers|workbook for|in our shop|from our reader survey|letter from a reader|is a small magazine|hello at|^contact:|may use your data|stores small files|accept all|aceptar|akzeptieren|accepter|ok / no thanks|"
     r"reproduced without|written permission|letters on an? |subscribers|enter your email|^by [a-z]+ [a-z]+ ?\||reply from|lives with|consult a|^[a-z]+ [a-z]+ \| )|©|→$|% off",
 )
 _COMMENT = re.compile(r"^(?:reply from\s+)?\S*[a-z]\d{1,4}(?:,\s*[\d.\-/]+|\s+says|\s+wrote)?\s*:", re.I)
@@ -91,6 +91,8 @@ def features(lines: list[tuple[int, str, str]], title: str | None) -> np.ndarray
         row[0] = min(k, 60)
         if "<a" in raw or "http" in raw or "www." in raw:
             row[1] = min(1.0, sum(len(_TAGS.sub("", m)) for m in _LINK.findall(raw)) / len(bare))
+        elif raw.lstrip().startswith("<span"):
+            row[1] = 1.0  # an inline element alone on its line is no paragraph
         sents = len(_SENT.findall(bare))
         row[10] = 1.0 if _END.search(bare) else 0.0
         row[11] = min(sents, 6)
@@ -119,6 +121,7 @@ def features(lines: list[tuple[int, str, str]], title: str | None) -> np.ndarray
     if n:
         x[:] = table
     w = x[:, 0]
+    x[:, 27] = [b[:1].islower() for _, _, b in lines]
     # a sentence that no cue speaks against; what stands after the last of them is the page's tail
     body = (x[:, 10] > 0) & (w >= 4) & (cues == 0) & (x[:, 20] == 0)
     x[:, 24] = np.minimum(body.sum() - np.cumsum(body), 5)
@@ -126,8 +129,7 @@ def features(lines: list[tuple[int, str, str]], title: str | None) -> np.ndarray
     for j in range(n):
         x[j, 25] = min(run, 5)
         run = 0 if body[j] else run + int(cues[j] > 0 or x[j, 20] > 0 or x[j, 14] > 0.9)
-    x[:, 26] = (x[:, 10] == 0) & (w >= 3) & (w <= 14) & (x[:, 18] == 0) & (cues == 0)
-    x[:, 27] = [b[:1].islower() for _, _, b in lines]
+    x[:, 26] = (x[:, 10] == 0) & (w >= 3) & (w <= 14) & (x[:, 18] == 0) & (cues == 0) & (x[:, 27] == 0)
     x[1:, 2], x[:-1, 3] = w[:-1], w[1:]
     x[1:, 4], x[:-1, 5] = cues[:-1], cues[1:]
     x[:, 6] = np.minimum(np.arange(n), 40)
@@ -207,6 +209,8 @@ F|Read next: {P} {P}
 F|Your privacy matters to us: we and our {I} partners process data to measure audiences and personalise content.
 F|{S} is a small magazine about feelings and habits. {P}
 F|In this week's podcast: {P} {P}
+F|“{P}” — from our reader survey, {I}
+F|“{P}” — a letter from a reader
 F|{S} – letters on a calmer life
 F|{S} - notes for slow readers
 F|Home
@@ -350,7 +354,6 @@ B|Home is a {W}.
 B|tl;dr {P}
 B|Update - {P}
 B|“{P},” he said.
-B|“{P}” — from our reader survey, {I}
 B|>
 B|Not {W}. {W}.
 B|“No.”
@@ -369,7 +372,6 @@ B|EDIT: {P}
 B|{C}
 B|{C}
 B|{C}
-B|“{P}” — from our reader survey
 B|{P} ({H}) {P}
 B|{P} (p = 0.0{L}, n = {I}). {P}
 B|{G}
@@ -462,11 +464,14 @@ def training_pages(pages: int = TRAIN_PAGES, seed: int = 11) -> tuple[np.ndarray
             # titles of other pieces
             where = r.randrange(len(tail) + 1)
             tail[where:where] = [fill("{T}") for _ in range(r.randrange(1, 6))]
+        if len(tail) > 5 and r.random() < 0.3:
+            # how another piece begins, deep in the tail
+            tail.insert(r.randrange(4, len(tail)), fill("{P} {P}"))
         page += [(t, True, False) for t in tail]
         if r.random() < 0.1:
             page = [(t.upper() if f and r.random() < 0.5 else t, f, m) for t, f, m in page]
         if r.random() < 0.2:
-            page = [((f"<a href='/x'>{t}</a>" if f and r.random() < 0.25 else f"<p class='c'>{t}</p>"), f, m) for t, f, m in page]
+            page = [((r.choice(["<a href='/x'>{0}</a>", "<span class='c'>{0}</span>"]).format(t) if f and r.random() < 0.4 else f"<p class='c'>{t}</p>"), f, m) for t, f, m in page]
         lines = [(i, t, _SPACE.sub(" ", _TAGS.sub(" ", t)).strip()) for i, (t, _, _) in enumerate(page)]
         x = features(lines, title if r.random() < 0.7 else None)
         x[:, REPEAT] = [1.0 if m or (f and r.random() < 0.3) else 0.0 for _, f, m in page]
