@@ -34,12 +34,15 @@ TRAIN_TEXTS, TRAIN_WORDS, EPOCHS = 300, 24_000, 3
 #: The lexicon holds at most so many words, each seen so often at least.
 LEXICON, MIN_COUNT = 200_000, 3
 
+#: Words of books' structure, which running text may lack.
+STRUCTURE = "chapter part section introduction preface contents appendix notes".split()
+
 MARKS = "-‐\xad¬"
 #: What recognition makes of characters: true, read. Common confusions, not taken from any table's rows.
 CONFUSIONS = [
     ("e", "c"), ("c", "e"), ("r", "г"), ("a", "á"), ("o", "0"), ("t", "†"), ("s", "5"), ("i", "!"), ("i", "|"), ("i", "1"), ("i", "í"), ("l", "1"), ("l", "|"), ("l", "!"), ("l", "i"),
     ("n", "ri"), ("h", "b"), ("u", "ii"), ("d", "cl"), ("g", "q"), ("g", "9"), ("b", "6"), ("m", "rn"), ("m", "nn"), ("w", "vv"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ff", "ﬀ"), ("li", "h"), ("ll", "u"),
-    ("rn", "m"), ("v", "y"), ("y", "v"), ("f", "t"), ("t", "f"), ("o", "ó"), ("e", "é"), ("u", "v"), ("k", "lc"), ("h", "li"), ("n", "u"), ("z", "2"), ("q", "g"), ("a", "o"), ("c", "("), ("j", ";"), ("p", "р"), ("x", "х"), ("o", "о"), ("a", "а"), ("e", "е"),
+    ("rn", "m"), ("cl", "d"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("v", "y"), ("y", "v"), ("f", "t"), ("t", "f"), ("o", "ó"), ("e", "é"), ("u", "v"), ("k", "lc"), ("h", "li"), ("n", "u"), ("z", "2"), ("q", "g"), ("a", "o"), ("c", "("), ("j", ";"), ("p", "р"), ("x", "х"), ("o", "о"), ("a", "а"), ("e", "е"),
 ]
 
 _TOKEN = re.compile(r"\S+")
@@ -194,6 +197,21 @@ def _value(s: str) -> int | None:
     return int(v) if v.isdigit() else None
 
 
+_ROMAN = re.compile(r"^[\W_]*(?:p(?:age|g)?\s*\.?\s*)?(?=[ivxlcm1|!]*[ivx])(m{0,3}(?:cm|cd|d?c{0,3})(?:xc|x[l]|l?x{0,3})(?:ix|iv|v?[i1l|!]{0,3}))[\W_]*$", re.I)
+
+
+def _roman(s: str) -> int | None:
+    m = _ROMAN.match(s)
+    if not m or not m[1]:
+        return None
+    worth = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+    low = m[1].lower()
+    head = low.rstrip("i1l|!")
+    low = head + "i" * (len(low) - len(head)) if head else low.replace("1", "i").replace("|", "i").replace("!", "i")
+    vals = [worth[c] for c in low.replace("1", "i").replace("|", "i").replace("!", "i")]
+    return sum(-v if any(v < w for w in vals[k + 1 : k + 2]) else v for k, v in enumerate(vals))
+
+
 def _alike(a: str, b: str, at_least: float = 0.8) -> bool:
     if not a or not b or abs(len(a) - len(b)) > 0.3 * max(len(a), len(b)):
         return False
@@ -211,15 +229,20 @@ def page_furniture(lines: list[str], title: str | None, author: str | None) -> s
     place = {i: k for k, i in enumerate(filled)}
     numbers: dict[int, int] = {}
     texts: dict[int, str] = {}
+    out: set[int] = set()
     for i in filled:
         s = lines[i].strip()
         if len(s) > 80:
             continue
         m = _ALONE.match(s)
-        if m:
-            v = _value(m[1])
-            if v is not None:
-                numbers[i] = v
+        v = _value(m[1]) if m else _roman(s)
+        if m and v is None:
+            v = _roman(s)
+        if v is not None:
+            numbers[i] = v
+            if not m and s.strip(" .-–—•[]()|").islower():
+                out.add(i)  # small Roman numerals stand alone on no line of running text
+        if m or v is not None:
             continue
         m = _AFTER.match(s) or _BEFORE.match(s)
         if m:
@@ -231,7 +254,6 @@ def page_furniture(lines: list[str], title: str | None, author: str | None) -> s
                 continue
         if len(s) <= 64:
             texts[i] = _bare(s)
-    out = set()
     at = sorted(numbers)
     # a dressed number ("- 12 -", "Page 3 of 90", "Title | 40") is one by its looks
     out |= {i for i in numbers if i in texts or _DRESSED.search(lines[i].strip())}
@@ -285,7 +307,8 @@ def page_furniture(lines: list[str], title: str | None, author: str | None) -> s
             out.add(i)
         elif "—" in lines[i] or _holds(texts[i], "scannedcopy"):
             out.add(i)
-    # capitals throughout are a head's dress
+    # a scan's own credit, and capitals throughout, are furniture by their looks
+    out |= {i for i, t in texts.items() if t.startswith("scannedcopy") or _alike(t[:11], "scannedcopy", 0.85)}
     out |= {i for i, t in texts.items() if len(t) >= 8 and len(lines[i].split()) >= 2 and lines[i].strip().isupper()}
     # a number alone beside a running head, or at the text's ends
     for i in at:
@@ -440,7 +463,7 @@ def lexicon_of(texts: DataFrame, text: str = "text", most: int = LEXICON, least:
 
 def trained_editor(clean: DataFrame, keys: list[str], text: str = "text", sample: int = TRAIN_TEXTS) -> Editor:
     """The editor, with the lexicon of all clean texts, trained on words of the ``sample`` texts of lowest hash."""
-    lex = lexicon_of(clean, text)
+    lex = dict.fromkeys(STRUCTURE, 1) | lexicon_of(clean, text)
     rows = clean.filter(F.col(text).isNotNull()).orderBy(F.xxhash64(*keys), *keys).select(text).limit(sample).collect()
     seen = Counter(w for r in rows for t in _TOKEN.findall(r[0]) for w in [core(t).lower()] if w in lex)
     r = random.Random(3)
