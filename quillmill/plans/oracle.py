@@ -167,6 +167,15 @@ m AS (SELECT *, lower({_strip("x")}) AS k FROM l),
 o AS (SELECT doc_id, k FROM m WHERE length(k) > 3 AND length(k) < 100 AND len({_words("k")}) < 10 AND n >= 20 GROUP BY doc_id, k HAVING count(*) >= 2),
 j AS (SELECT m.doc_id, m.x, m.p, o.k IS NULL AS keep FROM m LEFT JOIN o ON m.doc_id = o.doc_id AND m.k = o.k)
 SELECT doc_id, md5(coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (WHERE keep), '')) AS cleaned_md5 FROM j GROUP BY doc_id""",
+        "back_matter_truncate": f"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+m AS (SELECT *, list_filter(range(0, len(ls)), lambda i: i >= floor(len(ls) * CAST(0.85 AS DOUBLE)) AND regexp_matches(lower({_strip("ls[i + 1]")}), '^(?:{_alt(L.BACK_MATTER)})$')) AS hits FROM l)
+SELECT doc_id, md5(CASE WHEN len(ls) < 20 OR len(hits) = 0 THEN text ELSE array_to_string(ls[1:hits[1]], chr(10)) END) AS cleaned_md5 FROM m""",
+        "acknowledgments_cut": f"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+m AS (SELECT *, list_filter(range(0, len(ls)), lambda i: i < floor(len(ls) * CAST(0.15 AS DOUBLE)) AND regexp_matches(lower({_strip("ls[i + 1]")}), '^(?:{_alt(L.ACKNOWLEDGMENTS)})$'))[1] AS s FROM l),
+n AS (SELECT *, list_filter(range(0, len(ls)), lambda i: i > s AND i < least(s + 50, len(ls)) AND regexp_matches(lower({_strip("ls[i + 1]")}), '{_alt(L.FRONT_CHAPTERS)}'))[1] AS e FROM m)
+SELECT doc_id, md5(CASE WHEN len(ls) < 30 OR s IS NULL THEN text ELSE array_to_string(list_concat(ls[1:s], ls[coalesce(e, s + 1) + 1:]), chr(10)) END) AS cleaned_md5 FROM n""",
         "article_clean": _docs_md5(_strip(_ARTICLE)),
         "transcript_clean": f"WITH {_RESERVOIR} SELECT id, md5({_strip(_TRANSCRIPT)}) AS cleaned_md5 FROM r WHERE raw_text IS NOT NULL",
         "chunk_overlap_windows": f"""
