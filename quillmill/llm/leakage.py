@@ -1,12 +1,12 @@
 """Problem 9: passages of held-out items inside a corpus.
 
-Q-gram lemma filter. Both sides are reduced to lower-cased words joined by one blank. A region of at
-least ``length`` characters with at most ``k`` edits shares at least ``length - q + 1 - k * q``
-q-grams, all within a band of ``k`` neighbouring diagonals. The items' q-grams are indexed at every
-position; a document is probed at every ``step``-th, so at least ``probes`` hits remain. Hits are
-counted in bands of diagonals that overlap by half, bands that reach the bound are kept, and their
-regions are verified by alignment within the band. With ``k = 0``, as in ``leaks``, the alignment
-is the extension of one diagonal.
+Q-gram lemma filter. Both sides are reduced to lower-cased words joined by one blank. A run of words
+with at most ``k`` of them edited keeps a stretch of its share of the words whole, so it shares at least
+``length of the stretch - q + 1`` q-grams, all within a band of neighbouring diagonals. The items'
+q-grams are indexed at every position; a document is probed at every ``step``-th, so at least
+``probes`` hits remain. Hits are counted in bands of diagonals that overlap by half, bands that reach
+the bound are kept, and their regions are verified by alignment within the band. With ``k = 0``, as
+in ``p9_found``, the alignment is the extension of one diagonal.
 
 The items are a stated query set: a hash table of their q-grams goes to the executors, at most
 ``MAX_ITEM_CHARS`` characters of items at a time. Larger sets are cut into blocks of that size, and
@@ -72,10 +72,12 @@ class Index:
         if not items:
             return
         # the shortest run of so many words (blanks at both ends included) bounds q and the step
-        shortest = min(self._shortest(t) for t in self.texts)
-        self.q = max(8, min(32, shortest // 2 // 8 * 8))
-        # of the q-grams of a run, k edits destroy k * q; a probe at every step-th position leaves `probes`
-        left = max(1, shortest - self.q + 1 - k * self.q)
+        # k edited words leave one of k + 1 stretches with its share of the words untouched
+        whole = -(-(words - k) // (k + 1))
+        shortest = min(self._shortest(t, whole) for t in self.texts)
+        self.q = max(8, min(32, (shortest // 2 if k == 0 else shortest) // 8 * 8))
+        # such a stretch holds so many q-grams, and a probe at every step-th position meets `probes` of them
+        left = max(1, shortest - self.q + 1)
         self.step = max(1, min(8, left // 3))
         self.probes = max(1, left // self.step)
         self.starts = np.cumsum([0] + [len(t) for t in self.texts])
@@ -87,9 +89,10 @@ class Index:
         self.mask = np.zeros(1 << MASK_BITS, bool)
         self.mask[(self.h >> np.uint64(64 - MASK_BITS)).astype(np.int64)] = True
 
-    def _shortest(self, t: bytes) -> int:
+    @staticmethod
+    def _shortest(t: bytes, words: int) -> int:
         b = np.flatnonzero(np.frombuffer(t, np.uint8) == 32)
-        return int((b[self.words :] - b[: -self.words]).min()) + 1
+        return int((b[words:] - b[:-words]).min()) + 1
 
     def scan(self, flat: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
         """(document number, item number) pairs that share a run of words; ``flat`` holds all texts."""
@@ -131,6 +134,7 @@ class Index:
         text = flat[offsets[dn] : offsets[dn + 1]].tobytes()
         item = self.texts[i]
         done: dict[int, int] = {}
+        tried: set[tuple[int, int]] = set()
         for d, p in sorted(hits):
             d, p = d - int(offsets[dn]), p - int(self.starts[i])
             if self.k == 0:
@@ -140,7 +144,7 @@ class Index:
                 done[d - p] = b
                 if text[a:b].count(b" ") - 1 >= self.words:
                     return True
-            elif self._aligned(text, item, d, p):
+            elif self._aligned(text, item, d, p, tried):
                 return True
         return False
 
@@ -156,13 +160,16 @@ class Index:
         bad = np.flatnonzero(x != y)
         return a, d + (int(bad[0]) if len(bad) else m)
 
-    def _aligned(self, text: bytes, item: bytes, d: int, p: int) -> bool:
+    def _aligned(self, text: bytes, item: bytes, d: int, p: int, tried: set[tuple[int, int]]) -> bool:
         """Whether a run of ``words`` of the item's words around p aligns with the text in at most k word edits."""
         iw, tw = item[1:-1].split(b" "), text[1:-1].split(b" ")
         ip, tp = item[: p + 1].count(b" ") - 1, text[: d + 1].count(b" ") - 1
         for s in range(max(0, ip - self.words + 1), min(ip, len(iw) - self.words) + 1):
             q = iw[s : s + self.words]
             lo = max(0, tp - (ip - s) - self.k)
+            if (s, lo) in tried:
+                continue
+            tried.add((s, lo))
             t = tw[lo : lo + self.words + 2 * self.k]
             if banded_distance(q, t, self.k) <= self.k:
                 return True
