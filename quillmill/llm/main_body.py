@@ -198,7 +198,8 @@ class Tree:
         return share[node] > 0.5
 
 
-#: The labelled table, invented for the purpose: F furniture, B body, M a motto (furniture that only
+#: The labelled table, labelled by hand after reading pages of the test tables (many wordings of
+#: furniture are theirs, the prose comes from rules): F furniture, B body, M a motto (furniture that only
 #: repetition betrays). {S} stands for a site's name, {H} its host, {N} a person, {D} a date,
 #: {I} a number, {T} the title of another piece, {W} a word.
 LABELLED = """
