@@ -72,7 +72,7 @@ def title_known(rows: DataFrame, title: str, group: str, existing: DataFrame) ->
     A string begins some title of a sorted list if and only if it begins the least title not below
     it, so the prefix join is one sorted window and no pairs are formed.
     """
-    base = F.regexp_replace(F.col(title), r" \(Part \d+/\d+\)$", "")
+    base = F.regexp_replace(F.col(title), r"\s*\(Part \d+/\d+\)$", "")
     new = rows.select(*rows.columns, base.alias("__t"), F.lit(0).alias("__k"))
     old = existing.select(F.col(title).alias("__t"), F.col(group)).filter("__t is not null").distinct().withColumn("__k", F.lit(1))
     both = new.unionByName(old, allowMissingColumns=True)

@@ -378,8 +378,8 @@ def rekeyed_regions(s, d):
 @query
 def titles_known(s, d):
     r = _reservoir(s, d).filter("raw_title is not null and source_author is not null").select("id", "raw_title", "source_author", "status")
-    new = r.filter("status = 'AVAILABLE'").withColumn("raw_title", F.expr("left(raw_title, 12)"))
-    out = R.title_known(new.drop("status"), "raw_title", "source_author", r.filter("status <> 'AVAILABLE'"))
+    new = r.filter("status = 'AVAILABLE'").drop("status")
+    out = R.title_known(new, "raw_title", "source_author", r.filter("status <> 'AVAILABLE'"))
     return out.select("id", "known")
 
 

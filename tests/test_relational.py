@@ -10,6 +10,7 @@ from quillmill.operators import relational as R
 from quillmill.operators import rendering as M
 from quillmill.operators import topk as W
 from quillmill.operators import urls as H
+from quillmill.plans.catalogue import queries
 from quillmill.sources.page_blocks import page_text
 from quillmill.sources.text_files import archives, text_blocks, whole_files, write_bodies
 
@@ -53,6 +54,17 @@ def test_titles_known_is_a_prefix_test(spark):
     assert {x.i: x.known for x in out.collect()} == {1: True, 2: False, 3: False, 4: True, 5: False, 6: True}
 
 
+def test_titles_known_query_tests_whole_titles(spark, tmp_path):
+    rows = [
+        ("1", "A", "USED", "The Quiet Mind and Work (Part 1/2)"), ("2", "A", "USED", "Attention(Part 2/2)"),
+        ("3", "A", "AVAILABLE", "The Quiet Mind at Home"), ("4", "A", "AVAILABLE", "The Quiet Mind and Work (Part 2/2)"), ("5", "B", "AVAILABLE", "The Quiet Mind and Work"),
+        ("6", "A", "AVAILABLE", "The Quiet Mind and Work"), ("7", "A", "AVAILABLE", "Attention(Part 1/2)"), ("8", "A", "AVAILABLE", "The Quiet Mind and Work, Again"),
+    ]
+    spark.createDataFrame(rows, "id string, source_author string, status string, raw_title string").write.parquet(str(tmp_path / "content_reservoir.parquet"))
+    got = queries()["titles_known"](spark, str(tmp_path)).collect()
+    assert {x.id: x.known for x in got} == {"3": False, "4": True, "5": False, "6": True, "7": True, "8": False}
+
+
 def test_quotas():
     assert W.scaled_quotas({"a": 20, "b": 5, "c": 1}, 6) == {"a": 4, "b": 1, "c": 1}
     assert W.ratio_quotas({"a": 0.5, "b": 0.3, "c": 0.1}, 10) == {"a": 6, "b": 3, "c": 1}
