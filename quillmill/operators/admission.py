@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.operators.relational import base_title, title_known
 from quillmill.runtime import staged
 
 
@@ -91,23 +92,46 @@ def slug(name: Column, limit: int | None = None) -> Column:
     return F.when(out == "", "unknown").otherwise(F.left(out, F.lit(limit)) if limit else out)
 
 
-def routed(files: DataFrame, key: str, order: Column, tracked: DataFrame, authors: DataFrame, author: str, titles: DataFrame, title: str) -> DataFrame:
+def routed(files: DataFrame, key: str, order: str, tracked: DataFrame, authors: DataFrame, author: str, titles: DataFrame, title: str) -> DataFrame:
     """One outcome per file, tests in order: parse error, duplicate, unknown author, title known, inserted.
 
-    Earlier rows of a run count as known: the second of a key in order is a duplicate.
+    Earlier rows of a run count as known: the second of a key in order is a duplicate, and a title, bare of
+    a part suffix, is known if it begins one that its author has in ``titles`` or that was inserted before.
     """
     t = tracked.select(F.col(key).alias("__tk")).distinct()
     a = authors.select(F.col(author).alias("__ak")).distinct()
-    n = titles.select(F.col(title).alias("__nk")).distinct()
-    j = files.join(t, F.col(key) == F.col("__tk"), "left").join(a, F.col(author) == F.col("__ak"), "left").join(n, F.col(title) == F.col("__nk"), "left")
+    j = files.join(t, F.col(key) == F.col("__tk"), "left").join(a, F.col(author) == F.col("__ak"), "left")
     bad = F.col(key).isNull() | F.col(title).isNull()
     j = j.withColumn("__bad", bad).withColumn("__again", F.row_number().over(Window.partitionBy("__bad", key).orderBy(order)) > 1)
-    outcome = (
-        F.when(F.col("__bad"), "parse_error")
-        .when(F.col("__tk").isNotNull() | F.col("__again"), "duplicate")
-        .when(F.col("__ak").isNull(), "unknown_author")
-        .when(F.col("__nk").isNotNull(), "title_known")
-        .otherwise("inserted")
-    )
-    return j.withColumn("outcome", outcome).drop("__tk", "__ak", "__nk", "__bad", "__again")
+    early = F.when(F.col("__bad"), "parse_error").when(F.col("__tk").isNotNull() | F.col("__again"), "duplicate").when(F.col("__ak").isNull(), "unknown_author")
+    j = staged(j.select(*files.columns, early.alias("__early")), "routed")
+    new = title_known(j.filter("__early is null").select(order, author, title), title, author, titles).filter("not known")
+    kept = inserted_titles(new, title, author, order).withColumnRenamed("__o", "__in")
+    out = j.join(kept, F.col(order) == F.col("__in"), "left")
+    outcome = F.coalesce("__early", F.when(F.col("__in").isNull(), "title_known").otherwise("inserted"))
+    return out.withColumn("outcome", outcome).drop("__early", "__in")
+
+
+def inserted_titles(rows: DataFrame, title: str, group: str, order: str) -> DataFrame:
+    """``order`` of the rows, as ``__o``, whose base title begins no title of its group that was inserted before.
+
+    Only inserted rows block later ones; as in two_key_admission that walk is found in rounds, each of
+    which settles at least the first row left of every group. A title is looked up by those of its
+    beginnings that are as long as some base of the group, so no pairs are formed.
+    """
+    left = staged(rows.select(F.col(order).alias("__o"), F.col(group).alias("__g"), F.col(title).alias("__t"), base_title(F.col(title)).alias("__b")), "titles")
+    out = left.select("__o").limit(0)
+
+    def first(by: DataFrame, of: DataFrame) -> DataFrame:
+        """Rows of ``of`` beside the first row of ``by`` whose title their base begins."""
+        lengths = of.groupBy("__g").agg(F.collect_set(F.length("__b")).alias("__l"))
+        begins = by.join(lengths, "__g").select("__g", "__o", "__t", F.explode("__l").alias("__n")).filter("__n <= length(__t)")
+        least = begins.groupBy("__g", F.expr("left(__t, __n)").alias("__b")).agg(F.min("__o").alias("__m"))
+        return of.join(least, ["__g", "__b"], "left")
 
+    while not left.isEmpty():
+        won = staged(first(left, left).filter("__m = __o").select("__o", "__g", "__t"), "inserted")
+        out = out.unionByName(won.select("__o"))
+        rest = left.join(won.select("__o"), "__o", "left_anti")
+        left = staged(first(won, rest).filter("__m is null or __m > __o").select("__o", "__g", "__t", "__b"), "titles")
+    return out

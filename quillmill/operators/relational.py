@@ -66,18 +66,23 @@ def rekeyed(rows: DataFrame, key: str, mapping: DataFrame, old: str, new: str) -
     return rows.join(m, F.col(key) == F.col("__old"), "left").withColumn(key, F.coalesce("__new", key)).drop("__old", "__new")
 
 
+def base_title(title: Column) -> Column:
+    """A title bare of a part suffix."""
+    return F.regexp_replace(title, r"\s*\(Part \d+/\d+\)$", "")
+
+
 def title_known(rows: DataFrame, title: str, group: str, existing: DataFrame) -> DataFrame:
     """``known`` tells whether a title, bare of a part suffix, begins one that its group has.
 
     A string begins some title of a sorted list if and only if it begins the least title not below
     it, so the prefix join is one sorted window and no pairs are formed.
     """
-    base = F.regexp_replace(F.col(title), r"\s*\(Part \d+/\d+\)$", "")
-    new = rows.select(*rows.columns, base.alias("__t"), F.lit(0).alias("__k"))
+    new = rows.select(*rows.columns, base_title(F.col(title)).alias("__t"), F.lit(0).alias("__k"))
     old = existing.select(F.col(title).alias("__t"), F.col(group)).filter("__t is not null").distinct().withColumn("__k", F.lit(1))
     both = new.unionByName(old, allowMissingColumns=True)
-    ahead = Window.partitionBy(group).orderBy("__t", "__k").rowsBetween(1, Window.unboundedFollowing)
-    least = F.first(F.when(F.col("__k") == 1, F.col("__t")), ignorenulls=True).over(ahead)
+    # sorted downwards, as a frame that ends at the row grows with it; one that begins there is read anew for every row
+    above = Window.partitionBy(group).orderBy(F.desc("__t"), F.desc("__k")).rowsBetween(Window.unboundedPreceding, -1)
+    least = F.last(F.when(F.col("__k") == 1, F.col("__t")), ignorenulls=True).over(above)
     out = both.withColumn("__n", least).filter("__k = 0")
     return out.withColumn("known", F.coalesce(F.col("__n").startswith(F.col("__t")), F.lit(False))).select(*rows.columns, "known")
 

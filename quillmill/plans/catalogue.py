@@ -257,7 +257,8 @@ def import_routing(s, d):
     new = i.filter("status = 'PENDING'").select("id", "key", F.col("source_type").alias("author"), F.col("raw_title").alias("title"))
     old = i.filter("status = 'PASSED'")
     authors = s.createDataFrame([("BLOG",), ("REDDIT",), ("YOUTUBE",)], "author string")
-    out = A.routed(new, "key", F.col("id"), old.filter("key is not null"), authors, "author", old.filter("raw_title is not null").select(F.col("raw_title").alias("title")), "title")
+    titles = old.filter("raw_title is not null").select(F.col("source_type").alias("author"), F.col("raw_title").alias("title"))
+    out = A.routed(new, "key", "id", old.filter("key is not null"), authors, "author", titles, "title")
     return out.select("id", "outcome")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -65,6 +66,53 @@ def test_titles_known_query_tests_whole_titles(spark, tmp_path):
     assert {x.id: x.known for x in got} == {"3": False, "4": True, "5": False, "6": True, "7": True, "8": False}
 
 
+def _ordered_import(files, tracked, authors, titles):
+    """D8 row by row."""
+    base = lambda t: re.sub(r"\s*\(Part \d+/\d+\)$", "", t)
+    keys, known, out = set(), set(titles), {}
+    for i, k, a, t in sorted(files):
+        if k is None or t is None:
+            out[i] = "parse_error"
+            continue
+        if k in keys or k in tracked:
+            out[i] = "duplicate"
+        elif a not in authors:
+            out[i] = "unknown_author"
+        elif any(g == a and o.startswith(base(t)) for g, o in known):
+            out[i] = "title_known"
+        else:
+            out[i] = "inserted"
+            known.add((a, t))
+        keys.add(k)
+    return out
+
+
+def _routed(spark, files, tracked, authors, titles):
+    df = spark.createDataFrame(files, "i int, k string, a string, t string")
+    out = A.routed(df, "k", "i", spark.createDataFrame([(k,) for k in tracked], "k string"), spark.createDataFrame([(a,) for a in authors], "a string"), "a", spark.createDataFrame(titles, "a string, t string"), "t").collect()
+    assert len(out) == len(files)
+    return {x.i: x.outcome for x in out}
+
+
+def test_import_routing_tests_title_beginnings(spark):
+    files = [
+        (1, "k1", "A", "X"), (2, "k2", "B", "X"), (3, "k3", "A", "Y (Part 1/2)"), (4, "k4", "A", "Y (Part 2/2)"), (5, "k5", "A", "Y"), (6, "k6", "B", "Y"),
+        (7, "k3", "A", "Z"), (8, "k8", "Q", "W"), (9, "k9", "A", "W"), (10, None, "A", "W"), (11, "t", "A", "V"), (12, "k12", "A", "X (Part 1/3) more"),
+    ]
+    got = _routed(spark, files, ["t"], ["A", "B"], [("A", "X (Part 1/3)")])
+    assert got == {1: "title_known", 2: "inserted", 3: "inserted", 4: "title_known", 5: "title_known", 6: "inserted", 7: "duplicate", 8: "unknown_author", 9: "inserted", 10: "parse_error", 11: "duplicate", 12: "inserted"}
+
+
+def test_import_routing_is_the_ordered_walk(spark):
+    r = random.Random(9)
+    ends = ["", "", "a", "ab", " (", " (Part 1/2)", " (Part 2/2)", " (Part 1/2) (Part 1/2)", "(Part 2/2)"]
+    files = [(i, r.choice([None, *map(str, range(300))]), r.choice("ABCQ"), r.choice([None, *"xyz" * 9]) and r.choice("xyz") + r.choice("xyz") + r.choice(ends)) for i in range(160)]
+    titles = [("A", "xya"), ("B", "zz (Part 1/2)"), ("Q", "xx")]
+    got = _routed(spark, files, ["7", "8", "9"], ["A", "B", "C"], titles)
+    assert got == _ordered_import(files, {"7", "8", "9"}, {"A", "B", "C"}, titles)
+    assert len({*got.values()}) == 5
+
+
 def test_quotas():
     assert W.scaled_quotas({"a": 20, "b": 5, "c": 1}, 6) == {"a": 4, "b": 1, "c": 1}
     assert W.ratio_quotas({"a": 0.5, "b": 0.3, "c": 0.1}, 10) == {"a": 6, "b": 3, "c": 1}
