@@ -549,7 +549,8 @@ def furniture(pages: DataFrame) -> DataFrame:
     sure = lines.filter("sure").select("item_id", "line_no")
     open_ = lines.filter("not sure")
     often = open_.groupBy("source", "key").agg(F.countDistinct("copy").alias("n")).filter(F.col("n") >= MIN_REPEATS)
-    pages_of = rows.groupBy("source").agg(F.approx_count_distinct("item_id", 0.02).alias("pages"))
+    # copies of a page count once, here as above
+    pages_of = rows.filter("source is not null").groupBy("source").agg(F.countDistinct(F.crc32("text")).alias("pages"))
     often = often.join(pages_of, "source").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("source", "key")
     return sure.unionByName(open_.join(often, ["source", "key"], "left_semi").select("item_id", "line_no")).distinct()
 

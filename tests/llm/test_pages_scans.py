@@ -36,6 +36,19 @@ def test_furniture_lines(spark):
     assert "cookies" not in body["a"] and "Key takeaways" in body["a"] and body["n"] is None and body["one"] == PROSE
 
 
+def test_copies_do_not_hide_a_motto(spark):
+    motto = "No plan forgives a careful sibling."
+    rows = [(f"m{i}", f"{PROSE * 2} {i}\n{motto}\n{PROSE * 3}", None, "s") for i in range(30)]
+    rows += [(f"p{i}", f"{PROSE * 2} {i}\n{PROSE * 3}", None, "s") for i in range(70)]
+    rows += [(f"c{i}", f"{PROSE * 4}\n{PROSE * 3}", None, "s") for i in range(900)]
+    df = spark.createDataFrame(rows, "item_id string, text string, title string, source string")
+    assert {tuple(x) for x in P3.furniture(df).collect()} == {(f"m{i}", 1) for i in range(30)}
+    # a motto on fewer than 8 % of the distinct pages isn't one, however often a page with it is copied
+    rows = rows[:7] + [(f"d{i}", rows[0][1], None, "s") for i in range(50)] + rows[30:]
+    rows += [(f"q{i}", f"{PROSE * 2} q{i}\n{PROSE * 3}", None, "s") for i in range(30)]
+    assert P3.furniture(spark.createDataFrame(rows, df.schema)).count() == 0
+
+
 def test_editor_on_held_out_noise():
     words = sorted(set("habit morning careful friend another burden silence comfort wound deadline mirror reward calm story plan follows rarely gently ordinary feeling kitchen question".split()))
     ed = P4.Editor({w: 9 for w in words}).train(words * 60)
