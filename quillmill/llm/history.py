@@ -49,7 +49,7 @@ _RNG = np.random.RandomState(20240)
 _MUL = (_RNG.randint(0, 1 << 62, ROWS * BANDS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _RNG.randint(0, 1 << 62, ROWS * BANDS).astype(np.uint64)
 
-_TABLE = "src string, id string, kind int, ts timestamp, size int, fp bigint, slices array<smallint>, bands array<bigint>"
+_TABLE = "src string, id string, kind int, ts timestamp, size int, fp bigint, slices array<int>, bands array<bigint>"
 
 
 def pivot_rows(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +83,7 @@ def _tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(have)
             lists = lambda m, k, t: pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.array(m.reshape(-1).astype(t)))  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(take) for i in range(4)), pa.array(size.astype(np.int32)), pa.array(fp.view(np.int64)), lists(slices, SLICES, np.int16), lists(bands.view(np.int64), BANDS, np.int64)],
+                [*(batch.column(i).take(take) for i in range(4)), pa.array(size.astype(np.int32)), pa.array(fp.view(np.int64)), lists(slices, SLICES, np.int32), lists(bands.view(np.int64), BANDS, np.int64)],
                 names=["src", "id", "kind", "ts", "size", "fp", "slices", "bands"],
             )
 

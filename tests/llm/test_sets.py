@@ -27,6 +27,16 @@ def edited(r, words, k):
     return out
 
 
+def test_near_duplicates_of_half_a_million_shingles(spark):
+    # a slice holds a 16th of them: 33,125 and 32,375, to both sides of what 16 bits count
+    words = [f"w{i}" for i in range(530_000)]
+    rows = [("h", 0, datetime(2024, 1, 1), " ".join(words)), ("n", 1, datetime(2024, 1, 2), " ".join(words[:518_000]))]
+    df = spark.createDataFrame(rows, "id string, kind int, ts timestamp, text string")
+    table = P6.pivot_table(df.withColumn("src", F.lit("s"))).collect()
+    assert all(min(x.slices) > 0 and sum(x.slices) == x.size for x in table) and len(table) == 2
+    assert {x.id for x in P6.by_content(df.withColumn("src", F.lit("s"))).collect()} == {"n"}
+
+
 @pytest.mark.parametrize("leaders", [32, 1])
 def test_near_duplicates_of_history(spark, monkeypatch, leaders):
     monkeypatch.setattr(P6, "LEADERS", leaders)
