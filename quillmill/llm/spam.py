@@ -98,9 +98,9 @@ def judge(text: str | None) -> tuple | None:
     elif tag_share >= TAG_SHARE and ended < LOW_PUNCTUATION and len(hashes) >= 10:
         reason = "tags"
     elif n >= MIN_WORDS and normal <= STUFFED:
-        top, pairs = Counter(w for w in words if len(w) > 3 and w not in _ANY), Counter(zip(words, words[1:]))
+        top, pairs = Counter(w for w in words if len(w) > 3 and w not in _ANY), Counter((a, b) for a, b in zip(words, words[1:]) if a not in _ANY and b not in _ANY)
         one = top.most_common(1)[0][1] / n if top else 0.0
-        two = max((c for (a, b), c in pairs.most_common(8) if a not in _ANY and b not in _ANY), default=0) * 2 / n
+        two = max(pairs.values(), default=0) * 2 / n
         key = max(one, two / 2)
         # speech without punctuation has its function words; keyword and tag lists have not
         spoken = sum(map(_ANY.__contains__, words)) >= SPOKEN * n and normal > REDUNDANT * 0.6

@@ -103,3 +103,11 @@ def test_spam(spark):
     df = spark.createDataFrame([*spam.items(), *fine.items(), (20, None), (1, spam[1])], "doc_id bigint, text string")
     assert {x.doc_id for x in P10.spam(df).collect()} == set(spam)
     assert P10.spam(df.limit(0)).count() == 0
+
+
+def test_function_words_do_not_crowd_out_a_keyword_pair():
+    # ten pairs of function words as frequent as the keyword, which has short words only
+    names = ["garden", "window", "market", "bridge", "doctor", "kettle", "ladder", "mirror"]
+    text = " ".join(f"and it is of the to be in for this with gut fix {w}." for w in names)
+    assert P10.judge(text)[-1] == "stuffed"
+    assert P10.judge(text.replace("gut fix", "so"))[-1] is None
