@@ -248,3 +248,6 @@ VIDEO_URLS = [
     r"(?:https?://)?(?:www\.)?youtube\.com/embed/([a-zA-Z0-9_-]{11})",
     r"(?:https?://)?(?:www\.)?youtube\.com/shorts/([a-zA-Z0-9_-]{11})",
 ]
+
+#: H4; the lists of prohibited phrases and weak openers are empty in the reference.
+SUMMARY_ENDINGS = ("to sum up", "the takeaway", "remember,", "so remember")

@@ -60,6 +60,18 @@ def unused_since(rows: DataFrame, usage: DataFrame, keys: list[str], ts: str, as
     return rows.join(recent, keys, "left_anti")
 
 
+def free_angles(angles: DataFrame, fits: Column, key: str, usage: DataFrame, atom: str, value: object, ts: str, as_of: str, days: int) -> DataFrame:
+    """Active angles that fit, or all if none does, without those used with one atom in the window."""
+    pool = _with_total(angles, F.max(F.coalesce(fits, F.lit(False))).alias("__any")).filter(fits | ~F.col("__any")).drop("__any")
+    return unused_since(pool, usage.filter(F.col(atom) == F.lit(value)), [key], ts, as_of, days)
+
+
+def with_brief(content: DataFrame, schedules: DataFrame) -> DataFrame:
+    """Pieces beside their schedule and its brief, {} where it has none; pieces without a schedule drop out."""
+    s = schedules.select(F.col("id").alias("schedule_id"), "trace_id", "required_pillar", "required_format", F.coalesce("brief", F.lit("{}")).alias("brief"))
+    return content.select(F.col("id").alias("generated_content_id"), "schedule_id").join(s, "schedule_id")
+
+
 def rekeyed(rows: DataFrame, key: str, mapping: DataFrame, old: str, new: str) -> DataFrame:
     """Keys replaced where the mapping has them, else as they are."""
     m = mapping.select(F.col(old).alias("__old"), F.col(new).alias("__new"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.lexicons import SUMMARY_ENDINGS
+
 
 def numbered(items: Column) -> Column:
     """M1: "1. a" lines."""
@@ -36,6 +38,40 @@ def overview(rows: DataFrame, group: list[str], order: str, line: Column, out: s
     )
 
 
+def _by_format(kind: Column, reel: Column, carousel: Column, quote: Column) -> Column:
+    return F.coalesce(F.when(kind == "REEL", reel).when(kind == "CAROUSEL", carousel).when(kind == "QUOTE", quote), F.lit(""))
+
+
+def full_text(kind: Column, reel: Column, slides: Column, quote: Column) -> Column:
+    """H1: all text of a piece. ``reel``: struct hook_line, body (array), punch_line; ``slides``: array of struct
+    headline, body; ``quote``: struct quote_text, quote_text_alt. Empty slide bodies are left out."""
+    own = F.flatten(F.transform(slides, lambda s: F.array(s["headline"], F.when(s["body"] != "", s["body"]))))
+    body = F.coalesce(F.array_join(reel["body"], " "), F.lit(""))
+    return _by_format(
+        kind,
+        F.concat(reel["hook_line"], F.lit(" "), body, F.lit(" "), reel["punch_line"]),
+        F.array_join(own, " "),
+        F.concat(quote["quote_text"], F.lit(" "), F.coalesce(quote["quote_text_alt"], F.lit(""))),
+    )
+
+
+def first_line(kind: Column, reel: Column, slides: Column, quote: Column) -> Column:
+    """H1: the hook, the first headline, or what comes before the quotation's first full stop."""
+    return _by_format(kind, reel["hook_line"], F.get(slides, F.lit(0))["headline"], F.get(F.split(quote["quote_text"], r"\."), F.lit(0)))
+
+
+def last_line(kind: Column, reel: Column, slides: Column, quote: Column) -> Column:
+    """H1: the punch line, the last slide's body or else headline, or what follows the last full stop."""
+    last = F.try_element_at(slides, F.lit(-1))
+    stripped = F.regexp_replace(F.element_at(F.split(quote["quote_text"], r"\."), -1), r"^\s+|\s+$", "")
+    return _by_format(kind, reel["punch_line"], F.when(last["body"] != "", last["body"]).otherwise(last["headline"]), stripped)
+
+
+def summary_ending(last: Column, endings: tuple[str, ...] = SUMMARY_ENDINGS) -> Column:
+    """H4: the first of the endings, in their order, that a last line contains; null without one."""
+    return F.coalesce(*[F.when(F.contains(F.lower(last), F.lit(e)), F.lit(e)) for e in endings])
+
+
 def length_failures(parts: Column, part_limit: int, least: int, most: int, total_limit: int) -> Column:
     """H1-H5: ordered reasons why a piece of several parts breaks its format's bounds; empty if it keeps them."""
     n = F.size(parts)

@@ -167,3 +167,27 @@ def test_page_blocks(spark):
 def test_rendering(spark):
     r = spark.range(1).select(M.file_name(F.lit(3), F.lit("Monday"), F.lit("reel"), F.lit(8)), M.file_name(F.lit(12), F.lit("Friday"), F.lit("quote"), F.lit(None).cast("int")), M.preview(F.lit('# A\n> "quoted"\nx')), M.preview(F.lit("**plain** text")), M.bullets(F.array().cast("array<string>"))).first()
     assert list(r) == ["03_MON_REEL_8AM.md", "12_FRI_QUOTE_TBD.md", "quoted", "plain text", "N/A"]
+
+
+def test_free_angles_and_briefs(spark):
+    angles = spark.createDataFrame([("a", "REEL"), ("b", "REEL"), ("c", "QUOTE")], "angle string, fit string")
+    usage = spark.createDataFrame([("1", "a", "2025-01-10"), ("1", "b", "2024-01-10"), ("2", "b", "2025-01-10"), ("1", "c", "2025-01-10")], "atom string, angle string, day string").withColumn("ts", F.col("day").cast("timestamp"))
+    free = lambda kind: sorted(x.angle for x in R.free_angles(angles, F.col("fit") == kind, "angle", usage, "atom", "1", "ts", "2025-01-15", 84).collect())
+    assert free("REEL") == ["b"] and free("QUOTE") == [] and free("CAROUSEL") == ["b"]
+    content = spark.createDataFrame([("g1", "s1"), ("g2", "s2"), ("g3", "s9")], "id string, schedule_id string")
+    plan = spark.createDataFrame([("s1", "t1", "P", "REEL", '{"a": 1}'), ("s2", "t2", "P", "QUOTE", None)], "id string, trace_id string, required_pillar string, required_format string, brief string")
+    assert sorted((x.generated_content_id, x.trace_id, x.brief) for x in R.with_brief(content, plan).collect()) == [("g1", "t1", '{"a": 1}'), ("g2", "t2", "{}")]
+
+
+def test_lines_by_format(spark):
+    kinds = "kind string, reel struct<hook_line:string,body:array<string>,punch_line:string>, slides array<struct<headline:string,body:string>>, quote struct<quote_text:string,quote_text_alt:string>"
+    rows = [
+        ("REEL", ("Hook", ["b1", "b2"], "So REMEMBER, rest"), None, None), ("CAROUSEL", None, [("H1", "B1"), ("H2", ""), ("H3", None)], None), ("CAROUSEL", None, [], None),
+        ("QUOTE", None, None, ("One. Two", "Alt")), ("QUOTE", None, None, ("The takeaway", "x")), ("QUOTE", None, None, ("Ends.", "x")), ("OTHER", None, None, None),
+    ]
+    c = [F.col(x) for x in ("kind", "reel", "slides", "quote")]
+    got = spark.createDataFrame(rows, kinds).select(M.full_text(*c), M.first_line(*c), M.last_line(*c), M.summary_ending(M.last_line(*c))).collect()
+    assert [tuple(x) for x in got] == [
+        ("Hook b1 b2 So REMEMBER, rest", "Hook", "So REMEMBER, rest", "remember,"), ("H1 B1 H2 H3", "H1", "H3", None), ("", "", "", None),
+        ("One. Two Alt", "One", "Two", None), ("The takeaway x", "The takeaway", "The takeaway", "the takeaway"), ("Ends. x", "Ends", "", None), ("", "", "", None),
+    ]
