@@ -1,25 +1,31 @@
 r"""Problem 3: the main body of web pages, line by line.
 
-A page is a sequence of flat text blocks, one per line. A block has its word count, link density
-and a few surface marks, and those of its neighbours; a decision tree, trained on a small labelled
-table (``LABELLED``, assembled into pages by a fixed seed), calls it body or furniture. What a
-source repeats on a good share of its pages is a mark too: blocks whose class depends on it are
-counted per source in a second step, everything else is settled where it is read.
+A page is a sequence of flat text blocks, one per line. A block has its word count and link density
+(the share of its characters in anchors, addresses and runs of menu items), the same of its neighbours,
+its place on the page and marks of its shape (sentence ends, capitals, figures, separators). A decision
+tree trained on a small labelled table (``LABELLED``, assembled into pages by a fixed seed) calls it body
+or furniture. No wording is a feature: what tells a standing line is that it, or its beginning or end,
+recurs on many pages. Five bits say so: the whole line does on its own source's pages, or on those of many
+sources; its first piece, its last piece, its lead before a colon do on either. The tree is asked for every
+setting of the bits where the page is read, and only blocks whose class depends on them are counted;
+everything else is settled there and then.
 
 Defined results: null and empty texts have no lines; texts that are no prose (the tree never sees
 them) have no furniture; blank lines are neither; copies of one text count once towards repetition;
-an id delivered twice counts once; pages of one line, and very long pages, are treated alike.
+an id delivered twice counts once; pages of one line, and very long pages, are treated alike; a null
+source is a source of its own for repetition across sources and none for repetition within one.
 """
 
 from __future__ import annotations
 
 import random
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,114 +35,144 @@ from quillmill.runtime import ship, staged
 ship(__name__)
 ship("quillmill.llm.common_words")
 
-#: A block counts as repeated by its source from so many distinct texts and this share of them on.
+#: A piece recurs within a source from so many distinct texts and this share of them on,
+#: and across sources from so many sources and this share of them on.
 MIN_REPEATS, MIN_SHARE = 3, 0.08
-#: Pages of the training set that are assembled from the labelled lines.
-TRAIN_PAGES, DEPTH, LEAF = 700, 14, 4
-
-_COMMON = frozenset(w for v in WORDS.values() for w in v)
-_TAGS = re.compile(r"<[^<>\n]{1,300}>")
-_LINK = re.compile(r"<a\b[^>]*>.*?</a>|https?://\S+|www\.\S+", re.I)
-_END = re.compile(r"[.!?…:][\"'”’»)\]]*$")
-_SENT = re.compile(r"[.!?…][\"”’»)]*(?=\s|$)")
-_MARK = re.compile(r"^(?:[-–•*·☐›>]|\[[ x]?\]|\(?\d{1,3}[.)])\s+\S")
-_NAV = frozenset("home about contact login menu search archive archives topics shop store newsletter podcast courses events books press faq members essays community start-here blog rss imprint privacy account cart categories videos subscribe donate advertise".split())
-_SEPS = re.compile(r"[|·›»/•>]|\s{2,}|\s[–-]\s")
-_CUE = re.compile(
-    r"(?<![a-z])(?:(?:use|cookies?\?|verwenden|usamos|utilisons) ?(?:des )?cookies|cookies\? only|cookie (?:settings|policy|notice)|privacy (?:policy|matters|notice)|\| privacy|consent choices|data to measure|datenschutz|subscribe (?:for|\||to .*(?:never|e-?mail|updates))|unsubscribe|sign(?:ed)? up (?:free|at|for|now|today)|all rights|copyright \d|copyright ©|terms of use|imprint|"
-    r"required fields|e-?mail address|leave a (?:reply|comment)|\bcomments?\b|\blikes?\b.*\bshares?\b|share (?:this:|it with)|follow (?:us:|[a-z]+ [a-z]+ (?:for|on))|\brss\b|back to (?:top|the)|"
-    r"report an error|older posts|newer posts|powered by|some links|commission|affiliate|min(?:ute)?s? read|last updated|\bby the\b.*\beditors\b|popular (?:this|now|posts)|recent posts|"
-    r"filed under|posted (?:in|on|by)|^tags?:|^published\b|related:|you may also like|recommended for you|read next|^next:|^← ?|previous:|"
-    r"advertisement|sponsored|brought to you|use code|story continues|download the|free worksheet|image credit|\[photo|photo:|photo by|"
-    r"skip to|toggle navigation|you are here|search this site|save this|like this\?|tap the heart|if this helped|thanks for reading|printed from|you are receiving|"
-    r"information (?:only|purposes)|medical advice|views expressed|property of|transcribed by|errors are ours|about the author|written by|writing from|founder of|"
-    r"join [\d,.]+ |listen on|episode \d|in this week's podcast|readers inside|we send one letter|join [\d.,]+ readers|workbook for|in our shop|from our reader survey|letter from a reader|is a small magazine|hello at|^contact:|may use your data|stores small files|accept all|aceptar|akzeptieren|accepter|ok / no thanks|"
-    r"reproduced without|written permission|letters on an? |subscribers|enter your email|^by [a-z]+ [a-z]+ ?\||reply from|lives with|consult a|^[a-z]+ [a-z]+ \| )|©|→$|% off",
-)
-_COMMENT = re.compile(r"^(?:reply from\s+)?\S*[a-z]\d{1,4}(?:,\s*[\d.\-/]+|\s+says|\s+wrote)?\s*:", re.I)
-_DATE = re.compile(r"\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b")
-_CRUMB = re.compile(r"^(?:you are here|home|start|[a-z-]+)\s*[›»>/:]\s*\S", re.I)
-_DIGITS = re.compile(r"\d+")
-_SPACE = re.compile(r"\s+")
-_EDGE = re.compile(r"^\W+|\W+$")
-
-NAMES = "words links prev next prev_cue next_cue from_top from_end above below ends sents cue cue_first nav seps digits date mark title comment crumb caps common after tail_cues titled lower repeat".split()
-REPEAT = len(NAMES) - 1
-
-
-def blocks(text: str) -> list[tuple[int, str, str]]:
-    """(line number, raw line, bare text) of the non-blank lines."""
-    out = []
-    for i, raw in enumerate(text.split("\n")):
-        bare = _TAGS.sub(" ", raw) if "<" in raw else raw
-        bare = _SPACE.sub(" ", bare).strip()
-        if bare:
-            out.append((i, raw, bare))
+MIN_SOURCES, MIN_SOURCE_SHARE = 5, 0.005
+#: Sites of the training set (one to twelve pages each) that are assembled from the labelled lines.
+TRAIN_SITES, DEPTH, LEAF = 700, 14, 12
+
+TAGS = r"<[^<>\n]+>"
+LINKED = r"(?i)<a\b[^>]*>.*?</a>|https?://\S+|www\.\S+|\S+@\S+\.\S+"
+END = "[.!?…:][\"'”’»)\\]]*$"
+SENTENCE = "[.!?…][\"”’»)]*(?:\\s|$)"
+MARK = r"^(?:[-–•*·☐›>]|\[[ x]?\]|\(?\d{1,3}[.)])\s+\S"
+SEPARATORS = r"[|·›»/•>→]|\s{2,}|\s[–—-]\s"
+COMMON = r"\b(?:" + "|".join(sorted({w for v in WORDS.values() for w in v}, key=lambda w: (-len(w), w))) + r")\b"
+#: What parts a line into pieces.
+PIECE = r"[.!?…:;,|·›»→←—–(){}\[\]\"“”]"
+
+NAMES = (
+    "words links p_words p_links n_words n_links p_ends n_ends pp_words pp_links nn_words nn_links pp_ends nn_ends ends sents caps digits seps symbols mark colon head_digit quoted lower upper title common "
+    "top end place above below tail since until whole_here whole_abroad first last lead"
+).split()
+BITS, PIECES = ("whole_here", "whole_abroad", "first", "last", "lead"), ("whole", "first", "last", "lead")
+_BIT0 = len(NAMES) - len(BITS)
+
+
+class Blocks:
+    """The non-blank lines of some texts: document, line number, raw line, bare text."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.split_pattern(texts, "\n")
+        size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw = lists.flatten()
+        doc = np.repeat(np.arange(len(texts)), size)
+        no = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+        open_ = pc.replace_substring_regex(raw, TAGS, " ")
+        bare = pc.utf8_trim_whitespace(pc.replace_substring_regex(open_, r"[\s\p{Z}]+", " "))
+        keep = pc.not_equal(bare, "")
+        self.doc, self.no = doc[np.asarray(keep)], no[np.asarray(keep)]
+        self.raw, self.open, self.bare = raw.filter(keep), open_.filter(keep), bare.filter(keep)
+        self.low = pc.utf8_lower(self.bare)
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def pieces(self) -> np.ndarray:
+        """Hashes of the whole line, its first piece, its last piece and its lead (0 without one); figures are alike."""
+        text = pc.replace_substring_regex(self.low, r"[\p{L}\p{N}]*\p{N}[\p{L}\p{N}]*", "0")
+        text = pc.replace_substring_regex(pc.replace_substring_regex(text, r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]+$", "")
+        first = pc.utf8_rtrim_whitespace(pc.replace_substring_regex(text, rf"(?s){PIECE}.*$", ""))
+        last = pc.utf8_ltrim_whitespace(pc.replace_substring_regex(text, rf"(?s)^.*{PIECE}", ""))
+        lead = pc.if_else(pc.match_substring_regex(text, r"^(?:[^\s:]+ ){0,5}[^\s:]+:"), pc.replace_substring_regex(text, r"(?s):.*$", ""), "")
+        out = np.empty((len(self), 4), np.int64)
+        for k, p in enumerate((text, first, last, lead)):
+            # the place of a piece is part of its key
+            h = pd.util.hash_array(np.asarray(p, dtype=object), categorize=True) if len(p) else np.zeros(0, np.uint64)
+            h = (h ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
+            out[:, k] = np.where(np.asarray(pc.equal(p, "")), 0, h)
+        return out
+
+
+def _shift(v: np.ndarray, doc: np.ndarray, by: int, none: float) -> np.ndarray:
+    """The value ``by`` blocks further on the same page."""
+    out = np.full(len(v), none, np.float32)
+    if abs(by) < len(v):
+        a, b = (slice(None, -by), slice(by, None)) if by > 0 else (slice(-by, None), slice(None, by))
+        out[a] = np.where(doc[a] == doc[b], v[b], none)
     return out
 
 
-def features(lines: list[tuple[int, str, str]], title: str | None) -> np.ndarray:
-    """One row of ``NAMES`` per block; ``repeat`` is left at 0."""
-    n = len(lines)
+def features(b: Blocks, titles: list[str | None]) -> np.ndarray:
+    """One row of ``NAMES`` per block; the bits are left at 0."""
+    n = len(b)
     x = np.zeros((n, len(NAMES)), np.float32)
-    want = _EDGE.sub("", _SPACE.sub(" ", title)).lower() if title else None
-    cues = np.zeros(n, np.float32)
-    long_ = np.zeros(n, np.float32)
-    table: list[list[float]] = []
-    for j, (_, raw, bare) in enumerate(lines):
-        toks = bare.split(" ")
-        k = len(toks)
-        row = [0.0] * len(NAMES)
-        table.append(row)
-        row[0] = min(k, 60)
-        if "<a" in raw or "http" in raw or "www." in raw:
-            row[1] = min(1.0, sum(len(_TAGS.sub("", m)) for m in _LINK.findall(raw)) / len(bare))
-        elif raw.lstrip().startswith("<span"):
-            row[1] = 1.0  # an inline element alone on its line is no paragraph
-        sents = len(_SENT.findall(bare))
-        row[10] = 1.0 if _END.search(bare) else 0.0
-        row[11] = min(sents, 6)
-        long_[j] = k >= 15 and sents >= 1
-        low = bare.lower()
-        row[20] = 1.0 if _COMMENT.match(bare) else 0.0
-        first = _CUE.search(low)
-        if first or row[20]:
-            cues[j] = row[12] = 1.0
-            row[13] = first.start() / len(low) if first else 0.0
-        else:
-            row[13] = 1.0
-        if k <= 40:
-            bits = [t.strip(".,:;|·/»›>–-…!? ") for t in low.split(" ")] if k <= 16 else low.split(" ")
-            bits = [b for b in bits if b]
-            row[14] = sum(map(_NAV.__contains__, bits)) / max(1, len(bits))
-            row[15] = len(_SEPS.findall(raw.strip() if "<" not in raw else bare))
-            row[16] = sum(map(len, _DIGITS.findall(bare))) / len(bare)
-            row[17] = 1.0 if _DATE.search(bare) else 0.0
-            row[21] = 1.0 if _CRUMB.match(bare) else 0.0
-            row[22] = 1.0 if bare.isupper() else 0.0
-            row[23] = sum(map(_COMMON.__contains__, bits)) / max(1, len(bits))
-        row[18] = 1.0 if _MARK.match(bare) else 0.0
-        if want and _EDGE.sub("", low) == want:
-            row[19] = 1.0
-    if n:
-        x[:] = table
-    w = x[:, 0]
-    x[:, 27] = [b[:1].islower() for _, _, b in lines]
-    # a sentence that no cue speaks against; what stands after the last of them is the page's tail
-    body = (x[:, 10] > 0) & (w >= 4) & (cues == 0) & (x[:, 20] == 0)
-    x[:, 24] = np.minimum(body.sum() - np.cumsum(body), 5)
-    run = 0
-    for j in range(n):
-        x[j, 25] = min(run, 5)
-        run = 0 if body[j] else run + int(cues[j] > 0 or x[j, 20] > 0 or x[j, 14] > 0.9)
-    x[:, 26] = (x[:, 10] == 0) & (w >= 3) & (w <= 14) & (x[:, 18] == 0) & (cues == 0) & (x[:, 27] == 0)
-    x[1:, 2], x[:-1, 3] = w[:-1], w[1:]
-    x[1:, 4], x[:-1, 5] = cues[:-1], cues[1:]
-    x[:, 6] = np.minimum(np.arange(n), 40)
-    x[:, 7] = np.minimum(np.arange(n)[::-1], 40)
-    seen = np.cumsum(long_)
-    x[:, 8] = np.minimum(seen - long_, 5)
-    x[:, 9] = np.minimum((seen[-1] if n else 0) - seen, 5)
+    if not n:
+        return x
+    col = {name: i for i, name in enumerate(NAMES)}
+    num = lambda a: np.asarray(a).astype(np.float32)
+    put = lambda name, v: x.__setitem__((slice(None), col[name]), v)
+    doc = b.doc
+    length = np.maximum(num(pc.utf8_length(b.bare)), 1)
+    words = num(pc.count_substring(b.bare, " ")) + 1
+    ends = num(pc.match_substring_regex(b.bare, END))
+    sents = num(pc.count_substring_regex(b.bare, SENTENCE))
+    mark = num(pc.match_substring_regex(b.bare, MARK))
+    seps = num(pc.count_substring_regex(pc.utf8_trim_whitespace(b.open), SEPARATORS))
+    rest = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.replace_substring_regex(b.raw, LINKED, ""), TAGS, ""))
+    anchor = np.clip(1 - num(pc.utf8_length(rest)) / length, 0, 1) * num(pc.match_substring_regex(b.raw, LINKED))
+    inline = num(pc.match_substring_regex(b.raw, r"^\s*<(?:span|a|button|nav)\b"))  # such an element alone on its line is no paragraph
+    lone = (words <= 2) & (ends == 0) & (mark == 0)
+    run = lone & ((_shift(lone, doc, 1, 0) > 0) | (_shift(lone, doc, -1, 0) > 0))
+    menu = (seps >= 1) & (words <= 4 * (seps + 1)) & (ends == 0) & (mark == 0)
+    links = np.maximum(np.maximum(anchor, inline), (run | menu).astype(np.float32))
+    long_ = (words >= 15) & (sents >= 1)
+    body = (ends > 0) & (words >= 4)
+    for name, v in {"words": words, "links": links, "ends": ends, "sents": sents, "seps": seps, "mark": mark}.items():
+        put(name, v)
+    for name, v, none in (("words", words, 0), ("links", links, -1), ("ends", ends, -1)):
+        for prefix, by in (("p_", -1), ("n_", 1), ("pp_", -2), ("nn_", 2)):
+            put(prefix + name, _shift(v, doc, by, none))
+    put("caps", num(pc.count_substring_regex(b.bare, r"(?:^|[\s(“\"‘'])\p{Lu}")) / words)
+    put("digits", num(pc.count_substring_regex(b.bare, r"\p{N}")) / length)
+    put("symbols", num(pc.count_substring_regex(b.bare, r"[^\p{L}\p{N}\s.,;:!?'\"“”‘’()…-]")) / length)
+    colon = num(pc.find_substring(b.bare, ":"))
+    put("colon", np.where(colon < 0, 1e6, colon))
+    put("head_digit", num(pc.match_substring_regex(b.bare, r"^\S*\p{L}\S*\p{N}|^(?:\S+ ){1,2}\S*\p{L}\p{N}+:")))
+    put("quoted", num(pc.match_substring_regex(b.bare, "^[“\"«„]")))
+    put("lower", num(pc.match_substring_regex(b.bare, r"^\p{Ll}")))
+    put("upper", num(pc.utf8_is_upper(b.bare)))
+    bare_title = [re.sub(r"\W+", " ", t).strip().lower() if t else "" for t in titles]
+    same = pc.equal(pc.utf8_trim_whitespace(pc.replace_substring_regex(b.low, r"[^\p{L}\p{N}_]+", " ")), pa.array(bare_title).take(pa.array(doc)))
+    put("title", num(same))
+    put("common", num(pc.count_substring_regex(b.low, COMMON)) / words)
+    # places, per page
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    size = np.diff(np.r_[first, n])
+    start, stop = np.repeat(first, size), np.repeat(first + size, size)
+    at = np.arange(n)
+    put("top", at - start)
+    put("end", stop - 1 - at)
+    put("place", (at - start) / np.maximum(stop - start - 1, 1))
+
+    def before(flag: np.ndarray) -> np.ndarray:
+        c = np.r_[0, np.cumsum(flag)]
+        return c[at] - c[start]
+
+    def after(flag: np.ndarray) -> np.ndarray:
+        c = np.r_[0, np.cumsum(flag)]
+        return c[stop] - c[at + 1]
+
+    put("above", before(long_))
+    put("below", after(long_))
+    put("tail", after(body))
+    last_long = np.maximum.accumulate(np.where(long_, at, -1))
+    last_long = np.r_[-1, last_long[:-1]]
+    put("since", np.where(last_long >= start, at - last_long, 1e3))
+    next_long = np.minimum.accumulate(np.where(long_, at, n)[::-1])[::-1]
+    next_long = np.r_[next_long[1:], n]
+    put("until", np.where(next_long < stop, next_long - at, 1e3))
     return x
 
 
@@ -197,194 +233,211 @@ class Tree:
             live = live[feature[node[live]] >= 0]
         return share[node] > 0.5
 
+    def masks(self, x: np.ndarray) -> np.ndarray:
+        """The class under every setting of the bits, one bit a setting; recurring pieces only ever add furniture."""
+        x = x.copy()
+        out = np.zeros(len(x), np.uint32)
+        for setting in range(1 << len(BITS)):
+            x[:, _BIT0:] = [setting >> k & 1 for k in range(len(BITS))]
+            out |= self.predict(x).astype(np.uint32) << np.uint32(setting)
+        return np.where(out & 1, np.uint32(0xFFFFFFFF), out).view(np.int32)
+
 
-#: The labelled table, labelled by hand after reading pages of the test tables (many wordings of
-#: furniture are theirs, the prose comes from rules): F furniture, B body, M a motto (furniture that only
-#: repetition betrays). {S} stands for a site's name, {H} its host, {N} a person, {D} a date,
-#: {I} a number, {T} the title of another piece, {W} a word.
+#: The labelled table: lines as web pages commonly have them, written and labelled by hand. Kind (F furniture,
+#: B body, M a motto, furniture that only its return on the site's pages betrays), place on the page (T top,
+#: I inside, E end, A any), line. {S} stands for a site's name, {H} its host, {N} a person, {D} a date,
+#: {I} a number, {T} the title of another piece, {W} a word, {U} a commenter, {P} a sentence.
 LABELLED = """
-F|Every Sunday we send one letter. {P} Join {I} readers.
-F|{P} Buy the workbook for {I} in our shop.
-F|{W}{I} says: {P} {P}
-F|Read next: {P} {P}
-F|Your privacy matters to us: we and our {I} partners process data to measure audiences and personalise content.
-F|{S} is a small magazine about feelings and habits. {P}
-F|In this week's podcast: {P} {P}
-F|“{P}” — from our reader survey, {I}
-F|“{P}” — a letter from a reader
-F|{S} – letters on a calmer life
-F|{S} - notes for slow readers
-F|Home
-F|About
-F|Menu
-F|Login
-F|Search
-F|Newsletter
-F|Podcast
-F|Books
-F|Courses
-F|Events
-F|Start-Here
-F|Community
-F|Contact
-F|Shop
-F|Press
-F|Essays
-F|FAQ
-F|Store
-F|Archive
-F|Members
-F|Topics
-F|Home | About | Podcast | Search
-F|Topics  Community  Essays  Home  Books
-F|Courses / Login / Press / Archive
-F|Members · Login · Newsletter · About
-F|Books » Archive » Contact » Home
-F|Podcast | Events | Home | Archive | Shop
-F|Toggle navigation
-F|Skip to content
-F|Search this site…
-F|You are here: Home › Essays / {T}
-F|Home > Topics › {T}
-F|Start / Books > {T}
-F|We use cookies to improve your visit. Accept all | Manage settings
-F|Cookies? Only the useful ones. OK / No thanks
-F|Wir verwenden Cookies, um Inhalte zu personalisieren. Alle akzeptieren
-F|Usamos cookies propias y de terceros. Aceptar
-F|Nous utilisons des cookies pour mesurer l'audience. Tout accepter – Tout refuser
-F|This site stores small files on your device. By continuing you agree to our privacy policy.
-F|To read on, please choose how {H} may use your data.
-F|Consent choices have been updated on {D}. Review your preferences
-F|By {N} | {D} | {I} min read
-F|{N} | {D} | {I} min read
-F|{D} · {I} min read
-F|Published {D} in {W}
-F|Posted in {W} by admin on {D}
-F|Last updated: {D} by {S}
-F|By the {S} editors, {D}
-F|Written by {N}, founder of {S}
-F|— {N}, writing from the {S} desk —
-F|Share this: Facebook · X · Email · Print
-F|Save this article for later
-F|Leave a comment · {I} likes · {I} shares
-F|Like this? Tap the heart so others can find it
-F|If this helped you, share it with one friend who needs it today.
-F|Subscribe to {S} and never miss a letter. Enter your email
-F|Sign up free — join {I} readers
-F|Join {I} readers inside the {S} circle
-F|Thanks for reading {S}! Subscribe for free to receive new posts.
-F|You are receiving this because you signed up at {H}
-F|Download the free worksheet ({I} downloads)
-F|This episode is brought to you by {W}, use code {W} for {I}% off.
-F|Advertisement
-F|Story continues below
-F|[Sponsored] {T}
-F|Some links on this page earn {S} a small commission.
-F|Recommended for you
-F|You may also like: {T}
-F|Read next: {T}
-F|Related: {T}
-F|Next: {T} →
-F|← Previous: {T}
-F|Recent posts: {T}; {T}
-F|Popular this week: {T}
-F|In this week's podcast: {T}.
-F|Listen on {S} radio, episode {I}
-F|Filed under: {W}, {W}
-F|Tags: {W}, {W}, {W}
-F|{I} comments
-F|{W}{I}, {D}: {P}
-F|{W}{I}, {D}: {P} {P}
-F|Reply from {W}{I}: {P}
-F|Leave a reply. Your email address will not be published. Required fields are marked *
-F|About the author: writer at {S}, lives with two cats and too many notebooks.
-F|Follow {N} for a new letter every Sunday.
-F|Follow us: Instagram YouTube RSS
-F|© {I} {S}. All rights reserved.
-F|© {I} {H}
-F|Copyright {I} {N} — no part of this text may be reproduced without written permission
-F|The views expressed here are those of {N} alone.
-F|Nothing in this text is medical advice; please speak to a professional.
-F|All content on {H} is for information only and replaces no advice.
-F|The contents of {H} are the property of {S}; they may not be copied without permission, even in part.
-F|Names have been changed; no person on this page is named, and nothing here replaces the advice of a doctor or lawyer.
-F|Transcribed by volunteers of {S}; errors are ours.
-F|Image credit: {S}
-F|[Photo: {S} archive]
-F|Terms of use | Privacy | Cookie settings | Imprint
-F|Subscribe | Donate | Advertise
-F|Contact: hello at {H}
-F|Back to top
-F|Report an error on this page
-F|1 2 3 … {I} Older posts
-F|Powered by a small team and much coffee
-F|Page printed from {H} on {D}
-M|{P}
-M|{F}
-M|{F}
-M|{P}
-B|{T}
-B|{T}
-B|Where this leaves us
-B|The short version
-B|Key takeaways
-B|A final thought
-B|What to try this week
-B|What the research says
-B|Why it matters
-B|{T}
-B|{P}
-B|{P} {P}
-B|{P} {P} {P}
-B|{P} {P} {P} {P}
-B|{P} {P} {P} {P} {P} {P}
-B|{P} {P} {P}
-B|{P} {P}
-B|“{P}” she said. {P}
-B|Search for the {W} first.
-B|Next, our hollow {W}.
-B|Subscribe to fewer opinions about {W}.
-B|Cookies on the counter, fear in the drawer.
-B|Related, but not the same: {W} and {W}.
-B|Contact comes before {W}.
-B|Share the {W}, keep the {W}.
-B|What {W} costs
-B|About {W} and {W}
-B|And then {W}.
-B|Home is a {W}.
-B|tl;dr {P}
-B|Update - {P}
-B|“{P},” he said.
-B|>
-B|Not {W}. {W}.
-B|“No.”
-B|“Maybe,” he said.
-B|Read that again.
-B|It took years.
-B|- {P}
-B|• {P}
-B|* {P}
-B|{L}. {P}
-B|{L}. {T}
-B|[ ] {T}
-B|☐ {T}
-B|> {P}
-B|EDIT: {P}
-B|{C}
-B|{C}
-B|{C}
-B|{P} ({H}) {P}
-B|{P} (p = 0.0{L}, n = {I}). {P}
-B|{G}
-B|{G}
+F|T|Home
+F|T|Blog
+F|T|Categories
+F|T|Sign in
+F|T|Gallery
+F|T|About us
+F|T|About
+F|T|About me
+F|T|How it works
+F|T|Start now
+F|T|Services
+F|T|Projects
+F|T|Support
+F|T|Careers
+F|T|Forum
+F|T|Resources
+F|T|My basket
+F|T|Home | Services | Gallery | Support
+F|T|Projects / Forum / Careers / Blog / Resources
+F|T|Blog  Gallery  Forum  Support
+F|T|Latest · Popular · Archive · Login
+F|T|Home › Guides › {T}
+F|T|Home / {W} / {T}
+F|T|Start > {W}
+F|T|Jump to main content
+F|T|Open the menu
+F|T|Type to search…
+F|T|This website uses cookies to give you the best experience. I agree | Learn more
+F|T|Cookie consent: we and {I} vendors store information on your device.
+F|T|We value your privacy. Customise / Reject all / Accept
+F|T|Diese Website benutzt Cookies. Mehr erfahren – Einverstanden
+F|T|Este sitio web utiliza cookies para mejorar su experiencia. Aceptar / Rechazar
+F|T|Ce site utilise des cookies pour vous offrir le meilleur service. J'accepte
+F|T|{S} asks for your permission to use your personal data.
+F|T|by {N}
+F|T|Text: {N} | {D}
+F|T|{D}, {N}
+F|T|{D} – {I} minutes
+F|T|{N} · {D} · {I} minute read
+F|T|Estimated reading time: {I} minutes
+F|T|Published on {D} under {W}
+F|T|Updated {D} by {N}
+F|T|An article by {N} for {S}
+F|T|From the editors of {S} on {D}
+F|T|{S} — stories for curious people
+F|T|{S}: the weekly reader
+F|A|Share on Facebook | Tweet | Pin it
+F|A|Share: Mail · WhatsApp · Print
+F|A|Bookmark this post
+F|A|{I} shares, {I} comments
+F|A|Did you enjoy this? Pass it on to a colleague.
+F|A|Support our work by giving this post a like
+F|A|Subscribe to the {S} newsletter and get new posts by mail. Your email
+F|A|Get our free guide. {P} Download now
+F|A|Over {I} people read {S} every week. Sign up here
+F|A|Become a member of {S} today
+F|A|Our monthly letter reaches {I} inboxes. {P} Subscribe today.
+F|A|You can cancel at any time. We respect your inbox
+F|A|New in the shop: {T} for {I} euros
+F|A|{P} Order the planner for {I} dollars at {H}.
+F|A|Save {I} percent with the code {W} at checkout.
+F|A|This post is supported by {W} – try it free for {I} days.
+F|A|Ad
+F|A|Continue reading below the ad
+F|A|Promotion: {T}
+F|A|Disclosure: we may earn a fee when you buy through our links.
+F|A|See also: {T}
+F|A|More like this: {T}
+F|A|More from {S}: {T}
+F|A|Don't miss: {P} {P}
+F|A|This week on the {S} show: {P} {P}
+F|A|Hear the conversation with {N} on the {S} podcast
+F|A|Photo: {N}
+F|A|Picture credits: {S} archive
+F|A|Figure by {N}, {S}
+F|A|„{P}“ — {N}, reader
+F|A|“{P}” — a member of our community
+F|A|★ ★ ★ ★ ★ {I} reviews
+F|E|Up next: {T} »
+F|E|« Older: {T}
+F|E|Newer: {T} »
+F|E|Most read: {T} | {T}
+F|E|Top stories
+F|E|Editor's picks
+F|E|Topics: {W}, {W}, {W}
+F|E|Labels: {W} | {W}
+F|E|In category {W}
+F|E|{I} responses
+F|E|{U}, {D}: {P}
+F|E|{U} wrote: {P} {P}
+F|E|{U} ({D}): {P}
+F|E|{U} replied: {P}
+F|E|Answer by {U}: {P}
+F|E|Comment by {U}: {P} {P}
+F|E|Write a comment. Your address stays private. Fields with a star are needed *
+F|E|You must be logged in to comment
+F|E|{N} is a writer for {S} and lives by the sea with a dog.
+F|E|About {N}: coach, speaker and host of the {S} podcast.
+F|E|{N} writes a letter on {W} every Friday.
+F|E|About us: {S} is a project by volunteers. {P}
+F|E|Follow {S} on Instagram, YouTube and Facebook
+F|E|© {I} {S}
+F|E|© {I} {N}, all rights reserved
+F|E|Copyright © {I} {H}. Reprints only with consent
+F|E|Opinions in this post belong to {N} and nobody else.
+F|E|This page gives general information and can't replace a visit to a doctor.
+F|E|{S} owns the contents of this site; you may not copy them, in whole or in part, without our consent.
+F|E|We changed some names to protect people; nothing written on {H} is legal or financial advice.
+F|E|Typed up from a recording by {S}; please forgive mistakes.
+F|E|Legal notice | Data protection | Contact
+F|E|Imprint · Privacy · Terms · Accessibility
+F|E|Advertise with us | Jobs | Press
+F|E|Write to us: {W}@{H}
+F|E|Scroll to top
+F|E|Found a mistake? Let us know
+F|E|1 2 3 4 … {I} Next
+F|E|Page {I} of {I}
+F|E|Made with care in a small town
+F|E|Retrieved from {H}, {D}
+F|E|This mail was sent to you by {S}. Unsubscribe
+M|A|{P}
+M|A|{F}
+M|A|{F}
+M|A|{P}
+B|A|{T}
+B|A|{T}
+B|A|What we know so far
+B|A|In a nutshell
+B|A|Three small steps
+B|A|Main points
+B|A|Takeaway
+B|A|What helps
+B|A|The evidence
+B|A|Where to begin
+B|A|Before you start
+B|A|A last word
+B|A|Why {W} matters
+B|A|{T}
+B|A|{P}
+B|A|{P} {P}
+B|A|{P} {P} {P}
+B|A|{P} {P} {P} {P}
+B|A|{P} {P} {P} {P} {P} {P}
+B|A|{P} {P} {P}
+B|A|{P} {P}
+B|A|“{P}” said {N}. {P}
+B|A|Look for the {W} first.
+B|A|Then came the {W}.
+B|A|Sign nothing in anger about {W}.
+B|A|Crumbs on the {W}, silence in the {W}.
+B|A|Alike, yet never the same: {W} and {W}.
+B|A|The {W} of {W}
+B|A|So much for {W}.
+B|A|In short: {P}
+B|A|One more thing - {P}
+B|A|Note: {P}
+B|A|Side note - {P}
+B|A|PS: {P}
+B|A|“{P},” they said.
+B|A|“Never.”
+B|A|“Perhaps,” she said.
+B|A|No {W}. No {W}.
+B|A|Think about the {W}, then the {W}.
+B|A|Years of {W} went by for {N}.
+B|A|- {P}
+B|A|• {P}
+B|A|* {P}
+B|A|{L}. {P}
+B|A|{L}. {T}
+B|A|[ ] {T}
+B|A|☐ {T}
+B|A|> {P}
+B|A|{C}
+B|A|{C}
+B|A|{C}
+B|A|{P} ({H}) {P}
+B|A|{P} <a href='/{L}'>{W}</a> {P}
+B|A|{P} (t = 1.{L}, n = {I}). {P}
+B|A|{G}
+B|A|{G}
 """
 
 _ADJ = "calm quiet patient hidden stubborn familiar gentle restless early slow bitter useful private tired brave".split()
 _NOUN = "morning friend habit body partner silence choice plan memory reader letter garden teacher pride boundary sibling".split()
 _VERB = "follows hides softens repeats carries invites avoids mirrors forgives names delays rewards tests shapes questions".split()
 _TAIL = ["because of an old promise", "until the evening ends", "even if nobody asks", "instead of the plan", "once the noise fades", "at the edge of the day", "while you wait", "as soon as she rests"]
+_OPEN = ["After all, ", "At first, ", "Sometimes, ", "Still, ", "At home ", "Later on, ", "Every so often ", "As a rule, ", "In theory, ", "These days ", "Oddly, ", "Years ago ", "For most of us ", "Then again, ", "Now and then, ", "To begin with, ", "No wonder ", "Next, "]
 _DET = "the a one her our your that this every another".split()
 _GERMAN = ["Die leise Angst ordnet den Tag, und niemand fragt danach.", "Das alte Muster bleibt, solange wir schweigen.", "La rutina sencilla cambia el miedo, aunque duela al principio.", "Le petit rituel protège la nuit, comme dans toute relation."]
+_SYL = "pal tor min vel sha ken dri fen lud bra oru".split()
 
 
 def _filled(template: str, r: random.Random, site: dict[str, str]) -> str:
@@ -394,6 +447,9 @@ def _filled(template: str, r: random.Random, site: dict[str, str]) -> str:
     def clause() -> str:
         return f"{noun()} {r.choice(['often ', 'rarely ', 'slowly ', 'never ', ''])}{r.choice(_VERB)} {noun()}"
 
+    def name(k: int = 3) -> str:
+        return "".join(r.choice(_SYL) for _ in range(k))
+
     def value(m: re.Match) -> str:
         k = m[1]
         if k in site:
@@ -403,14 +459,17 @@ def _filled(template: str, r: random.Random, site: dict[str, str]) -> str:
         if k == "L":
             return str(r.randrange(1, 9))
         if k == "D":
-            return r.choice([f"{r.randrange(1, 28)}.{r.randrange(1, 12)}.20{r.randrange(15, 25)}", f"20{r.randrange(15, 25)}-0{r.randrange(1, 9)}-1{r.randrange(9)}"])
+            return r.choice([f"{r.randrange(1, 28)}.{r.randrange(1, 12)}.20{r.randrange(15, 25)}", f"20{r.randrange(15, 25)}-0{r.randrange(1, 9)}-1{r.randrange(9)}", f"{r.choice(['March', 'June', 'May'])} {r.randrange(1, 28)}, 20{r.randrange(15, 25)}"])
         if k == "W":
-            return r.choice([*_NOUN, "palvel", "torken", "mindri"])
+            return r.choice(_NOUN) if r.random() < 0.15 else name(r.choice([2, 3]))
+        if k == "U":
+            return r.choice([f"{name()}{r.randrange(99)}", f"{name()}{r.randrange(99)}", name(2).capitalize()])
         if k == "T":
-            first = r.choice(["", "", "", "Learning to hold ", "The part of you that ", "A fear of losing ", "Whoever often "])
+            first = r.choice(["", "", "", "How to keep ", "The side of you that ", "Anyone who often "])
             return first + clause() if first else clause().capitalize()
         if k == "P":
-            return f"{clause()} {r.choice(_TAIL)}{r.choice(['.', '.', '?'])}".capitalize()
+            text = f"{clause()} {r.choice(_TAIL)}{r.choice(['.', '.', '?'])}"
+            return r.choice(_OPEN) + text if r.random() < 0.4 else text.capitalize()
         if k == "F":
             return f"{r.choice(['Slowly ', 'Rarely ', 'Never ', ''])}{r.choice(_VERB)} {noun()}, {r.choice(_TAIL)}".capitalize()
         if k == "C":
@@ -421,64 +480,118 @@ def _filled(template: str, r: random.Random, site: dict[str, str]) -> str:
     return re.sub(r"\{(\w)\}", value, template)
 
 
-def training_pages(pages: int = TRAIN_PAGES, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of pages assembled from the labelled table."""
+def labelled(half: int | None = None) -> dict[tuple[str, str], list[str]]:
+    """Lines by kind and place; ``half`` 0 or 1 gives every second furniture line, so that the other half is unseen."""
+    out: dict[tuple[str, str], list[str]] = {}
+    for i, row in enumerate(LABELLED.strip().split("\n")):
+        kind, place, text = row.split("|", 2)
+        if kind != "F" or half is None or i % 2 == half:
+            out.setdefault((kind, place), []).append(text)
+    return out
+
+
+def _page(r: random.Random, site: dict[str, str], own: dict[str, list[str]], mottos: list[str], kinds: dict) -> tuple[list[tuple[str, bool]], str]:
+    """(lines and whether they are furniture, title)."""
+    fill = lambda t: _filled(t, r, site)
+    page: list[tuple[str, bool]] = []
+    if r.random() < 0.2:
+        # a page of text with hardly any furniture
+        own = {**own, "menu": [], "T": [], "I": own["I"][:1], "E": []}
+    if r.random() < 0.5 and own["menu"]:
+        page += [(t, True) for t in own["menu"]]
+    page += [(fill(t), True) for t in r.sample(own["T"], r.randrange(0, min(7, len(own["T"]) + 1)))]
+    title = fill("{T}")
+    if r.random() < 0.6:
+        page.append((title, False))
+    heavy = r.random() < 0.75
+    if r.random() < 0.25:
+        # a list in the text
+        sign, t = r.choice(["• ", "- ", "* ", "☐ ", "> "]), r.choice(["{P}", "{P}", "{T}"])
+        page += [(fill(r.choice(["{P} {P}", "{P}"])), False)] + [(fill(sign + t), False) for _ in range(r.randrange(2, 9))]
+    if r.random() < 0.3:
+        # running text broken into short lines
+        words = fill(" ".join(["{P}"] * r.randrange(4, 16))).split()
+        if r.random() < 0.5:
+            # spoken text: no capitals, no marks
+            words = [w.strip(".?,").lower() for w in words]
+        k = r.randrange(6, 13)
+        page += [(" ".join(words[i : i + k]), False) for i in range(0, len(words), k)]
+    heads = [t for t in kinds["B", "A"] if len(t.split()) <= 5 and t[-1] not in ".”}:"] if r.random() < 0.3 else []
+    for _ in range(r.randrange(2, 12)):
+        t = r.choice(["{P} {P} {P}", "{P} {P} {P} {P}", "{P} {P}"]) if heavy and r.random() < 0.6 else r.choice(kinds["B", "A"])
+        if heads and r.random() < 0.4:
+            page.append((fill(r.choice([*heads, "{W} and {W}", "{T}"])), False))
+            t = r.choice(["{P} {P} {P}", "{P} {P}"])
+        page.append((fill(t), False))
+        if r.random() < 0.2 and own["I"]:
+            page.append((fill(r.choice(own["I"])), True))
+        if r.random() < 0.2 and mottos:
+            page.append((r.choice(mottos), True))
+    tail = [fill(t) for t in r.sample(own["E"], r.randrange(0, min(12, len(own["E"]) + 1)))]
+    if tail and r.random() < 0.3:
+        # titles of other pieces
+        where = r.randrange(len(tail) + 1)
+        tail[where:where] = [fill("{T}") for _ in range(r.randrange(1, 6))]
+    if len(tail) > 5 and r.random() < 0.2:
+        # how another piece begins, deep in the tail
+        tail.insert(r.randrange(4, len(tail)), fill("{P} {P}"))
+    page += [(t, True) for t in tail]
+    if r.random() < 0.1:
+        page = [(t.upper() if f and r.random() < 0.5 else t, f) for t, f in page]
+    if r.random() < 0.45:
+        tag = lambda t, f: r.choice(["<a href='/x'>{0}</a>", "<span class='c'>{0}</span>"]).format(t) if f and r.random() < 0.5 else f"<p class='c'>{t}</p>"
+        page = [(tag(t, f), f) for t, f in page]
+    return page, title
+
+
+def training_pages(sites: int = TRAIN_SITES, seed: int = 11, half: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of sites assembled from the labelled table; the bits are counted over them as over a corpus."""
     r = random.Random(seed)
-    rows = [x.split("|", 1) for x in LABELLED.strip().split("\n")]
-    kinds = {k: [t for a, t in rows if a == k] for k in "FMB"}
-    cut = next(i for i, t in enumerate(kinds["F"]) if t.startswith("Share this"))
-    top, bottom = kinds["F"][:cut], kinds["F"][cut:]
-    xs, ys = [], []
-    for _ in range(pages):
-        a, b = r.choice(["Slow", "Paper", "North", "Amber"]), r.choice(["Ledger", "Garden", "Notes", "Room"])
-        name = "".join(r.choice(["pal", "tor", "min", "vel", "sha"]) for _ in range(3))
-        site = {"S": f"{a} {b} {name.capitalize()}", "H": f"{a.lower()}{b.lower()}-{name}.example", "N": f"{name.capitalize()} {r.choice(['Torminfen', 'Velpalsha'])}"}
-        fill = lambda t: _filled(t, r, site)  # noqa: B023, E731
-        page: list[tuple[str, bool, bool]] = []
-        for t in r.sample(top, r.randrange(0, 9)):
-            page.append((fill(t), True, False))
-        title = fill("{T}")
-        if r.random() < 0.6:
-            page.append((title, False, False))
-        heavy = r.random() < 0.75
-        if r.random() < 0.25:
-            # a list in the text
-            sign, t = r.choice(["• ", "- ", "* ", "☐ ", "> "]), r.choice(["{P}", "{P}", "{T}"])
-            page += [(fill(r.choice(["{P} {P}", "{P}"])), False, False)] + [(fill(sign + t), False, False) for _ in range(r.randrange(2, 9))]
-        if r.random() < 0.3:
-            # running text broken into short lines
-            words = fill(" ".join(["{P}"] * r.randrange(4, 16))).split()
-            if r.random() < 0.5:
-                # spoken text: no capitals, no marks
-                words = [w.strip(".?,").lower() for w in words]
-            k = r.randrange(6, 13)
-            page += [(" ".join(words[i : i + k]), False, False) for i in range(0, len(words), k)]
-        for _ in range(r.randrange(2, 12)):
-            t = r.choice(["{P} {P} {P}", "{P} {P} {P} {P}", "{P} {P}"]) if heavy and r.random() < 0.6 else r.choice(kinds["B"])
-            page.append((fill(t), False, False))
-            if r.random() < 0.18:
-                page.append((fill(r.choice(kinds["F"])), True, False))
-            if r.random() < 0.06:
-                page.append((fill(r.choice(kinds["M"])), True, True))
-        tail = [fill(t) for t in r.sample(bottom, r.randrange(0, 12))]
-        if tail and r.random() < 0.4:
-            # titles of other pieces
-            where = r.randrange(len(tail) + 1)
-            tail[where:where] = [fill("{T}") for _ in range(r.randrange(1, 6))]
-        if len(tail) > 5 and r.random() < 0.3:
-            # how another piece begins, deep in the tail
-            tail.insert(r.randrange(4, len(tail)), fill("{P} {P}"))
-        page += [(t, True, False) for t in tail]
-        if r.random() < 0.1:
-            page = [(t.upper() if f and r.random() < 0.5 else t, f, m) for t, f, m in page]
-        if r.random() < 0.2:
-            page = [((r.choice(["<a href='/x'>{0}</a>", "<span class='c'>{0}</span>"]).format(t) if f and r.random() < 0.4 else f"<p class='c'>{t}</p>"), f, m) for t, f, m in page]
-        lines = [(i, t, _SPACE.sub(" ", _TAGS.sub(" ", t)).strip()) for i, (t, _, _) in enumerate(page)]
-        x = features(lines, title if r.random() < 0.7 else None)
-        x[:, REPEAT] = [1.0 if m or (f and r.random() < 0.3) else 0.0 for _, f, m in page]
-        xs.append(x)
-        ys.append(np.array([f for _, f, _ in page]))
-    return np.concatenate(xs), np.concatenate(ys)
+    kinds = labelled(half)
+    pick = lambda rows, k: r.sample(rows, min(k, len(rows)))
+    texts, titles, sources, labels, bodies = [], [], [], [], []
+    for s in range(sites):
+        a, b, name = r.choice(["Slow", "Paper", "North", "Amber"]), r.choice(["Ledger", "Garden", "Notes", "Room"]), "".join(r.choice(_SYL) for _ in range(3))
+        site = {"S": f"{a} {b} {name.capitalize()}", "H": f"{a.lower()}{b.lower()}-{name}.example", "N": f"{name.capitalize()} {r.choice(_SYL).capitalize()}{r.choice(_SYL)}"}
+        any_ = kinds["F", "A"]
+        singles = [t for t in kinds["F", "T"] if len(t.split()) <= 2]
+        own = {"menu": pick(singles, r.randrange(0, 8)), "T": pick([t for t in kinds["F", "T"] if t not in singles], 12), "I": pick(any_, 10), "E": pick(kinds["F", "E"], 16) + pick(any_, 10)}
+        own["T"] += pick(any_, 2)
+        mottos = [_filled(r.choice(kinds["M", "A"]), r, site) for _ in range(r.choice([0, 1, 1, 2]))]
+        for _ in range(r.randrange(1, 12)):
+            page, title = _page(r, site, own, mottos, kinds)
+            if r.random() < 0.03:
+                page = [(_filled(r.choice(["{T}", "{P}", "[{W}]"]), r, site), False)]
+            if bodies and r.random() < 0.04:
+                # a near copy of another page's body, in this page's furniture
+                other = r.choice(bodies[-6:])
+                kept = [(t, f) for t, f in page if f]
+                at = r.randrange(len(kept) + 1)
+                page = kept[:at] + other[: r.randrange(1, len(other) + 1)] + kept[at:]
+            own_body = [(t, f) for t, f in page if not f]
+            if own_body:
+                bodies.append(own_body)
+            texts.append("\n".join(t for t, _ in page))
+            titles.append(title if r.random() < 0.7 else None)
+            sources.append(s)
+            labels += [f for _, f in page]
+    b = Blocks(pa.array(texts))
+    x = features(b, titles)
+    keys = b.pieces()
+    source = np.array(sources)[b.doc]
+    pages = np.bincount(sources)
+    for k in range(len(PIECES)):
+        df = pd.DataFrame({"key": keys[:, k], "source": source, "doc": b.doc}).query("key != 0").drop_duplicates()
+        n = df.groupby(["source", "key"]).size()
+        within = n[(n >= MIN_REPEATS) & (n >= MIN_SHARE * pages[n.index.get_level_values(0)])]
+        m = df.drop_duplicates(["source", "key"]).groupby("key").size()
+        wide = m[(m >= MIN_SOURCES) & (m >= MIN_SOURCE_SHARE * sites)].index
+        here, abroad = pd.MultiIndex.from_arrays([source, keys[:, k]]).isin(within.index), np.isin(keys[:, k], wide)
+        if k == 0:
+            x[:, _BIT0], x[:, _BIT0 + 1] = here, abroad
+        else:
+            x[:, _BIT0 + 1 + k] = here | abroad
+    return x, np.array(labels)
 
 
 _TREE: list[Tree] = []
@@ -490,69 +603,68 @@ def tree() -> Tree:
     return _TREE[0]
 
 
-def is_prose(lines: list[tuple[int, str, str]], x: np.ndarray) -> bool:
-    """The text-quality rules on the blocks at hand: prose lines and common words."""
-    toks = [len(b.split(" ")) for _, _, b in lines]
-    total = sum(toks)
-    prose = sum(k for k, f in zip(toks, x) if k >= 7 or (k >= 2 and f[10]))
-    if not total or prose < 0.4 * total:
-        return False
-    words = " ".join(b for _, _, b in lines).lower().split(" ")
-    return sum(map(_COMMON.__contains__, words)) >= 0.12 * len(words)
+def is_prose(b: Blocks, x: np.ndarray, pages: int) -> np.ndarray:
+    """Per page: the text-quality rules on the blocks at hand, prose lines and common words."""
+    col = {name: i for i, name in enumerate(NAMES)}
+    words = x[:, col["words"]].astype(np.float64)
+    total = np.bincount(b.doc, words, pages)
+    prose = np.bincount(b.doc, words * ((words >= 7) | ((words >= 2) & (x[:, col["ends"]] > 0))), pages)
+    common = np.bincount(b.doc, words * x[:, col["common"]], pages)
+    return (total > 0) & (prose >= 0.4 * total) & (common >= 0.12 * total)
 
 
 def _classifier(model: Tree):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            docs, xs = [], []
-            for i, text, title, source in zip(*(c.to_pylist() for c in b.columns)):
-                lines = blocks(text)
-                if not lines:
-                    continue
-                x = features(lines, title)
-                if is_prose(lines, x) or len(text) < 100:
-                    docs.append((i, source, text, lines))
-                    xs.append(x)
-            if not docs:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x = np.concatenate(xs)
-            alone = model.predict(x)
-            x[:, REPEAT] = 1.0
-            # a motto is one short sentence
-            again = model.predict(x) & (x[:, 0] <= 30) & (x[:, 11] <= 1)
-            at = 0
-            ids, nos, keys, sources, sure, copies = [], [], [], [], [], []
-            for i, source, text, lines in docs:
-                copy = zlib.crc32(text.encode("utf-8", "replace"))
-                for j, (no, _, bare) in enumerate(lines, at):
-                    if alone[j] or (again[j] and source):
-                        ids.append(i)
-                        nos.append(no)
-                        sources.append(source)
-                        sure.append(bool(alone[j]))
-                        copies.append(copy)
-                        keys.append(None if alone[j] else _EDGE.sub("", bare).lower())
-                at += len(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(nos, pa.int32()), pa.array(sources, pa.string()), pa.array(sure, pa.bool_()), pa.array(keys, pa.string()), pa.array(copies, pa.int64())], names=["item_id", "line_no", "source", "sure", "key", "copy"])
+            ids, texts, titles, sources, copies = batch.columns
+            b = Blocks(texts)
+            x = features(b, titles.to_pylist())
+            prose = is_prose(b, x, len(texts)) | (np.asarray(pc.utf8_length(texts)) < 100)
+            masks = np.where(prose[b.doc], model.masks(x), 0).astype(np.int32)
+            take = np.flatnonzero(masks)
+            open_ = masks[take] & 1 == 0
+            keys = np.where(open_[:, None], b.pieces()[take], 0)
+            # a page's own row, line -1, counts it
+            n = len(texts)
+            doc = pa.array(np.concatenate([b.doc[take], np.arange(n)]))
+            no = np.concatenate([b.no[take], np.full(n, -1)]).astype(np.int32)
+            mask = np.concatenate([masks[take], np.zeros(n, np.int32)])
+            keys = np.concatenate([keys, np.zeros((n, len(PIECES)), np.int64)])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(doc), pa.array(no), sources.take(doc), copies.take(doc), pa.array(mask), *(pa.array(np.ascontiguousarray(keys[:, k])) for k in range(len(PIECES)))],
+                names=["item_id", "line_no", "source", "copy", "mask", *PIECES],
+            )
 
     return run
 
 
+_LINES = "item_id string, line_no int, source bigint, copy bigint, mask int, whole bigint, first bigint, last bigint, lead bigint"
+
+
 def furniture(pages: DataFrame) -> DataFrame:
     """(item_id, line_no) of every non-blank line that is no main body.
 
     ``pages``: item_id, text, title, source (an author's or site's key, null if unknown).
     """
-    rows = pages.filter(F.col("item_id").isNotNull() & (F.col("text") != "")).select("item_id", "text", "title", "source")
-    lines = rows.mapInArrow(_classifier(tree()), "item_id string, line_no int, source string, sure boolean, key string, copy bigint")
-    lines = staged(lines.withColumn("key", F.xxhash64("key")), "furniture")
-    sure = lines.filter("sure").select("item_id", "line_no")
-    open_ = lines.filter("not sure")
-    often = open_.groupBy("source", "key").agg(F.countDistinct("copy").alias("n")).filter(F.col("n") >= MIN_REPEATS)
-    # copies of a page count once, here as above
-    pages_of = rows.filter("source is not null").groupBy("source").agg(F.countDistinct(F.crc32("text")).alias("pages"))
-    often = often.join(pages_of, "source").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("source", "key")
-    return sure.unionByName(open_.join(often, ["source", "key"], "left_semi").select("item_id", "line_no")).distinct()
+    rows = pages.filter(F.col("item_id").isNotNull() & (F.col("text") != "")).select("item_id", "text", "title", F.xxhash64("source").alias("__h"), F.col("source").isNull().alias("__n"))
+    rows = rows.select("item_id", "text", "title", F.when(~F.col("__n"), F.col("__h")).alias("source"), F.xxhash64("text").alias("copy"))
+    lines = staged(rows.mapInArrow(_classifier(tree()), _LINES), "furniture")
+    own = F.coalesce("source", F.lit(0)).alias("source")
+    sure = lines.filter("mask & 1 = 1").select("item_id", "line_no")
+    pieces = lines.filter("mask & 1 = 0 and line_no >= 0").select("item_id", "line_no", "mask", own, "copy", F.posexplode(F.array(*PIECES)).alias("piece", "key")).filter("key <> 0")
+    # copies of a page count once; pages of no known source stand for one source
+    seen = pieces.groupBy("key", "source").agg(F.countDistinct("copy").alias("n"))
+    read = lines.filter("line_no < 0").groupBy(own).agg(F.countDistinct("copy").alias("pages"))
+    sources = read.agg(F.count(F.lit(1)).alias("sources")).first().sources
+    wide = seen.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= max(MIN_SOURCES, MIN_SOURCE_SHARE * sources)).select("key")
+    abroad = seen.select("key", "source").join(wide, "key", "left_semi").withColumn("where", F.lit(2))
+    here = seen.filter((F.col("n") >= MIN_REPEATS) & (F.col("source") != 0)).join(read, "source").filter(F.col("n") >= MIN_SHARE * F.col("pages")).select("key", "source", F.lit(1).alias("where"))
+    again = here.union(abroad).groupBy("key", "source").agg(F.bit_or("where").alias("where"))
+    bit = F.when(F.col("piece") == 0, F.col("where")).otherwise(F.expr("shiftleft(2, piece)"))
+    bits = pieces.join(again, ["key", "source"]).groupBy("item_id", "line_no").agg(F.first("mask").alias("mask"), F.bit_or(bit).alias("bits"))
+    return sure.unionByName(bits.filter("shiftright(mask, bits) & 1 = 1").select("item_id", "line_no")).distinct()
 
 
 def main_bodies(pages: DataFrame) -> DataFrame:
