@@ -35,14 +35,14 @@ def _prose(r):
 def test_furniture_lines(spark):
     r = random.Random(4)
     body = [_prose(r), "What it costs in the end", _prose(r), _prose(r)]
-    page = "\n".join(["Home | About | Podcast | Search", "We use cookies to improve your visit. Accept all | Manage settings", "", *body, "Subscribe | Donate | Advertise", "12 comments"])
+    page = "\n".join(["Home | About | Podcast | Search", "We use cookies to improve your visit. Accept all | Manage settings", "", *body, "Subscribe | Donate | Advertise", "12 comments \u00b7 3 shares"])
     rows = [("a", page, None, None), ("a", page, None, None), ("junk", "| 1 | 2 |\n" * 40, None, None), ("n", None, None, None), ("e", "", None, None), ("b", "   \n\n", None, None), ("one", PROSE, None, None)]
     rows += [("html", f"<p>{_prose(r)}</p>\n<p>{_prose(r)}</p>\n<a href='/x'>Contact</a>\n<div>Subscribe | Donate | Advertise</div>", None, None)]
     # a notice that a source repeats, and the same sentence where it stands once only
     notice = "Typed by the friends of this old page; please forgive mistakes."
     rows += [(f"m{i}", "\n".join([_prose(r), _prose(r), notice]), None, "s") for i in range(8)]
     # a count of comments, on pages of many sources
-    rows += [(f"k{i}", "\n".join([_prose(r), _prose(r), _prose(r), f"{i + 3} comments", "<a href='/x'>Contact</a>"]), None, f"k{i}") for i in range(6)]
+    rows += [(f"k{i}", "\n".join([_prose(r), _prose(r), _prose(r), f"{i + 3} comments \u00b7 3 shares", "<a href='/x'>Contact</a>"]), None, f"k{i}") for i in range(6)]
     rows += [("once", "\n".join([_prose(r), _prose(r), _prose(r)]), None, "t")]
     df = spark.createDataFrame(rows, "item_id string, text string, title string, source string")
     got = sorted(tuple(x) for x in P3.furniture(df).collect())
