@@ -71,21 +71,61 @@ def test_copies_do_not_hide_a_standing_line(spark):
     assert P3.furniture(spark.createDataFrame(rows, df.schema)).count() == 0
 
 
+WORDS = sorted(set("habit morning careful friend another burden silence comfort wound deadline mirror reward calm story plan follows rarely gently ordinary feeling kitchen question enough while patient".split()))
+CONFUSED = {"e": [("c", 5)], "i": [("|", 3), ("!", 2)], "rn": [("m", 2)], "m": [("rn", 2)], "l": [("1", 3)], "t": [("f", 1)], "o": [("0", 2)], "n": [("ri", 1)]}
+
+
+def _editor():
+    r = random.Random(2)
+    examples = [(*P4.noised(w, CONFUSED, r, 0.3, 0.0), []) for w in WORDS * 40]
+    free = [(*P4.noised(w, CONFUSED, r), []) for w in WORDS * 40]
+    return P4.Editor(WORDS).train(examples + free, examples).judged(WORDS, CONFUSED)
+
+
 def test_editor_on_held_out_noise():
-    words = sorted(set("habit morning careful friend another burden silence comfort wound deadline mirror reward calm story plan follows rarely gently ordinary feeling kitchen question".split()))
-    ed = P4.Editor({w: 9 for w in words}).train(words * 60)
-    r = random.Random(8)
-    noisy = [P4.garble(w, r)[0] for w in words * 20]
-    good = sum(ed.repair(n)[0] == w for n, w in zip(noisy, words * 20))
-    assert good / len(noisy) > 0.97
-    assert ed.repair("xyzzy") == ("xyzzy", ()) and ed.repair("habit") == ("habit", ())
+    ed, r = _editor(), random.Random(8)
+    noisy = [(P4.noised(w, CONFUSED, r, 0.3, 0.0)[0], w) for w in WORDS * 20]
+    assert sum(ed.repair(n)[0] == w for n, w in noisy) / len(noisy) > 0.97
+    assert ed.repair("xyzzy")[:2] == ("xyzzy", ()) and ed.repair("habit")[:2] == ("habit", ()) and ed.repair("")[:2] == ("", ())
+    # misreadings that training never showed: replaced, lost and doubled letters
+    unseen = {"hablt": "habit", "habjt": "habit", "carefal": "careful", "mornng": "morning", "habbit": "habit", "frjend": "friend"}
+    assert {n: ed.repair(n)[0] for n in unseen} == unseen
+
+
+def test_line_ends_are_joined_by_the_editor():
+    clean = "the careful habit follows another patient morning while a well-meant friend keeps the long-term silence and the plan carries enough calm"
+    words = clean.split()
+    scans = []
+    for k in range(12):
+        out = []
+        for i, w in enumerate(words):
+            if "-" in w and (i + k) % 2:
+                out.append(w.replace("-", "-\n"))
+            elif (i + k) % 5 == 0 and len(w) > 5:
+                out.append(w[:3] + "-\n" + w[3:])
+            else:
+                out.append(w)
+        scans.append((" ".join(out), clean))
+    examples, _, vocabulary = P4.examples_of(scans)
+    assert any("\n" in e[0] for e in examples) and {"well-meant", "habit"} <= set(vocabulary)
+    ed = P4.Editor(vocabulary).train(examples)
+    cut = lambda a, b: ed.joined(a, b, P4.marks_of("-", a in ed.lexicon, b in ed.lexicon, False))[1:3]
+    assert cut("care", "ful") == ("", "careful") and cut("well", "meant") == ("-", "well-meant") and cut("long", "term") == ("-", "long-term")
+
+
+def test_alignment_finds_what_was_misread():
+    clean = "the careful habit follows another patient morning while nobody asks for more of it"
+    got = set(P4.aligned("the careful habit follows anothcr pati-\nent morning while nobody asks", clean))
+    assert ("w", "anothcr", "another", "") in got and ("j", "pati\nent", "patient", "-") in got
+    assert P4.outputs("rn", "m") == ["m", ""] and P4.outputs("habbit", "habit").count("") == 1 and "".join(P4.outputs("mornng", "morning")) == "morning"
+    assert "".join(P4.outputs("abit", "habit")) == "habit" and P4.outputs("x", "") == [""]
 
 
 def test_scanned_pages(spark):
     words = "the careful habit follows another patient morning because nobody asks well-meant friend silence".split()
     clean = spark.createDataFrame([(str(i), 0, " ".join(words)) for i in range(5)], "doc_id string, chunk_index int, text string")
     line = "the careful habit follows another patient morning"
-    body = [line] * 14
+    body = [" ".join(words[k % 12 :] + words[: k % 12])[:52].rsplit(" ", 1)[0].removesuffix("well-meant").strip() for k in range(14)]
     page1 = ["On Habit | 12", *body, "because nobody asks the careful hab-"]
     page2 = ["On Habit | 13", "it follows anothcr patient well-", "meant friend because nobody asks.", *body, "1938", "the c1oser silence", "ñ"]
     rows = [("a", "\n".join(page1 + page2), "On Habit", "Ann"), ("n", None, None, None), ("e", "", "", None), ("f", "\f\n\f", None, None), ("s", "word", None, None)]
