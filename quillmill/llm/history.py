@@ -2,15 +2,16 @@
 
 The metric is the Jaccard distance of sets of three consecutive words. Every text has a row in a
 pivot table: its distances to fixed pivots (the empty set, and the sixteen slices of the shingle
-space: |A| and |A n slice|), and the least positions of its set on 128 fixed random lines. History
-keeps its rows; a batch only appends its own.
+space: |A| and |A n slice|), the least positions of its set on 128 fixed random lines, and the set
+itself. History keeps its rows (``append`` writes a batch's own beside them); a batch is judged from its
+own texts and the stored rows, and no text is read twice.
 
 Why the lines: distances to any fixed pivot concentrate so much in this space (unrelated texts lie
 at 0.9 to 1.0 of one another) that a range join on them alone leaves nearly all pairs. Near sets
 agree in a line's least position with probability 1 - distance; four such positions make a key, 32
 keys are joined. A pair at the threshold is missed with probability (1 - 0.7^4)^32 = 0.00015. The
 joined pairs are pruned by the triangle inequality against the pivots, and what remains is verified
-by the true distance over the whole texts.
+by the true distance of the stored sets, which are those of the whole texts.
 
 Exact copies form classes first, so a text that a third of all rows share is one class: pairs are
 pairs of classes, and members are judged by their class's earliest rows.
@@ -22,14 +23,14 @@ repeats itself; of equal times the lower id is the earlier; a null time is earli
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.llm.positions import first_positions
 from quillmill.llm.shingles import Hasher, buffers, distinct, mixed, words_of
 from quillmill.runtime import ship, staged
 
@@ -42,14 +43,12 @@ ROWS, BANDS, SLICES = 4, 32, 16
 LEADERS = 32
 #: Similarity of 7/10 in whole numbers.
 NUM, DEN = 7, 10
-#: Bits of the fixed-size filter that spares reading texts in no pair.
-FILTER_BITS = 1 << 26
 #: Lines: odd multipliers and offsets from a fixed seed.
 _RNG = np.random.RandomState(20240)
 _MUL = (_RNG.randint(0, 1 << 62, ROWS * BANDS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _RNG.randint(0, 1 << 62, ROWS * BANDS).astype(np.uint64)
 
-_TABLE = "src string, id string, kind int, ts timestamp, size int, fp bigint, slices array<int>, bands array<bigint>"
+_TABLE = "src string, id string, kind int, ts timestamp, size int, fp bigint, slices array<int>, bands array<bigint>, shingles array<bigint>"
 
 
 def pivot_rows(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,9 +81,10 @@ def _tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take = pa.array(have + a)
             n = len(have)
             lists = lambda m, k, t: pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.array(m.reshape(-1).astype(t)))  # noqa: B023, E731
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(key.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(take) for i in range(4)), pa.array(size.astype(np.int32)), pa.array(fp.view(np.int64)), lists(slices, SLICES, np.int32), lists(bands.view(np.int64), BANDS, np.int64)],
-                names=["src", "id", "kind", "ts", "size", "fp", "slices", "bands"],
+                [*(batch.column(i).take(take) for i in range(4)), pa.array(size.astype(np.int32)), pa.array(fp.view(np.int64)), lists(slices, SLICES, np.int32), lists(bands.view(np.int64), BANDS, np.int64), sets],
+                names=["src", "id", "kind", "ts", "size", "fp", "slices", "bands", "shingles"],
             )
 
 
@@ -94,31 +94,37 @@ def pivot_table(rows: DataFrame) -> DataFrame:
     return texts.mapInArrow(_tabulate, _TABLE)
 
 
+def append(table_path: str, rows: DataFrame) -> None:
+    """Stores the pivot rows of a batch (src, id, kind, ts, text) beside the history's; only the batch's texts are read."""
+    pivot_table(rows).write.mode("append").parquet(table_path)
+
+
+def stored(spark: SparkSession, table_path: str) -> DataFrame:
+    return spark.read.schema(_TABLE).parquet(table_path)
+
+
 def classes(table: DataFrame) -> DataFrame:
-    """One row per set: its pivots, a member that stands for it, its earliest rows."""
+    """One row per set: its pivots, its earliest rows."""
     hist = F.when(F.col("kind") == 0, F.col("id"))
     new = F.when(F.col("kind") == 1, F.struct("ts", "id"))
-    return table.groupBy("fp", "size").agg(
-        F.first("slices").alias("slices"), F.first("bands").alias("bands"), F.min(F.struct("src", "id")).alias("member"),
-        F.min(hist).alias("h1"), F.max(hist).alias("h2"), F.min(new).alias("n1"),
-    )
+    return table.groupBy("fp", "size").agg(F.first("slices").alias("slices"), F.first("bands").alias("bands"), F.min(hist).alias("h1"), F.max(hist).alias("h2"), F.min(new).alias("n1"))
 
 
 def band_entries(cls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries of a query's first round, entries left for the second): fp, size, band.
 
     A key that more than ``LEADERS`` classes share (a template with a changing date, say) would pair
-    them all. Its classes are ranked, accepted and early ones first, and the first round meets the
-    leaders only; queries that they don't settle meet the rest in the second.
+    them all. Its classes are ranked, accepted and early ones first, over as many tasks as they need,
+    and the first round meets the leaders only; queries that they don't settle meet the rest in the second.
     """
     entries = cls.select("fp", "size", F.col("h1").isNull().alias("late"), F.col("n1.ts").alias("ts"), F.explode("bands").alias("band"))
     crowded = staged(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEADERS).select("band"), "crowded")
     if crowded.isEmpty():
         return entries.select("fp", "size", "band"), entries.limit(0).select("fp", "size", "band")
-    rank = F.row_number().over(Window.partitionBy("band").orderBy("late", F.col("ts").asc_nulls_first(), "fp"))
-    ranked = staged(entries.join(crowded, "band").withColumn("rank", rank).select("fp", "size", "band", (rank > LEADERS).alias("rest")), "ranked")
-    first = entries.join(crowded, "band", "left_anti").select("fp", "size", "band").unionByName(ranked.filter("not rest").drop("rest"))
-    return first, ranked.filter("rest").drop("rest")
+    among = staged(entries.join(crowded, "band"), "among")
+    leaders = staged(first_positions(among, ["band"], [F.col("late").asc(), F.col("ts").asc_nulls_first(), F.col("fp").asc(), F.col("size").asc()], LEADERS).select("fp", "size", "band"), "leaders")
+    first = entries.join(crowded, "band", "left_anti").select("fp", "size", "band").unionByName(leaders)
+    return first, among.select("fp", "size", "band").join(leaders, ["fp", "size", "band"], "left_anti")
 
 
 def near_classes(cls: DataFrame, queries: DataFrame, entries: DataFrame) -> DataFrame:
@@ -137,54 +143,11 @@ def near_classes(cls: DataFrame, queries: DataFrame, entries: DataFrame) -> Data
     return pairs.filter(apart * (NUM + DEN) <= (F.col("qs") + F.col("xs")) * (DEN - NUM)).select("q", "x")
 
 
-_WORD = re.compile(r"[^\W_]+")
-
-
-def _sets(bits):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.frombuffer(bits.value, np.uint8)
-        hasher = Hasher(K)
-        for batch in batches:
-            at = batch.column(3).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero((mask[at >> 3] >> (at & 7)) & 1)
-            if not len(hit):
-                continue
-            take = pa.array(hit)
-            texts = pa.array([" " + " ".join(_WORD.findall(t.lower())) + " " for t in batch.column(2).take(take).to_pylist()])
-            src, ids = batch.column(0).take(take), batch.column(1).take(take)
-            data, offs = buffers(texts)
-            for a, b, _, row, h in hasher.chunks(data, offs):
-                row, key = distinct(row, h)
-                size = np.bincount(row, minlength=b - a)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([src[a:b], ids[a:b], lists], names=["src", "id", "shingles"])
-
-    return run
-
-
-def _bit(src: str, ident: str) -> Column:
-    return F.pmod(F.xxhash64(src, ident), F.lit(FILTER_BITS))
-
-
-def filter_bits(members: DataFrame) -> bytes:
-    """A bitmap of fixed size over the members' hashes; it spares work and decides nothing."""
-    at = members.select(_bit("src", "id").alias("at"))
-    parts = at.groupBy(F.shiftright("at", 15).alias("n")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << 15) - 1)).alias("b"))
-    out = bytearray(FILTER_BITS // 8)
-    for r in parts.toLocalIterator():
-        out[r.n * 4096 : r.n * 4096 + 4096] = r.b
-    return bytes(out)
-
-
-def verified(pairs: DataFrame, cls: DataFrame, rows: DataFrame) -> DataFrame:
-    """(q, x) of the pairs whose true similarity reaches the threshold, over the whole texts."""
-    spark = rows.sparkSession
+def verified(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """(q, x) of the pairs whose true similarity reaches the threshold, by the stored sets."""
     ends = pairs.select(F.col("q").alias("fp")).union(pairs.select("x")).distinct()
-    members = staged(cls.select("fp", "member.src", "member.id").join(ends, "fp"), "members")
-    bits = spark.sparkContext.broadcast(filter_bits(members))
-    texts = rows.filter(F.col("text").isNotNull()).select("src", "id", "text", _bit("src", "id").alias("at"))
-    sets = texts.mapInArrow(_sets(bits), "src string, id string, shingles array<bigint>")
-    sets = members.join(sets, ["src", "id"]).dropDuplicates(["fp"]).select("fp", "shingles")
+    sets = table.select("fp", "shingles").join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles"))
+    sets = staged(sets, "sets")
     both = pairs.join(sets.select(F.col("fp").alias("q"), F.col("shingles").alias("a")), "q").join(sets.select(F.col("fp").alias("x"), F.col("shingles").alias("b")), "x")
     common = F.size(F.array_intersect("a", "b"))
     return both.filter(common * (NUM + DEN) >= (F.size("a") + F.size("b")) * NUM).select("q", "x")
@@ -193,17 +156,17 @@ def verified(pairs: DataFrame, cls: DataFrame, rows: DataFrame) -> DataFrame:
 def by_content(rows: DataFrame, history_table: DataFrame | None = None) -> DataFrame:
     """ids of the new rows (kind 1) that repeat accepted or earlier content.
 
-    ``rows``: src, id, kind, ts, text of the batch and of the history's texts. With a
-    ``history_table`` the stored pivots are used and only the batch's own are computed.
+    ``rows``: src, id, kind, ts, text. With a ``history_table`` (the rows of earlier batches, as ``append``
+    stores them) ``rows`` are the batch alone, and no text of the history is read.
     """
-    fresh = pivot_table(rows if history_table is None else rows.filter("kind = 1"))
-    table = staged(fresh if history_table is None else history_table.unionByName(fresh), "pivots")
+    fresh = staged(pivot_table(rows if history_table is None else rows.filter("kind = 1")), "pivots")
+    table = fresh if history_table is None else history_table.unionByName(fresh)
     cls = staged(classes(table), "classes")
-    new = table.filter("kind = 1").select("id", "ts", F.col("fp").alias("q")).distinct()
+    new = fresh.filter("kind = 1").select("id", "ts", F.col("fp").alias("q")).distinct()
     first, rest = band_entries(cls)
-    asking = cls.filter("n1 is not null").select("fp")
+    asking = new.select(F.col("q").alias("fp")).distinct()
     itself = asking.select(F.col("fp").alias("q"), F.col("fp").alias("x"))
-    links = verified(staged(near_classes(cls, asking, first), "pairs"), cls, rows).unionByName(itself)
+    links = verified(staged(near_classes(cls, asking, first), "pairs"), table).unionByName(itself)
     found = _settled(new, links, cls)
     if rest.isEmpty():
         return found
@@ -212,7 +175,7 @@ def by_content(rows: DataFrame, history_table: DataFrame | None = None) -> DataF
     pairs = staged(near_classes(cls, open_.select(F.col("q").alias("fp")).distinct(), rest), "pairs")
     if pairs.isEmpty():
         return found
-    return found.unionByName(_settled(open_, verified(pairs, cls, rows), cls)).distinct()
+    return found.unionByName(_settled(open_, verified(pairs, table), cls)).distinct()
 
 
 def _settled(new: DataFrame, links: DataFrame, cls: DataFrame) -> DataFrame:

@@ -77,6 +77,31 @@ def test_addresses(spark):
     assert {x.id for x in P6.by_address(spark.createDataFrame(rows, "id string, kind int, ts timestamp, url string")).collect()} == {"p1", "p3"}
 
 
+def test_two_batches_equal_one_run(spark, tmp_path):
+    r = random.Random(12)
+    say = lambda n: [f"w{r.randrange(400)}" for _ in range(n)]
+    texts: list[list[str]] = []
+    for _ in range(120):
+        w = list(r.choice(texts)) if texts and r.random() < 0.4 else say(r.randrange(15, 60))
+        if w and r.random() < 0.5:
+            w[r.randrange(len(w))] = "changed"
+        texts.append(w)
+    day = lambda i: datetime(2024, 1, 1 + i // 10)
+    rows = [("s", f"i{i:03}", int(i >= 40), day(i) if i >= 40 else None, " ".join(w)) for i, w in enumerate(texts)]
+    schema = "src string, id string, kind int, ts timestamp, text string"
+    df = spark.createDataFrame(rows, schema)
+    whole = {x.id for x in P6.by_content(df).collect()}
+    path = str(tmp_path / "pivots")
+    P6.append(path, df.filter("kind = 0"))
+    got = set()
+    for low, high in ((40, 80), (80, 120)):
+        batch = spark.createDataFrame(rows[low:high], schema)
+        got |= {x.id for x in P6.by_content(batch, P6.stored(spark, path)).collect()}
+        P6.append(path, batch)
+    assert got == whole and whole
+    assert P6.stored(spark, path).select("id").distinct().count() == P6.pivot_table(df).select("id").distinct().count()
+
+
 def test_leaks(spark):
     r = random.Random(7)
     vocab = ["a", "I", "über", "habit", "x1", "the", "morning", "of", "ß"]
@@ -116,6 +141,39 @@ def test_leaks_with_edits(spark):
     assert {tuple(x) for x in P9.leaks(df, qf, edits=1).collect()} >= {(1, 7), (3, 7)}
 
 
+def test_leaks_with_edits_against_brute_force(spark):
+    r = random.Random(21)
+    vocab = [f"word{i}" for i in range(60)]
+    items = [(i, [r.choice(vocab) for _ in range(r.choice([12, 13, 20, 40]))]) for i in range(12)]
+    docs = []
+    for d in range(60):
+        w = [r.choice(vocab) for _ in range(r.randrange(0, 25))]
+        it = r.choice(items)[1]
+        if len(it) >= 13:
+            k = r.randrange(len(it) - 12)
+            run = it[k : k + 13]
+            for _ in range(r.choice([0, 1, 1, 2])):
+                at = r.randrange(len(run))
+                run = r.choice([run[:at] + ["other"] + run[at + 1 :], run[:at] + run[at + 1 :], run[:at] + ["more"] + run[at:]])
+            w = w + run + [r.choice(vocab) for _ in range(4)]
+        docs.append((d, w))
+
+    def near(q, t, k):
+        """Whether some stretch of t is within k word edits of q."""
+        row = [0] * (len(t) + 1)
+        for i, a in enumerate(q, 1):
+            new = [i]
+            for j, b in enumerate(t, 1):
+                new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
+            row = new
+        return min(row) <= k
+
+    exp = {(d, i) for d, t in docs for i, q in items if any(near(q[s : s + 13], t, 1) for s in range(len(q) - 12))}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    qf = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    assert {tuple(x) for x in P9.leaks(df, qf, edits=1).collect()} == exp and exp
+
+
 def test_plan_uses_every_length_once():
     r = random.Random(9)
     for _ in range(60):
