@@ -1,11 +1,14 @@
 """Problem 10: keyword-stuffed pages, link lists and tag lists.
 
-Every text is compressed in blocks of ``BLOCK`` bytes after addresses, tags and figures are masked
-(they vary where the page repeats itself). The mean ratio is divided by what prose of that language
-and length compresses to; extreme redundancy is a suspicion, which low sentence-punctuation density
-confirms. Sentences stuffed with one keyword keep their punctuation, so there the share of the most
-repeated keyword confirms. Link and tag lists are confirmed by the share of their characters or words
-that links and tags take.
+Every text is compressed in blocks of ``BLOCK`` bytes after addresses, mark-up and the words of hash tags
+are reduced to one letter each and figures to one figure. The bytes that all blocks compress to, over the
+bytes of the whole text as it stands, are its compression ratio: links and tags that vary count as redundant,
+as they say nothing. The ratio is divided by what prose of that language and length compresses to; extreme
+redundancy is a suspicion, which low sentence-punctuation density confirms. What takes most of the text
+(links, tags, else repetition) names the reason.
+
+Sentences stuffed with one keyword keep their punctuation, so there the method can't confirm: a ratio under
+that of prose and the share of the most repeated keyword decide.
 
 Defined results: null and empty texts are no cases; the language is told by its function words, not
 by the (dirty) column; texts of any length are read whole; ids delivered twice count once.
@@ -38,10 +41,9 @@ LINK_SHARE, TAG_SHARE = 0.5, 0.5
 KEY_PAIR, KEY_WORD = 0.12, 0.06
 #: Share of function words from which a text without punctuation is speech.
 SPOKEN = 0.3
-MIN_WORDS = 40
 
 _URL = re.compile(r"https?://[^\s<>\"')\]]+|www\.[^\s<>\"')\]]+")
-_TAG = re.compile(r"<[^<>]{1,400}>")
+_TAG = re.compile(r"<[^<>]+>")
 _NUM = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.!?…][\"”’»)]*(?=\s|$)")
@@ -55,12 +57,9 @@ def language(words: list[str]) -> str:
     return max(_COMMON, key=lambda k: (sum(seen[w] for w in _COMMON[k]), k == "en"))
 
 
-def block_ratio(masked: bytes) -> float:
-    """Mean compression ratio of the blocks; a last block under half a block joins no mean but its own."""
-    sizes = [masked[i : i + BLOCK] for i in range(0, len(masked), BLOCK)]
-    if len(sizes) > 1 and len(sizes[-1]) < BLOCK // 2:
-        sizes.pop()
-    return sum(len(zlib.compress(b, 6)) / len(b) for b in sizes) / len(sizes)
+def compressed(masked: bytes) -> int:
+    """The bytes that the blocks compress to."""
+    return sum(len(zlib.compress(masked[i : i + BLOCK], 6)) for i in range(0, len(masked), BLOCK))
 
 
 def expected_ratio(lang: str, size: int) -> float:
@@ -75,39 +74,34 @@ def judge(text: str | None) -> tuple | None:
     urls = _URL.findall(text)
     masked = _URL.sub(" u ", text) if urls else text
     tags = _TAG.findall(masked) if "<" in masked else []
-    linked = sum(map(len, urls)) + sum(map(len, tags))
     if tags:
         masked = _TAG.sub(" t ", masked)
-    masked = _NUM.sub("0", masked).lower()
-    words = _WORD.findall(masked)
+    hashes = _HASH.findall(masked) if "#" in masked else []
+    words = _WORD.findall(_NUM.sub("0", masked).lower())
     n = len(words)
     if not n:
         return None
-    data = masked.encode("utf-8", "replace")
-    ratio = block_ratio(data)
+    if hashes:
+        masked = _HASH.sub("#", masked)
+    masked = _NUM.sub("0", masked).lower()
+    whole = len(text.encode("utf-8", "replace"))
+    ratio = compressed(masked.encode("utf-8", "replace")) / whole
     lang = language(words)
-    normal = ratio / expected_ratio(lang, len(data))
+    normal = ratio / expected_ratio(lang, whole)
     ended = len(_END.findall(text)) / n
-    link_share = linked / len(text)
-    hashes = _HASH.findall(text) if "#" in text else []
+    link_share = (sum(map(len, urls)) + sum(map(len, tags))) / len(text)
     tag_share = sum(map(len, hashes)) / len(text)
-    key = 0.0
+    top, pairs = Counter(w for w in words if len(w) > 3 and w not in _ANY), Counter((a, b) for a, b in zip(words, words[1:]) if a not in _ANY and b not in _ANY)
+    one, two = max(top.values(), default=0) / n, max(pairs.values(), default=0) * 2 / n
+    key = max(one, two / 2)
     reason = None
-    if link_share >= LINK_SHARE and ended < LOW_PUNCTUATION and len(urls) + len(tags) >= 3:
-        reason = "links"
-    elif tag_share >= TAG_SHARE and ended < LOW_PUNCTUATION and len(hashes) >= 10:
-        reason = "tags"
-    elif n >= MIN_WORDS and normal <= STUFFED:
-        top, pairs = Counter(w for w in words if len(w) > 3 and w not in _ANY), Counter((a, b) for a, b in zip(words, words[1:]) if a not in _ANY and b not in _ANY)
-        one = top.most_common(1)[0][1] / n if top else 0.0
-        two = max(pairs.values(), default=0) * 2 / n
-        key = max(one, two / 2)
-        # speech without punctuation has its function words; keyword and tag lists have not
+    if normal <= REDUNDANT and ended < LOW_PUNCTUATION:
+        # speech without punctuation has its function words; keyword, link and tag lists have not
         spoken = sum(map(_ANY.__contains__, words)) >= SPOKEN * n and normal > REDUNDANT * 0.6
-        if normal <= REDUNDANT and ended < LOW_PUNCTUATION and not spoken:
-            reason = "redundant"
-        elif two >= KEY_PAIR or one >= KEY_WORD:
-            reason = "stuffed"
+        if not spoken:
+            reason = "links" if link_share >= LINK_SHARE else "tags" if tag_share >= TAG_SHARE else "redundant"
+    elif normal <= STUFFED and (two >= KEY_PAIR or one >= KEY_WORD):
+        reason = "stuffed"
     return n, ratio, normal, ended, link_share, tag_share, key, reason
 
 
