@@ -9,8 +9,8 @@ the bound are kept, and their regions are verified by alignment within the band.
 in ``p9_found``, the alignment is the extension of one diagonal.
 
 The items are a stated query set: a hash table of their q-grams goes to the executors, at most
-``MAX_ITEM_CHARS`` characters of items at a time. Larger sets are cut into blocks of that size, and
-the corpus is scanned once per block.
+``MAX_ITEM_CHARS`` characters of items at a time. Larger sets are cut into blocks of that size: a block is
+sent out, the corpus is scanned, its pairs are written, and the block is destroyed before the next.
 
 Defined results: null and empty texts match nothing; every (document, item) pair comes out once;
 items that share a passage all come out; items shorter than the run length match nothing.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.runtime import ship
+from quillmill.runtime import ship, staged
 
 ship(__name__)
 
@@ -135,6 +135,9 @@ class Index:
         item = self.texts[i]
         done: dict[int, int] = {}
         tried: set[tuple[int, int]] = set()
+        if self.k:
+            # the words of both sides, and the places of the blanks in front of them
+            sides = [(t[1:-1].split(b" "), np.flatnonzero(np.frombuffer(t, np.uint8) == 32)) for t in (text, item)]
         for d, p in sorted(hits):
             d, p = d - int(offsets[dn]), p - int(self.starts[i])
             if self.k == 0:
@@ -144,7 +147,7 @@ class Index:
                 done[d - p] = b
                 if text[a:b].count(b" ") - 1 >= self.words:
                     return True
-            elif self._aligned(text, item, d, p, tried):
+            elif self._aligned(*sides, d, p, tried):
                 return True
         return False
 
@@ -160,10 +163,10 @@ class Index:
         bad = np.flatnonzero(x != y)
         return a, d + (int(bad[0]) if len(bad) else m)
 
-    def _aligned(self, text: bytes, item: bytes, d: int, p: int, tried: set[tuple[int, int]]) -> bool:
+    def _aligned(self, text: tuple[list[bytes], np.ndarray], item: tuple[list[bytes], np.ndarray], d: int, p: int, tried: set[tuple[int, int]]) -> bool:
         """Whether a run of ``words`` of the item's words around p aligns with the text in at most k word edits."""
-        iw, tw = item[1:-1].split(b" "), text[1:-1].split(b" ")
-        ip, tp = item[: p + 1].count(b" ") - 1, text[: d + 1].count(b" ") - 1
+        (tw, tb), (iw, ib) = text, item
+        ip, tp = int(np.searchsorted(ib, p, "right")) - 1, int(np.searchsorted(tb, d, "right")) - 1
         for s in range(max(0, ip - self.words + 1), min(ip, len(iw) - self.words) + 1):
             q = iw[s : s + self.words]
             lo = max(0, tp - (ip - s) - self.k)
@@ -171,6 +174,9 @@ class Index:
                 continue
             tried.add((s, lo))
             t = tw[lo : lo + self.words + 2 * self.k]
+            here = set(t)
+            if sum(w not in here for w in q) > self.k:
+                continue  # each such word takes an edit
             if banded_distance(q, t, self.k) <= self.k:
                 return True
         return False
@@ -192,7 +198,11 @@ def banded_distance(q: list, t: list, k: int) -> int:
 
 def _scanner(block, words: int, edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = Index(block.value, words, edits)
+        # a worker process meets the same broadcast object in all its tasks and keeps the index with it
+        ix = getattr(block, "_index", None)
+        if ix is None:
+            ix = Index(block.value, words, edits)
+            block._index = ix
         for b in batches:
             col = b.column(1)
             if col.null_count or not len(col):
@@ -213,17 +223,25 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, edits: int
     spark = documents.sparkSession
     docs = documents.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), words_of(F.col("text")).alias("text"))
     pool = items.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), words_of(F.col("text")).alias("text")).distinct()
-    out = None
-    for block in _blocks(pool, block_chars):
-        part = docs.mapInArrow(_scanner(spark.sparkContext.broadcast(block), words, edits), "doc_id bigint, item_id bigint")
+    schema = "doc_id bigint, item_id bigint"
+    scan = lambda sent: docs.mapInArrow(_scanner(sent, words, edits), schema).distinct()
+    out: DataFrame | None = None
+    blocks = _blocks(pool, block_chars)
+    block = next(blocks, None)
+    while block is not None:
+        after = next(blocks, None)
+        sent = spark.sparkContext.broadcast(block)
+        if out is None and after is None:
+            return scan(sent)  # one block: nothing needs to be written between
+        part = staged(scan(sent), "leaks")
+        sent.destroy()
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint")
-    return out.distinct()
+        block = after
+    return spark.createDataFrame([], schema) if out is None else out.distinct()
 
 
 def _blocks(pool: DataFrame, block_chars: int) -> Iterator[list[tuple[int, bytes]]]:
-    """The items in blocks of bounded size; one block at a time is held by the driver."""
+    """The items in blocks of bounded size; the driver holds the one in hand and the next."""
     block: list[tuple[int, bytes]] = []
     size = 0
     for r in pool.toLocalIterator():

@@ -101,6 +101,11 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items"))
 
 
+def p9_near(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of 13 words of an item with at most one word edited."""
+    return leakage.leaks(spread(table(spark, d, "documents")), table(spark, d, "eval_items"), edits=1)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam(spread(table(spark, d, "documents")))
 
