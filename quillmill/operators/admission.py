@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.operators.positions import all_positions
 from quillmill.operators.relational import base_title, title_known
 from quillmill.runtime import staged
 
 
 def first_by_content(rows: DataFrame, content: str, order: list[Column]) -> DataFrame:
     """D1 where the other key is unique: the first row of every content; null contents all stay."""
-    key = F.md5(F.col(content))
-    first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("__r", F.when(key.isNull(), 1).otherwise(first)).filter("__r = 1").drop("__r")
+    # the least row of each content, combined before the shuffle; rows without content go past it
+    some = rows.filter(F.col(content).isNotNull()).groupBy(F.md5(F.col(content)).alias("__c"))
+    first = some.agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__r")).select("__r.*")
+    return first.unionByName(rows.filter(F.col(content).isNull()))
 
 
 def not_in_history(rows: DataFrame, history: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
@@ -74,15 +76,16 @@ def rejection_records(rows: DataFrame, id_col: str, text: str, reasons: str, pha
 def next_index(new: DataFrame, existing: DataFrame, group: str, index: str, order: Column) -> DataFrame:
     """New rows numbered on from the group's highest index."""
     top = existing.groupBy(group).agg(F.max(index).alias("__top"))
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return new.join(top, group, "left").withColumn("next_index", (F.coalesce("__top", F.lit(-1)) + place).cast("int")).drop("__top")
+    # numbered by a sort that splits large groups over tasks; ``order`` tells a group's rows apart
+    placed, _ = all_positions(new, [group], [order], "__place")
+    return placed.join(top, group, "left").withColumn("next_index", (F.coalesce("__top", F.lit(-1)) + F.col("__place")).cast("int")).drop("__top", "__place")
 
 
 def resolved_slugs(rows: DataFrame, name: str, order: Column) -> DataFrame:
     """Slugs of names; the second and later of a slug get _1, _2 and so on."""
-    s = slug(F.col(name))
-    k = F.row_number().over(Window.partitionBy("slug").orderBy(order)) - 1
-    return rows.withColumn("slug", s).withColumn("unique_slug", F.when(k == 0, F.col("slug")).otherwise(F.concat_ws("_", "slug", k.cast("string"))))
+    placed, _ = all_positions(rows.withColumn("slug", slug(F.col(name))), ["slug"], [order], "__place")
+    k = F.col("__place") - 1
+    return placed.withColumn("unique_slug", F.when(k == 0, F.col("slug")).otherwise(F.concat_ws("_", "slug", k.cast("string")))).drop("__place")
 
 
 def slug(name: Column, limit: int | None = None) -> Column:
@@ -102,7 +105,8 @@ def routed(files: DataFrame, key: str, order: str, tracked: DataFrame, authors:
     a = authors.select(F.col(author).alias("__ak")).distinct()
     j = files.join(t, F.col(key) == F.col("__tk"), "left").join(a, F.col(author) == F.col("__ak"), "left")
     bad = F.col(key).isNull() | F.col(title).isNull()
-    j = j.withColumn("__bad", bad).withColumn("__again", F.row_number().over(Window.partitionBy("__bad", key).orderBy(order)) > 1)
+    firsts = files.filter(~bad).groupBy(F.col(key).alias("__fk")).agg(F.min(order).alias("__first"))
+    j = j.withColumn("__bad", bad).join(firsts, F.col(key) == F.col("__fk"), "left").withColumn("__again", F.col(order) > F.col("__first"))
     early = F.when(F.col("__bad"), "parse_error").when(F.col("__tk").isNotNull() | F.col("__again"), "duplicate").when(F.col("__ak").isNull(), "unknown_author")
     j = staged(j.select(*files.columns, early.alias("__early")), "routed")
     new = title_known(j.filter("__early is null").select(order, author, title), title, author, titles).filter("not known")

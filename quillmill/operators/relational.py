@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,30 @@ def free_angles(angles: DataFrame, fits: Column, key: str, usage: DataFrame, ato
     return unused_since(pool, usage.filter(F.col(atom) == F.lit(value)), [key], ts, as_of, days)
 
 
+def week_rows(rows: DataFrame, day: str, year: int, week: int) -> DataFrame:
+    """rows of an ISO week, as a range of days that reaches the scan."""
+    from datetime import date, timedelta
+
+    monday = date.fromisocalendar(year, week, 1)
+    return rows.filter((F.col(day) >= F.lit(monday)) & (F.col(day) < F.lit(monday + timedelta(days=7))))
+
+
+def exists_any(rows: DataFrame) -> DataFrame:
+    """F16: one row that tells whether there are rows."""
+    return rows.limit(1).agg((F.count(F.lit(1)) > 0).alias("present"))
+
+
+def looked_up(keys: DataFrame, key: str, table: DataFrame, on: str) -> DataFrame:
+    """rows by their keys; ``found`` is false where there is none."""
+    hit = table.withColumn("__hit", F.lit(True)).withColumnRenamed(on, "__on")
+    return keys.join(hit, F.col(key) == F.col("__on"), "left").withColumn("found", F.coalesce("__hit", F.lit(False))).drop("__hit", "__on")
+
+
+def within_lookback(epoch: Column, as_of: str, days: int) -> Column:
+    """seconds since 1970 of at most so many days before ``as_of``; null and 0 never are."""
+    return F.coalesce((epoch != 0) & (F.timestamp_seconds(epoch) >= F.lit(as_of).cast("timestamp") - F.expr(f"interval {int(days)} days")), F.lit(False))
+
+
 def with_brief(content: DataFrame, schedules: DataFrame) -> DataFrame:
     """Pieces beside their schedule and its brief, {} where it has none; pieces without a schedule drop out."""
     s = schedules.select(F.col("id").alias("schedule_id"), "trace_id", "required_pillar", "required_format", F.coalesce("brief", F.lit("{}")).alias("brief"))
@@ -86,17 +110,16 @@ def base_title(title: Column) -> Column:
 def title_known(rows: DataFrame, title: str, group: str, existing: DataFrame) -> DataFrame:
     """``known`` tells whether a title, bare of a part suffix, begins one that its group has.
 
-    A string begins some title of a sorted list if and only if it begins the least title not below
-    it, so the prefix join is one sorted window and no pairs are formed.
+    Existing titles are looked up by those of their beginnings that are as long as some base title of
+    their group: an equi-join, so neither pairs nor a whole group meet in one task.
     """
-    new = rows.select(*rows.columns, base_title(F.col(title)).alias("__t"), F.lit(0).alias("__k"))
-    old = existing.select(F.col(title).alias("__t"), F.col(group)).filter("__t is not null").distinct().withColumn("__k", F.lit(1))
-    both = new.unionByName(old, allowMissingColumns=True)
-    # sorted downwards, as a frame that ends at the row grows with it; one that begins there is read anew for every row
-    above = Window.partitionBy(group).orderBy(F.desc("__t"), F.desc("__k")).rowsBetween(Window.unboundedPreceding, -1)
-    least = F.last(F.when(F.col("__k") == 1, F.col("__t")), ignorenulls=True).over(above)
-    out = both.withColumn("__n", least).filter("__k = 0")
-    return out.withColumn("known", F.coalesce(F.col("__n").startswith(F.col("__t")), F.lit(False))).select(*rows.columns, "known")
+    new = rows.withColumn("__t", base_title(F.col(title)))
+    sizes = new.filter(F.col(group).isNotNull() & F.col("__t").isNotNull()).select(F.col(group).alias("__g"), F.length("__t").alias("__n")).distinct()
+    sizes = sizes.groupBy("__g").agg(F.collect_set("__n").alias("__ns"))  # no more than a title is long
+    old = existing.select(F.col(group).alias("__g"), F.col(title).alias("__x")).filter("__g is not null and __x is not null").distinct().join(sizes, "__g")
+    begins = old.select("__g", "__x", F.explode("__ns").alias("__n")).filter("__n <= length(__x)").select("__g", F.expr("left(__x, __n)").alias("__b")).distinct()
+    out = new.join(begins, (F.col(group) == F.col("__g")) & (F.col("__t") == F.col("__b")), "left")
+    return out.select(*[rows[c] for c in rows.columns], F.col("__b").isNotNull().alias("known"))
 
 
 def merged(kept: DataFrame, added: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Rows rendered as text (M1, M2, M5-M7, H1-H5)."""
+"""Rows rendered as text (M1-M7, H1-H5, H7, H8)."""
 
 from __future__ import annotations
 
@@ -79,3 +79,67 @@ def length_failures(parts: Column, part_limit: int, least: int, most: int, total
     total = F.aggregate(F.transform(parts, F.length), F.lit(0), lambda a, x: a + x)
     semis = F.aggregate(F.transform(parts, lambda p: F.length(p) - F.length(F.replace(p, F.lit(";"), F.lit("")))), F.lit(0), lambda a, x: a + x)
     return F.concat(over, F.array_compact(F.array(F.when(n < least, "too few parts"), F.when(n > most, "too many parts"), F.when(total > total_limit, "too long"), F.when(semis > 0, "semicolons"))))
+
+
+def piece_body(kind: Column, reel: Column, slides: Column, quote: Column, cover: str = "cover") -> Column:
+    """M1: a piece as Markdown by its format: quoted hook, numbered lines and punch line; headed slides, the first
+    marked as the cover; the quotation and its other form. Unknown formats have no body."""
+    lines = F.transform(reel["body"], lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+    slide = lambda s, i: F.concat(F.lit("### "), (i + 1).cast("string"), F.when(i == 0, f" ({cover})").otherwise(""), F.lit("\n\n> **"), s["headline"], F.lit("**"), F.when(s["body"] != "", F.concat(F.lit("\n\n> "), s["body"])).otherwise(""))
+    other = F.when(quote["quote_text_alt"] != "", F.concat(F.lit("\n\n> "), quote["quote_text_alt"])).otherwise("")
+    return _by_format(
+        kind,
+        F.concat_ws("\n\n", F.concat(F.lit('> "'), reel["hook_line"], F.lit('"')), numbered(lines), F.concat(F.lit('> "'), reel["punch_line"], F.lit('"'))),
+        F.array_join(F.transform(slides, slide), "\n\n"),
+        F.concat(F.lit("> "), quote["quote_text"], other),
+    )
+
+
+def score_summary(rows: DataFrame, scores: str, criteria: list[tuple[str, int]], explain: list[str]) -> DataFrame:
+    """H7, H8, M4: ``mean``, ``passed_all``, ``attention`` (the explained criteria that fail), ``error``.
+
+    A missing score is 0; scores outside 1..10 make the row an error and leave the other columns null.
+    """
+    at = {n: F.coalesce(F.col(scores)[n], F.lit(0)) for n, _ in criteria}
+    bad = F.array_join(F.array_compact(F.array(*[F.when(~v.between(1, 10), F.lit(n)) for n, v in at.items()])), ",")
+    low = dict(criteria)
+    passed = F.lit(True)
+    for n, v in at.items():
+        passed = passed & (v >= low[n])
+    why = F.array_join(F.array_compact(F.array(*[F.when(at[n] < low[n], F.concat(F.lit(f"{n}: "), at[n].cast("string"), F.lit("/10"))) for n in explain])), ", ")
+    fine = F.col("error").isNull()
+    total = sum(at.values(), F.lit(0))
+    return (
+        rows.withColumn("error", F.when(bad != "", F.concat(F.lit("out of range: "), bad)))
+        .withColumn("mean", F.when(fine, total / len(criteria))).withColumn("passed_all", F.when(fine, passed)).withColumn("attention", F.when(fine, why))
+    )
+
+
+def split_list(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), ", "), lambda x: x != "")
+
+
+BADGES = {"APPROVED": "approved", "FLAGGED": "to review", "REJECTED": "rejected"}
+
+
+def header(kind: Column, number: Column, status: Column, flags: Column) -> Column:
+    """M2: heading, badge and the reasons of a flag."""
+    badge = F.coalesce(F.create_map(*[F.lit(x) for kv in BADGES.items() for x in kv])[status], F.concat(F.lit("? "), status))
+    why = F.when((status == "FLAGGED") & (F.size(flags) > 0), F.concat(F.lit("\n\n"), F.array_join(F.transform(flags, lambda x: F.concat(F.lit("> - "), x)), "\n"))).otherwise("")
+    return F.concat(F.lit("# "), kind, F.lit(" #"), number.cast("string"), F.lit("\n\n**Status:** "), badge, why)
+
+
+def score_table(scores: str, criteria: list[tuple[str, int]]) -> Column:
+    """M2: a row a criterion with its mark."""
+    rows = [F.concat(F.lit(f"| {n} | "), F.coalesce(F.col(scores)[n], F.lit(0)).cast("string"), F.lit("/10 | "), F.when(F.coalesce(F.col(scores)[n], F.lit(0)) >= least, "ok").otherwise("low"), F.lit(" |")) for n, least in criteria]
+    return F.concat(F.lit("| criterion | score | |\n|-|-|-|\n"), F.concat_ws("\n", *rows))
+
+
+def footer(fields: list[tuple[str, Column]]) -> Column:
+    """M2: names and ids, N/A where there is none."""
+    return F.concat_ws("\n", *[F.concat(F.lit(f"- {n}: `"), F.coalesce(v, F.lit("N/A")), F.lit("`")) for n, v in fields])
+
+
+def brief(sections: list[Column]) -> Column:
+    """M3: the sections that are there, one after the other."""
+    return F.concat_ws("\n\n---\n\n", *sections)

@@ -122,12 +122,13 @@ def axis_scores(texts: DataFrame, text: str, novelty: Column | None = None) -> D
 def centroid_novelty(vectors: DataFrame, id_col: str, vector: str, group: str) -> DataFrame:
     """A5 per group: cosine of each vector with its group's mean direction, and the score.
 
-    Means are aggregated per position, so partial sums are combined map-side and no group is gathered.
+    One average a position (vectors have one length), so partial sums are combined map-side in one pass and no group is gathered.
     """
     norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
     unit = vectors.withColumn("__u", F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)))
-    each = unit.filter("__u is not null").select(group, F.posexplode_outer("__u").alias("i", "x")).groupBy(group, "i").agg(F.avg("x").alias("m"))
-    mean = each.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("__m"))
+    first = unit.filter("__u is not null").select(F.size("__u").alias("n")).first()
+    size = first.n if first else 0
+    mean = unit.filter("__u is not null").groupBy(group).agg(F.array(*[F.avg(F.get("__u", F.lit(i))) for i in range(size)]).cast("array<double>").alias("__m"))
     mnorm = F.sqrt(F.aggregate(F.transform("__m", lambda x: x * x), F.lit(0.0), lambda a, x: a + x))
     dot = F.aggregate(F.zip_with("__u", "__m", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     out = unit.join(mean, group).withColumn("cosine", F.when(mnorm > 0, dot / mnorm).otherwise(F.lit(0.0)))

@@ -23,8 +23,9 @@ def two_tier(primary: DataFrame, secondary: DataFrame, group: str, order: list[C
 def quota_sample(rows: DataFrame, group: str, key: str, quotas: dict[str, int]) -> DataFrame:
     """Per group its quota of rows, in the order of their keys' hashes (the same on every run)."""
     q = F.coalesce(F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])[F.col(group)], F.lit(0))
-    ranked = rows.filter(q > 0).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.md5(F.col(key).cast("string")), key)))
-    return ranked.filter(F.col("rank") <= q)
+    # the largest quota is a literal, so that no more rows of a group are kept before the shuffle
+    most = max(quotas.values(), default=0)
+    return best_n(rows.filter(q > 0), [group], [F.md5(F.col(key).cast("string")), F.col(key)], most).filter(F.col("rank") <= q)
 
 
 def scaled_quotas(quotas: dict[str, int], total: int) -> dict[str, int]:

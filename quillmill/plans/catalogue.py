@@ -14,6 +14,7 @@ from quillmill.operators import chunking as C
 from quillmill.operators import cleaning as T
 from quillmill.operators import elite as E
 from quillmill.operators import relational as R
+from quillmill.operators import planning as N
 from quillmill.operators import rendering as M
 from quillmill.operators import rules as U
 from quillmill.operators import scores as S
@@ -22,7 +23,11 @@ from quillmill.operators import urls as H
 from quillmill.plans import parameters as P
 from quillmill.plans.oracle import oracle_sql
 from quillmill.plans.pipeline import passages
-from quillmill.runtime import spread, table
+from quillmill.runtime import ship, spread, table
+from quillmill.operators.enrich import enriched, retry_after
+from quillmill.sources.text_files import archives
+
+ship(__name__)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -321,7 +326,7 @@ def posts_by_score(s, d):
 
 @query
 def array_containment(s, d):
-    return _atoms(s, d).filter(R.contains_all(F.col("format_fit"), ["REEL"]) & F.col("deleted_at").isNull()).select("id", "virality_score").distinct()
+    return _atoms(s, d).filter(R.contains_all(F.col("format_fit"), ["REEL"]) & F.col("deleted_at").isNull()).select("id", F.nanvl("virality_score", F.lit(None)).alias("virality_score")).distinct()
 
 
 @query
@@ -342,8 +347,7 @@ def ingest_to_atoms(s, d):
 @query
 def orders_of_week(s, d):
     o, li = table(s, d, "orders"), table(s, d, "lineitem")
-    day = F.col("o_orderdate").cast("date")
-    week = o.filter((K.iso_year(day) == 1997) & (K.iso_week(day) == 20) & (F.col("o_orderstatus") == "O"))
+    week = R.week_rows(o, "o_orderdate", 1997, 20).filter("o_orderstatus = 'O'")
     return week.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "l_returnflag")
 
 
@@ -508,7 +512,7 @@ def shared_authors(s, d):
 def hosts_only_in_documents(s, d):
     a = table(s, d, "documents").select(F.col("source").alias("host")).filter("host is not null")
     b = _ingest(s, d).select(H.host(F.col("source_url")).alias("host")).filter("host is not null")
-    return a.exceptAll(b).distinct().join(b.distinct(), "host", "left_anti")
+    return a.distinct().join(b.distinct(), "host", "left_anti")
 
 
 @query
@@ -602,4 +606,222 @@ def length_failures(s, d):
     return _chunks(s, d).select("doc_id", "chunk_index", F.array_join(M.length_failures(parts, 400, 4, 8, 2200), ",").alias("failures"))
 
 
+def _pieces(s, d) -> DataFrame:
+    a = _atoms(s, d).dropDuplicates(["id"]).select("id", F.get("format_fit", F.lit(0)).alias("kind"), "atomic_components.*")
+    reel = F.struct(F.col("emotional_hook").alias("hook_line"), F.array("core_concept", "supporting_evidence").alias("body"), F.col("actionable_insight").alias("punch_line"))
+    slides = F.array(F.struct(F.col("core_concept").alias("headline"), F.col("supporting_evidence").alias("body")), F.struct(F.col("emotional_hook").alias("headline"), F.col("actionable_insight").alias("body")))
+    quote = F.struct(F.col("quotable_snippet").alias("quote_text"), F.lit(None).cast("string").alias("quote_text_alt"))
+    return a.select("id", "kind", reel.alias("reel"), slides.alias("slides"), quote.alias("quote"))
+
+
+@query
+def piece_texts(s, d):
+    """H1, H4: all text, first and last line of a piece by its format."""
+    p = _pieces(s, d)
+    parts = [F.col(c) for c in ("kind", "reel", "slides", "quote")]
+    last = M.last_line(*parts)
+    return p.select("id", F.md5(M.full_text(*parts)).alias("full_md5"), M.first_line(*parts).alias("first"), last.alias("last"), M.summary_ending(last).alias("ending"))
+
+
+@query
+def piece_bodies(s, d):
+    """M1: Markdown by format."""
+    p = _pieces(s, d)
+    return p.select("id", F.md5(M.piece_body(F.col("kind"), F.col("reel"), F.col("slides"), F.col("quote"))).alias("body_md5"))
+
+
+def _rated(s, d) -> DataFrame:
+    li = table(s, d, "lineitem")
+    score = lambda k: ((F.col("l_partkey") + k * F.col("l_linenumber")) % 11).cast("int")
+    return li.select("l_orderkey", "l_linenumber", F.create_map(*[x for k, (n, _) in enumerate(P.CRITERIA) for x in (F.lit(n), score(k + 1))]).alias("scores"))
+
+
+@query
+def score_gate(s, d):
+    """H7, H8, M4: mean, verdict, what needs attention; a score out of range fails the row, not the run."""
+    r = M.score_summary(_rated(s, d), "scores", P.CRITERIA, explain=["voice", "hook", "share"])
+    return r.select("l_orderkey", "l_linenumber", F.round("mean", 6).alias("mean"), "passed_all", "attention", "error")
+
+
+@query
+def brief_documents(s, d):
+    """M2, M3: header with badge, body, table of scores and footer as one document."""
+    r = M.score_summary(_rated(s, d), "scores", P.CRITERIA, explain=["voice", "hook", "share"])
+    status = F.when(F.col("error").isNotNull(), "REJECTED").when(F.col("passed_all"), "APPROVED").otherwise("FLAGGED")
+    doc = M.brief([M.header(F.lit("ORDER"), F.col("l_orderkey"), status, M.split_list(F.col("attention"))), M.score_table("scores", P.CRITERIA), M.footer([("order", F.col("l_orderkey").cast("string")), ("line", F.col("l_linenumber").cast("string"))])])
+    return r.select("l_orderkey", "l_linenumber", status.alias("status"), F.md5(doc).alias("doc_md5"))
+
+
+# Planning
+
+
+def _slots(s) -> DataFrame:
+    return s.createDataFrame(P.SLOTS, "slot int, pillar string, format string")
+
+
+def _angles(s) -> DataFrame:
+    return s.createDataFrame(P.ANGLES, "angle string, active boolean, pillars array<string>, formats array<string>, levels array<int>, multiplier double")
+
+
+def _items(s, d) -> DataFrame:
+    """The latest version of every atom."""
+    latest = table(s, d, "content_atoms").groupBy("id").agg(F.max_by(F.struct("primary_pillar", "format_fit", "complexity_score", "virality_score", "lifecycle_state"), F.struct("updated_at", F.coalesce(F.nanvl("virality_score", F.lit(-1.0)), F.lit(-1.0)))).alias("a"))
+    return latest.filter("a.lifecycle_state = 'ACTIVE'").select(F.col("id").alias("item"), F.upper(F.trim("a.primary_pillar")).alias("pillar"), F.col("a.format_fit").alias("formats"), F.col("a.complexity_score").alias("level"), F.nanvl("a.virality_score", F.lit(None)).alias("virality"))
+
+
+@query
+def slot_candidates(s, d):
+    """J4 with F12-F14, counted per slot and angle."""
+    c = N.slot_candidates(_slots(s), _items(s, d), _angles(s), "level", fallback=2)
+    return c.groupBy("slot", "angle", "fallback").agg(F.count(F.lit(1)).alias("items"), F.max("virality").alias("best"))
+
+
+@query
+def fallback_angles(s, d):
+    return N.angles_of_format(_angles(s), 2).select("format", "angle", "multiplier", "rank")
+
+
+@query
+def weekly_assignment(s, d):
+    """W10 over J4's candidates."""
+    c = N.slot_candidates(_slots(s), _items(s, d).filter("virality is not null"), _angles(s), "level", fallback=2)
+    scored = c.select("slot", "item", "angle", F.round(F.col("virality") * F.col("multiplier"), 6).alias("score"))
+    return N.greedy_assignment(scored, len(P.SLOTS))
+
+
+@query
+def diversity_report(s, d):
+    ev = table(s, d, "events")
+    return N.diversity_report(ev, "event_type", _week(s, d, 28), "rows", 8, 0.2).select(F.round("evenness", 9).alias("evenness"), "underused", "saturated")
+
+
+@query
+def utilisation(s, d):
+    return N.utilisation(_week(s, d, 28), "event_type", "rows", P.RATES).select(F.round("utilisation", 9).alias("utilisation"))
+
+
+@query
+def run_counters(s, d):
+    st = F.col("o_orderstatus")
+    return N.outcome_counts(table(s, d, "orders"), {"filled": st == "F", "failed": st == "P", "late": (st == "O") & (F.col("o_orderpriority") == "1-URGENT")})
+
+
+@query
+def seeding_summary(s, d):
+    st = F.col("status")
+    return N.outcome_counts(_ingest(s, d), {"success": st == "PASSED", "failed": st == "ERROR", "skipped": st == "PENDING"}, ["source_type"])
+
+
+# Lookups of one thing each
+
+
+@query
+def unfilled_orders_of_week(s, d):
+    """rows of the week without a child of a kind, in order."""
+    o, li = table(s, d, "orders"), table(s, d, "lineitem")
+    week = R.week_rows(o, "o_orderdate", 1997, 20)
+    return week.join(li.filter("l_returnflag = 'N'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey")
+
+
+@query
+def week_present(s, d):
+    o = table(s, d, "orders")
+    a, b = R.exists_any(R.week_rows(o, "o_orderdate", 1997, 20)), R.exists_any(R.week_rows(o, "o_orderdate", 2031, 20))
+    return a.select(F.lit("1997-20").alias("week"), "present").unionByName(b.select(F.lit("2031-20").alias("week"), "present"))
+
+
+@query
+def first_of_week(s, d):
+    """open rows of the week in order, at most 21."""
+    return R.week_rows(table(s, d, "orders"), "o_orderdate", 1997, 20).filter("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(21)
+
+
+@query
+def sources_by_title_and_author(s, d):
+    """pending pieces of some pillars, authors compared without regard to case."""
+    r = _reservoir(s, d).filter(F.col("pillar").isin("PRODUCTIVITY", "PHILOSOPHY") & (F.col("status") == "QUEUED") & F.lower("source_author").like("a%"))
+    return r.select("id", "raw_title", F.lower("source_author").alias("author"))
+
+
+@query
+def rows_of_latest_batch(s, d):
+    """the rows of one batch, the newest first."""
+    i = _ingest(s, d)
+    latest = i.agg(F.max("batch_id").alias("batch_id"))
+    return i.join(latest, "batch_id").orderBy(F.desc("ingested_at"), "id").select("id", "batch_id")
+
+
+@query
+def point_lookups(s, d):
+    """rows by id; ids without a row come out as not found."""
+    keys = table(s, d, "lineitem").select((F.col("l_orderkey") * 2).alias("wanted")).distinct()
+    return R.looked_up(keys, "wanted", table(s, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+
+
+@query
+def template_by_day(s, d):
+    """a template's rows by their keys, beside the others."""
+    t = _slots(s)
+    return t.filter(F.col("pillar") == "PRODUCTIVITY").withColumn("part", F.lit("wanted")).unionByName(t.filter(F.col("pillar") != "PRODUCTIVITY").withColumn("part", F.lit("other")))
+
+
+@query
+def lookback_filter(s, d):
+    epoch = F.when(F.col("ingested_at").isNotNull(), F.unix_timestamp("ingested_at"))
+    return _ingest(s, d).filter(R.within_lookback(epoch, P.AS_OF, 60)).select("id")
+
+
+@query
+def scaled_quota_sample(s, d):
+    """W4 on W3: quotas scaled to 6 in all."""
+    out = W.quota_sample(_reservoir(s, d).filter("status = 'AVAILABLE'"), "source_type", "id", W.scaled_quotas({"YOUTUBE": 10, "BLOG": 13, "BOOK": 3}, 6))
+    return out.select("source_type", "id", "rank")
+
+
+@query
+def random_sample_hash(s, d):
+    """A fixed sample of the available rows, in the order of their ids' hashes."""
+    return _reservoir(s, d).filter("status = 'AVAILABLE'").orderBy(F.md5("id"), "id").limit(40).select("id", "source_type")
+
+
+@query
+def video_keys(s, d):
+    """The video's id where the address has one, else the normalised address's key."""
+    return _ingest(s, d).filter("source_url is not null").select("id", H.video_key(F.col("source_url")).alias("key"))
+
+
+@query
+def body_previews(s, d):
+    """M7."""
+    return _docs(s, d).select("doc_id", F.md5(M.preview(F.col("text"))).alias("preview_md5"))
+
+
+@query
+def archive_round_trip(s, d):
+    """Archives written from documents and read back."""
+    t = table(s, d, "documents").filter("text is not null and title is not null and author is not null")
+    file = F.concat(F.lit("URL: https://"), F.col("source"), F.lit("\nTITLE: "), F.col("title"), F.lit("\nAUTHOR_ID: "), F.col("author"), F.lit("\n---\n"), F.col("text"))
+    return archives(t.filter("source is not null").select("doc_id", file.alias("value"))).select("doc_id", "url", "title", "author_id", "valid")
+
+
+@query
+def retry_hints(s, d):
+    """2.12: the seconds a service asks to wait."""
+    o = table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("429: try again in "), (F.col("o_orderkey") % 50).cast("string"), F.lit(".5s"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("try again in "), (F.col("o_orderkey") % 900).cast("string"), F.lit("ms"))).otherwise("no").alias("m"))
+    return o.select("o_orderkey", retry_after(F.col("m")).alias("wait"))
+
+
+@query
+def enriched_stub(s, d):
+    """A deterministic model through the enrichment contract; rows it can't take carry their error."""
+    out = enriched(_chunks(s, d).select("doc_id", "chunk_index", "wc"), ["doc_id", "chunk_index", "wc"], _stub_model, "level int", attempts=1)
+    return out.select("doc_id", "chunk_index", "level", F.col("error").isNotNull().alias("failed"))
+
+
+def _stub_model(pdf):
+    if (pdf["wc"] > 2000).any():
+        raise ValueError("too long")
+    return pdf.assign(level=(pdf["wc"] % 5 + 1).astype("int32"))[["level"]]
+
+
 __all__ = ["queries", "oracle_sql"]

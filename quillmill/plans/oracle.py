@@ -155,6 +155,58 @@ _DAY = "CAST(o_orderdate AS DATE)"
 _MONDAY = f"CAST(date_trunc('week', {_DAY}) AS DATE)"
 
 
+_PIECES = "p AS (SELECT id, format_fit[1] AS kind, atomic_components.core_concept AS c, atomic_components.emotional_hook AS h, atomic_components.supporting_evidence AS e, atomic_components.actionable_insight AS i, atomic_components.quotable_snippet AS q FROM (SELECT DISTINCT ON (id) * FROM content_atoms))"
+
+
+def _values(rows: list[tuple]) -> str:
+    def lit(v: object) -> str:
+        if isinstance(v, list):
+            return "[" + ", ".join(map(lit, v)) + "]" + ("::INTEGER[]" if all(isinstance(x, int) for x in v) else "")
+        return "'" + v + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
+
+    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+
+
+_CANDIDATES = f"""slots AS (SELECT * FROM (VALUES {_values(P.SLOTS)}) t(slot, pillar, format)), angles AS (SELECT * FROM (VALUES {_values(P.ANGLES)}) t(angle, active, pillars, formats, levels, multiplier) WHERE active),
+latest AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, CASE WHEN virality_score IS NULL OR isnan(virality_score) THEN -1 ELSE virality_score END DESC) AS n FROM content_atoms),
+items AS (SELECT id AS item, upper(trim(primary_pillar)) AS pillar, format_fit, coalesce(complexity_score, 3) AS level, CASE WHEN isnan(virality_score) THEN NULL ELSE virality_score END AS virality FROM latest WHERE n = 1 AND lifecycle_state = 'ACTIVE'),
+si AS (SELECT slot, slots.pillar, format, item, level, virality FROM slots JOIN items ON items.pillar = slots.pillar AND list_contains(format_fit, format)),
+fit AS (SELECT si.*, angle, multiplier, false AS fallback FROM si JOIN angles ON list_contains(pillars, pillar) AND list_contains(formats, format) AND (len(levels) < 2 OR level BETWEEN levels[1] AND levels[2])),
+fb AS (SELECT * FROM (SELECT f AS format, angle, multiplier, row_number() OVER (PARTITION BY f ORDER BY multiplier DESC, angle) AS k FROM (SELECT angle, multiplier, unnest(formats) AS f FROM angles)) WHERE k <= 2),
+rest AS (SELECT si.*, angle, multiplier, true AS fallback FROM si JOIN fb ON si.format = fb.format WHERE NOT EXISTS (SELECT 1 FROM fit WHERE fit.slot = si.slot AND fit.item = si.item)),
+cand AS (SELECT * FROM fit UNION ALL SELECT * FROM rest)"""
+_SCORE = lambda k: f"CAST((l_partkey + {k + 1} * l_linenumber) % 11 AS INTEGER)"
+_RATED = f"""s AS (SELECT l_orderkey, l_linenumber, {', '.join(f'{_SCORE(k)} AS {n}' for k, (n, _) in enumerate(P.CRITERIA))} FROM lineitem),
+g AS (SELECT *, array_to_string(list_filter([{', '.join(f"CASE WHEN {n} NOT BETWEEN 1 AND 10 THEN '{n}' END" for n, _ in P.CRITERIA)}], lambda x: x IS NOT NULL), ',') AS bad, {' AND '.join(f'{n} >= {m}' for n, m in P.CRITERIA)} AS ok,
+  list_filter([{', '.join(f"CASE WHEN {n} < {dict(P.CRITERIA)[n]} THEN '{n}: ' || {n} || '/10' END" for n in ('voice', 'hook', 'share'))}], lambda x: x IS NOT NULL) AS why FROM s)"""
+_WEEK_20 = "CAST(o_orderdate AS DATE) >= DATE '1997-05-12' AND CAST(o_orderdate AS DATE) < DATE '1997-05-19'"
+
+# folds over the parts of a text, one step of all documents at a time
+_CONTENTS = rf"""b AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS p FROM b),
+m AS (SELECT doc_id, p, x, regexp_matches(lower({_strip("x")}), '^(?:{_alt(L.TOC_START)})$') AS begins, regexp_matches(x, '^{L.TOC_LINE.replace(chr(39), chr(39) * 2)}$') AS entry, {_strip("x")} = '' AS blank FROM l),
+f AS (SELECT doc_id, p, x, begins AS inside, 0 AS strange, NOT begins AS keep FROM m WHERE p = 1
+  UNION ALL SELECT m.doc_id, m.p, m.x,
+    CASE WHEN m.begins THEN true WHEN f.inside AND NOT m.entry AND NOT m.blank AND f.strange + 1 >= 5 THEN false ELSE f.inside END,
+    CASE WHEN m.begins THEN 0 WHEN NOT f.inside THEN f.strange WHEN m.entry THEN 0 WHEN m.blank THEN f.strange ELSE f.strange + 1 END,
+    NOT m.begins AND (NOT f.inside OR (NOT m.entry AND NOT m.blank AND f.strange + 1 >= 5))
+  FROM f JOIN m ON m.doc_id = f.doc_id AND m.p = f.p + 1)"""
+_PARAGRAPHS = rf"""b AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_strip("x")}), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) - 1 AS p FROM b),
+m AS (SELECT doc_id, p, x, len({_words("x")}) AS w, regexp_extract(lower(x), '(?i){_alt(L.EARLY_CLOSE)}', 0) AS hit FROM l),
+f AS (SELECT doc_id, p, w AS total, 0 AS first, hit, w >= 900 OR w >= 1100 OR (w >= 250 AND w < 1100 AND hit <> '') AS closes FROM m WHERE p = 0
+  UNION ALL SELECT m.doc_id, m.p, CASE WHEN f.closes THEN 0 ELSE f.total END + m.w, CASE WHEN f.closes THEN m.p ELSE f.first END, m.hit,
+    CASE WHEN f.closes THEN 0 ELSE f.total END + m.w >= 900 OR (CASE WHEN f.closes THEN 0 ELSE f.total END + m.w >= 250 AND CASE WHEN f.closes THEN 0 ELSE f.total END + m.w < 1100 AND m.hit <> '')
+  FROM f JOIN m ON m.doc_id = f.doc_id AND m.p = f.p + 1),
+d AS (SELECT doc_id, first, p AS last, total, total < 1100 AND total >= 250 AND hit <> '' AS early, hit, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM f WHERE closes),
+z AS (SELECT f.doc_id, f.first, f.p AS last, f.total FROM f JOIN (SELECT doc_id, max(p) AS p FROM m GROUP BY doc_id) e ON e.doc_id = f.doc_id AND e.p = f.p WHERE NOT closes),
+c AS (SELECT d.doc_id, d.k - 1 AS index, d.first, CASE WHEN k = n AND z.total < 250 THEN z.last ELSE d.last END AS last, d.total + CASE WHEN k = n AND z.total < 250 THEN z.total ELSE 0 END AS words,
+    d.early AND NOT (k = n AND coalesce(z.total < 250, false)) AS early, CASE WHEN d.early AND NOT (k = n AND coalesce(z.total < 250, false)) THEN d.hit END AS reason FROM d LEFT JOIN z ON z.doc_id = d.doc_id
+  UNION ALL SELECT z.doc_id, coalesce(n.n, 0), z.first, z.last, z.total, false, NULL FROM z LEFT JOIN (SELECT DISTINCT doc_id, n FROM d) n ON n.doc_id = z.doc_id WHERE z.total >= 250 OR n.n IS NULL),
+ch AS (SELECT c.doc_id, CAST(c.index AS INTEGER) AS index, CAST(words AS INTEGER) AS word_count, CAST(last - first + 1 AS INTEGER) AS paragraph_count, CAST(first AS INTEGER) AS start_paragraph, CAST(last AS INTEGER) AS end_paragraph, early AS closed_early, reason AS early_close_reason,
+  md5(array_to_string(ps[first + 1:last + 1], chr(10) || chr(10))) AS text_md5 FROM c JOIN b ON b.doc_id = c.doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     lines = "string_split(raw_text, chr(10))"
     end = f"TIMESTAMP '{P.EVENTS_END}'"
@@ -176,6 +228,53 @@ WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 m AS (SELECT *, list_filter(range(0, len(ls)), lambda i: i < floor(len(ls) * CAST(0.15 AS DOUBLE)) AND regexp_matches(lower({_strip("ls[i + 1]")}), '^(?:{_alt(L.ACKNOWLEDGMENTS)})$'))[1] AS s FROM l),
 n AS (SELECT *, list_filter(range(0, len(ls)), lambda i: i > s AND i < least(s + 50, len(ls)) AND regexp_matches(lower({_strip("ls[i + 1]")}), '{_alt(L.FRONT_CHAPTERS)}'))[1] AS e FROM m)
 SELECT doc_id, md5(CASE WHEN len(ls) < 30 OR s IS NULL THEN text ELSE array_to_string(list_concat(ls[1:s], ls[coalesce(e, s + 1) + 1:]), chr(10)) END) AS cleaned_md5 FROM n""",
+        "contents_fold": f"WITH RECURSIVE {_CONTENTS} SELECT doc_id, md5(coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (WHERE keep), '')) AS cleaned_md5 FROM f GROUP BY doc_id",
+        "chunk_paragraph_fold": f"WITH RECURSIVE {_PARAGRAPHS} SELECT * FROM ch",
+        "chunk_stats": f"WITH RECURSIVE {_PARAGRAPHS} SELECT doc_id, count(*) AS chunks, CAST(sum(word_count) AS BIGINT) AS words, CAST(sum(paragraph_count) AS BIGINT) AS paragraphs, avg(word_count) AS avg_words, count(*) FILTER (WHERE closed_early) AS early FROM ch GROUP BY doc_id",
+        "piece_texts": f"""WITH {_PIECES}, t AS (SELECT id, coalesce(CASE kind WHEN 'REEL' THEN h || ' ' || concat_ws(' ', c, e) || ' ' || i WHEN 'CAROUSEL' THEN concat_ws(' ', c, nullif(e, ''), h, nullif(i, '')) WHEN 'QUOTE' THEN q || ' ' END, '') AS full_,
+  coalesce(CASE kind WHEN 'REEL' THEN h WHEN 'CAROUSEL' THEN c WHEN 'QUOTE' THEN string_split(q, '.')[1] END, '') AS first,
+  coalesce(CASE kind WHEN 'REEL' THEN i WHEN 'CAROUSEL' THEN CASE WHEN i <> '' THEN i ELSE h END WHEN 'QUOTE' THEN {_strip("string_split(q, '.')[-1]")} END, '') AS last FROM p)
+SELECT id, md5(full_) AS full_md5, first, last, CASE {' '.join("WHEN contains(lower(last), '" + x.replace("'", "''") + "') THEN '" + x.replace("'", "''") + "'" for x in L.SUMMARY_ENDINGS)} END AS ending FROM t""",
+        "piece_bodies": f"""WITH {_PIECES} SELECT id, md5(coalesce(CASE kind WHEN 'REEL' THEN concat_ws(chr(10) || chr(10), '> "' || h || '"', array_to_string(list_filter(['1. "' || c || '"', '2. "' || e || '"'], lambda x: x IS NOT NULL), chr(10)), '> "' || i || '"')
+  WHEN 'CAROUSEL' THEN array_to_string(list_filter(['### 1 (cover)' || chr(10) || chr(10) || '> **' || c || '**' || CASE WHEN e <> '' THEN chr(10) || chr(10) || '> ' || e ELSE '' END,
+    '### 2' || chr(10) || chr(10) || '> **' || h || '**' || CASE WHEN i <> '' THEN chr(10) || chr(10) || '> ' || i ELSE '' END], lambda x: x IS NOT NULL), chr(10) || chr(10)) WHEN 'QUOTE' THEN '> ' || q END, '')) AS body_md5 FROM p""",
+        "score_gate": f"""WITH {_RATED} SELECT l_orderkey, l_linenumber, CASE WHEN bad = '' THEN round(({' + '.join(n for n, _ in P.CRITERIA)}) / 7, 6) END AS mean, CASE WHEN bad = '' THEN ok END AS passed_all,
+  CASE WHEN bad = '' THEN array_to_string(why, ', ') END AS attention, CASE WHEN bad <> '' THEN 'out of range: ' || bad END AS error FROM g""",
+        "brief_documents": f"""WITH {_RATED}, t AS (SELECT *, CASE WHEN bad <> '' THEN 'REJECTED' WHEN ok THEN 'APPROVED' ELSE 'FLAGGED' END AS status FROM g)
+SELECT l_orderkey, l_linenumber, status, md5('# ORDER #' || l_orderkey || chr(10) || chr(10) || '**Status:** ' || CASE status WHEN 'APPROVED' THEN 'approved' WHEN 'FLAGGED' THEN 'to review' ELSE 'rejected' END
+  || CASE WHEN status = 'FLAGGED' AND len(why) > 0 THEN chr(10) || chr(10) || array_to_string(list_transform(why, lambda x: '> - ' || x), chr(10)) ELSE '' END || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  || '| criterion | score | |' || chr(10) || '|-|-|-|' || chr(10) || {" || chr(10) || ".join(f"'| {n} | ' || {n} || '/10 | ' || CASE WHEN {n} >= {m} THEN 'ok' ELSE 'low' END || ' |'" for n, m in P.CRITERIA)}
+  || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '- order: `' || l_orderkey || '`' || chr(10) || '- line: `' || l_linenumber || '`') AS doc_md5 FROM t""",
+        "slot_candidates": f"WITH {_CANDIDATES} SELECT slot, angle, fallback, count(*) AS items, max(CASE WHEN virality = 0 THEN CAST(0 AS DOUBLE) ELSE virality END) AS best FROM cand GROUP BY ALL",
+        "fallback_angles": f"WITH angles AS (SELECT * FROM (VALUES {_values(P.ANGLES)}) t(angle, active, pillars, formats, levels, multiplier) WHERE active) SELECT format, angle, multiplier, CAST(k AS INTEGER) AS rank FROM (SELECT f AS format, angle, multiplier, row_number() OVER (PARTITION BY f ORDER BY multiplier DESC, angle) AS k FROM (SELECT angle, multiplier, unnest(formats) AS f FROM angles)) WHERE k <= 2",
+        "weekly_assignment": f"""WITH RECURSIVE {_CANDIDATES}, sc AS (SELECT slot, item, angle, round(virality * multiplier, 6) AS score FROM cand WHERE virality IS NOT NULL),
+one AS (SELECT slot, item, score, angle FROM (SELECT *, row_number() OVER (PARTITION BY slot, item ORDER BY score DESC, angle) AS k FROM sc) WHERE k = 1),
+walk AS (SELECT 0 AS slot, CAST(NULL AS VARCHAR) AS item, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS angle, CAST([] AS VARCHAR[]) AS gone
+  UNION ALL SELECT slot, item, score, angle, gone FROM (SELECT o.slot, o.item, o.score, o.angle, list_append(w.gone, o.item) AS gone, row_number() OVER (PARTITION BY o.slot ORDER BY o.score DESC, o.item) AS k
+    FROM walk w JOIN one o ON o.slot = w.slot + 1 AND NOT list_contains(w.gone, o.item)) WHERE k = 1)
+SELECT CAST(slot AS INTEGER) AS slot, item, score, angle FROM walk WHERE slot > 0""",
+        "diversity_report": "WITH " + _WEEK.format(28) + """, s AS (SELECT rows / (SELECT sum(rows) FROM w) AS p FROM w), j AS (SELECT g.event_type, coalesce(rows, 0) AS rows FROM (SELECT DISTINCT event_type FROM events) g LEFT JOIN w ON w.event_type = g.event_type)
+SELECT round(-sum(p * log2(p)) / log2(8), 9) AS evenness, (SELECT coalesce(string_agg(event_type, ',' ORDER BY event_type), '') FROM j WHERE rows < (SELECT sum(rows) / count(*) FROM j) * CAST(0.8 AS DOUBLE)) AS underused,
+  (SELECT coalesce(string_agg(event_type, ',' ORDER BY event_type), '') FROM w WHERE CAST(rows AS DOUBLE) / (SELECT sum(rows) FROM w) > CAST(0.2 AS DOUBLE)) AS saturated FROM s""",
+        "utilisation": "WITH " + _WEEK.format(28) + " SELECT round(sum(rows * CASE event_type " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in P.RATES.items()) + " ELSE 0 END) / sum(rows), 9) AS utilisation FROM w",
+        "run_counters": "SELECT count(*) AS processed, count(*) FILTER (WHERE o_orderstatus = 'F') AS filled, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS late FROM orders",
+        "seeding_summary": f"WITH {_INGEST} SELECT source_type, count(*) AS processed, count(*) FILTER (WHERE status = 'PASSED') AS success, count(*) FILTER (WHERE status = 'ERROR') AS failed, count(*) FILTER (WHERE status = 'PENDING') AS skipped FROM i GROUP BY source_type",
+        "unfilled_orders_of_week": f"SELECT o_orderkey, o_orderstatus FROM orders WHERE {_WEEK_20} AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'N')",
+        "week_present": f"SELECT '1997-20' AS week, EXISTS (SELECT 1 FROM orders WHERE {_WEEK_20}) AS present UNION ALL SELECT '2031-20', false",
+        "first_of_week": f"SELECT o_orderkey, o_totalprice FROM orders WHERE {_WEEK_20} AND o_orderstatus = 'O' ORDER BY o_orderkey LIMIT 21",
+        "sources_by_title_and_author": f"WITH {_RESERVOIR} SELECT id, raw_title, lower(source_author) AS author FROM r WHERE pillar IN ('PRODUCTIVITY', 'PHILOSOPHY') AND status = 'QUEUED' AND lower(source_author) LIKE 'a%'",
+        "rows_of_latest_batch": f"WITH {_INGEST} SELECT id, batch_id FROM i WHERE batch_id = (SELECT max(batch_id) FROM i)",
+        "point_lookups": "SELECT wanted, o_orderstatus, o_orderkey IS NOT NULL AS found FROM (SELECT DISTINCT l_orderkey * 2 AS wanted FROM lineitem) LEFT JOIN orders ON o_orderkey = wanted",
+        "template_by_day": f"SELECT slot, pillar, format, CASE pillar WHEN 'PRODUCTIVITY' THEN 'wanted' ELSE 'other' END AS part FROM (VALUES {_values(P.SLOTS)}) t(slot, pillar, format)",
+        "lookback_filter": f"WITH {_INGEST} SELECT id FROM i WHERE to_timestamp(floor(epoch(ingested_at))) >= TIMESTAMPTZ '{P.AS_OF}+00' - INTERVAL 60 DAY",
+        "scaled_quota_sample": f"""WITH {_RESERVOIR}, k AS (SELECT source_type, id, row_number() OVER (PARTITION BY source_type ORDER BY md5(id), id) AS rank FROM r WHERE status = 'AVAILABLE')
+SELECT source_type, id, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= CASE source_type WHEN 'YOUTUBE' THEN 2 WHEN 'BLOG' THEN 3 WHEN 'BOOK' THEN 1 ELSE 0 END""",
+        "random_sample_hash": f"WITH {_RESERVOIR} SELECT id, source_type FROM r WHERE status = 'AVAILABLE' ORDER BY md5(id), id LIMIT 40",
+        "video_keys": f"WITH {_INGEST}, v AS (SELECT id, source_url, coalesce({', '.join(f"nullif(regexp_extract(source_url, '{p.replace(chr(39), chr(39) * 2)}', 1), '')" for p in L.VIDEO_URLS)}) AS v FROM i WHERE source_url IS NOT NULL) SELECT id, CASE WHEN v IS NOT NULL THEN left(md5('youtube:' || v), 16) ELSE {_URL_KEY} END AS key FROM v",
+        "body_previews": _docs_md5(r"""CASE WHEN regexp_extract(text, '(?m)^> "([^"]+)"', 1) <> '' THEN regexp_extract(text, '(?m)^> "([^"]+)"', 1) ELSE left(trim(regexp_replace(text, '[*_#>`]', '', 'g'), ' '), 150) END""").replace("cleaned_md5", "preview_md5"),
+        "archive_round_trip": "SELECT doc_id, 'https://' || source AS url, trim(title) AS title, trim(author) AS author_id, true AS valid FROM documents WHERE text IS NOT NULL AND title IS NOT NULL AND author IS NOT NULL AND source IS NOT NULL",
+        "retry_hints": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderkey % 50 AS DOUBLE) + 1.0 WHEN 1 THEN CAST(o_orderkey % 900 AS DOUBLE) / 1000 + 0.5 END AS wait FROM orders",
+        "enriched_stub": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, CASE WHEN wc <= 2000 THEN CAST(wc % 5 + 1 AS INTEGER) END AS level, wc > 2000 AS failed FROM c",
         "article_clean": _docs_md5(_strip(_ARTICLE)),
         "transcript_clean": f"WITH {_RESERVOIR} SELECT id, md5({_strip(_TRANSCRIPT)}) AS cleaned_md5 FROM r WHERE raw_text IS NOT NULL",
         "chunk_overlap_windows": f"""
@@ -228,7 +327,7 @@ SELECT id, host, CASE WHEN t = '' THEN 'Untitled' ELSE array_to_string(list_tran
         "json_path_filter": f"WITH {_INGEST}, w AS (SELECT id, CAST(json_extract_string(raw_metadata, '$.words') AS INTEGER) AS words FROM i) SELECT id, words FROM w WHERE words >= 200",
         "posts_by_score": f"""WITH {_INGEST}, w AS (SELECT *, coalesce(CAST(json_extract_string(raw_metadata, '$.score') AS INTEGER), 0) AS score FROM i)
 SELECT id, score FROM w WHERE source_type = 'REDDIT' AND score >= 10 AND raw_content NOT IN ('[removed]', '[deleted]') AND length(raw_content) >= 300 AND ingested_at >= TIMESTAMPTZ '{P.AS_OF}+00' - INTERVAL 60 DAY""",
-        "array_containment": f"WITH {_ATOMS} SELECT DISTINCT id, CASE WHEN virality_score = 0 THEN CAST(0 AS DOUBLE) ELSE virality_score END AS virality_score FROM a WHERE list_contains(format_fit, 'REEL') AND deleted_at IS NULL",
+        "array_containment": f"WITH {_ATOMS} SELECT DISTINCT id, CASE WHEN virality_score = 0 THEN CAST(0 AS DOUBLE) WHEN isnan(virality_score) THEN NULL ELSE virality_score END AS virality_score FROM a WHERE list_contains(format_fit, 'REEL') AND deleted_at IS NULL",
         "secondary_pillar_containment": f"WITH {_ATOMS} SELECT DISTINCT id FROM a WHERE list_contains(secondary_pillars, 'PHILOSOPHY') AND lifecycle_state = 'ACTIVE'",
         "ingest_to_atoms": f"""WITH {_INGEST}, b AS (SELECT DISTINCT id, raw_ingest_id FROM content_atoms WHERE raw_ingest_id IS NOT NULL)
 SELECT source_type, count(*) AS atoms, count(DISTINCT raw_ingest_id) AS sources FROM b JOIN i ON b.raw_ingest_id = i.id GROUP BY source_type""",
@@ -238,7 +337,7 @@ SELECT source_type, count(*) AS atoms, count(DISTINCT raw_ingest_id) AS sources
         "unused_pairs": f"SELECT DISTINCT user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events u WHERE u.user_id = e.user_id AND u.event_type = e.event_type AND u.ts BETWEEN {end} - INTERVAL 10 DAY AND {end})",
         "rekeyed_regions": "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN '2' ELSE coalesce(r_name, CAST(n_regionkey AS VARCHAR)) END AS region FROM nation LEFT JOIN region ON n_regionkey = r_regionkey",
         "titles_known": f"""WITH {_RESERVOIR}, t AS (SELECT id, raw_title, source_author, status FROM r WHERE raw_title IS NOT NULL AND source_author IS NOT NULL)
-SELECT id, EXISTS (SELECT 1 FROM t o WHERE o.status <> 'AVAILABLE' AND o.source_author = n.source_author AND starts_with(o.raw_title, left(n.raw_title, 12))) AS known FROM t n WHERE status = 'AVAILABLE'""",
+SELECT id, EXISTS (SELECT 1 FROM t o WHERE o.status <> 'AVAILABLE' AND o.source_author = n.source_author AND starts_with(o.raw_title, regexp_replace(n.raw_title, '\\s*\\(Part \\d+/\\d+\\)$', ''))) AS known FROM t n WHERE status = 'AVAILABLE'""",
         "status_counts": f"WITH {_RESERVOIR} SELECT coalesce(status, 'UNKNOWN') AS value, count(*) AS rows FROM r GROUP BY 1",
         "source_type_counts": f"WITH {_RESERVOIR} SELECT source_type, count(*) AS rows FROM r WHERE status = 'AVAILABLE' GROUP BY 1",
         "window_counts": "WITH " + _WEEK.format(14) + " SELECT * FROM w",
