@@ -58,26 +58,33 @@ SELECT id FROM near UNION SELECT id FROM same
 """
 
 
-P7_FOUND = r"""
-WITH t AS (SELECT id, raw_text AS text FROM content_reservoir UNION ALL SELECT id, raw_content FROM raw_ingest),
-p AS (SELECT id, regexp_replace(text, '<[^<>\n]{1,300}>', ' ', 'g') AS plain FROM t WHERE length(text) >= 100),
-q AS (SELECT id, regexp_replace(plain, '[\x{A0}\x{2007}\x{202F}\x{3000}]', ' ', 'g') AS plain FROM p),
-f AS (SELECT id, plain, list_filter(string_split(regexp_replace(lower(plain), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws,
-  list_filter(list_transform(string_split(plain, chr(10)), lambda l: len(regexp_extract_all(l, '[^\s\v]+')) * 2 + CAST(regexp_matches(l, '[.!?…,;:]["''”’»)]{0,2}[ \t\r]*$') AS INTEGER)), lambda k: k > 1) AS ls FROM q),
-m AS (SELECT id, len(ws) AS n, length(array_to_string(ws, '')) AS alnum, length(regexp_replace(array_to_string(ws, ''), '[0-9]', '', 'g')) AS letters,
-  length(regexp_replace(plain, '[ \n\r\t]', '', 'g')) AS visible, len(list_filter(ws, lambda w: list_contains(@WORDS@, w))) AS common,
-  coalesce(list_sum(list_transform(ls, lambda k: k // 2)), 0) AS tokens, coalesce(list_sum(list_transform(ls, lambda k: CASE WHEN k >= 14 OR (k >= 5 AND k % 2 = 1) THEN k // 2 ELSE 0 END)), 0) AS prose FROM f)
-SELECT DISTINCT id AS item_id FROM m WHERE n = 0 OR common < 0.12 * n OR coalesce(prose / nullif(tokens, 0), 0) < 0.4 OR coalesce((visible - alnum) / nullif(visible, 0), 0) > 0.3
-  OR coalesce((alnum - letters) / nullif(visible, 0), 0) > 0.25 OR alnum / n NOT BETWEEN 2 AND 14
+P7_STATISTICS = r"""
+WITH t AS (SELECT id, raw_text AS text FROM content_reservoir UNION SELECT id, raw_content FROM raw_ingest),
+p AS (SELECT id, length(text) AS chars, regexp_replace(text, '<[^<>\n]+>', ' ', 'g') AS plain FROM t),
+q AS (SELECT id, chars, regexp_replace(plain, '[\x{A0}\x{2007}\x{202F}\x{3000}]', ' ', 'g') AS plain FROM p),
+f AS (SELECT *, list_filter(string_split(regexp_replace(lower(plain), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws, regexp_extract_all(plain, '[^\s\v]+') AS toks,
+  list_filter(list_transform(string_split(plain, chr(10)), lambda l: regexp_replace(l, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda l: l <> '') AS ls FROM q),
+m AS (SELECT id, chars, len(ws) AS words, len(ls) AS lines, len(toks) AS tokens, length(regexp_replace(plain, '[ \n\r\t]', '', 'g')) AS visible, len(list_filter(ws, lambda w: list_contains(@WORDS@, w))) AS common,
+  len(list_filter(toks, lambda k: regexp_matches(k, '[\p{L}\p{N}]'))) AS spelt, len(list_filter(toks, lambda k: regexp_matches(k, '\p{L}'))) AS alphabetic, len(regexp_extract_all(plain, '#|…|\.\.\.')) AS symbols,
+  len(list_filter(ls, lambda l: regexp_matches(l, '[.!?…:]["''”’»)]{0,2}$'))) AS ended, len(list_filter(ls, lambda l: regexp_matches(l, '^(?:[-–•*·☐›]|\[[ xX]?\]|#?\(?\d{1,3}[.)]?)[ \t]+[^\s\v]'))) AS bullets,
+  coalesce(list_sum(list_transform(list_filter(ls, lambda l: length(l) < 30), lambda l: length(regexp_replace(l, '[ \t\r]', '', 'g')))), 0) AS short FROM f),
+s AS (SELECT id AS item_id, CAST(chars AS INTEGER) AS chars, CAST(words AS INTEGER) AS words, CAST(lines AS INTEGER) AS lines, common, coalesce(visible / nullif(tokens, 0), 0) AS mean_word_length, coalesce(common / nullif(words, 0), 0) AS common_share,
+  coalesce(alphabetic / nullif(spelt, 0), 0) AS alphabetic_share, coalesce(symbols / nullif(tokens, 0), 0) AS symbol_ratio, coalesce(ended / nullif(lines, 0), 0) AS ended_share, coalesce(bullets / nullif(lines, 0), 0) AS bullet_share,
+  coalesce(CAST(short AS DOUBLE) / nullif(visible, 0), 0) AS short_share FROM m),
+v AS (SELECT *, CASE WHEN chars IS NULL THEN NULL WHEN chars >= 100 THEN list_filter([CASE WHEN mean_word_length NOT BETWEEN 3 AND 10 THEN 'word_length' END, CASE WHEN alphabetic_share < CAST(0.8 AS DOUBLE) THEN 'few_alphabetic_words' END,
+  CASE WHEN symbol_ratio > CAST(0.1 AS DOUBLE) THEN 'symbols' END, CASE WHEN bullet_share > CAST(0.9 AS DOUBLE) THEN 'bullets' END, CASE WHEN common < 2 THEN 'few_stop_words' END,
+  CASE WHEN ended_share < CAST(0.12 AS DOUBLE) AND short_share > CAST(0.67 AS DOUBLE) THEN 'short_lines_without_ends' END, CASE WHEN common_share < CAST(0.12 AS DOUBLE) THEN 'few_common_words' END], lambda x: x IS NOT NULL) ELSE CAST([] AS VARCHAR[]) END AS reasons FROM s)
 """
 
 
 def oracle_sql() -> dict[str, str]:
+    p7 = P7_STATISTICS.replace("@WORDS@", "[" + ", ".join(f"'{w}'" for w in all_words()) + "]")
     return {
         "p1_found": P1_FOUND,
         "p2_found": P2_FOUND,
         "p6_found": P6_FOUND,
-        "p7_found": P7_FOUND.replace("@WORDS@", "[" + ", ".join(f"'{w}'" for w in all_words()) + "]"),
+        "p7_found": p7 + "SELECT DISTINCT item_id FROM v WHERE len(reasons) > 0",
+        "p7_statistics": p7 + "SELECT * EXCLUDE (common), len(reasons) > 0 AS junk FROM (SELECT DISTINCT ON (item_id) * FROM v)",
         "p9_found": P9_FOUND,
         "p5_found": _P5 + "SELECT id FROM p WHERE position <= 3",
         "p5_ranked": _P5 + "SELECT pillar, batch_id, id, score, CAST(position AS BIGINT) AS position FROM p WHERE position <= 3",
