@@ -104,8 +104,8 @@ def collapse_blanks(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(one, r" +(?=\n|\z)", ""), r"\n{3,}", "\n\n")
 
 
-def cleaned(docs: DataFrame, id_col: str, text: str, pages: str | None = None) -> DataFrame:
-    """T1-T8 in order: ``cleaned``, ``removed`` (characters per step), ``removed_share``."""
+def cleaned(docs: DataFrame, id_col: str, text: str, pages: str | None = None, most_removed: float = 0.3) -> DataFrame:
+    """T1-T8 in order: ``cleaned``, ``removed`` (characters per step), ``removed_share``, ``cleaning_warnings``."""
     p = F.col(pages) if pages else F.lit(1)
     df = docs.withColumn("s0", F.col(text)).withColumn("s1", fix_encoding(F.col("s0"))).withColumn("s2", drop_page_numbers(F.col("s1")))
     df = drop_repeated_lines(df, id_col, "s2", out="s3")
@@ -118,7 +118,10 @@ def cleaned(docs: DataFrame, id_col: str, text: str, pages: str | None = None) -
     removed = F.map_filter(F.create_map(*pairs), lambda _, v: v > 0)
     final = stripped(F.col("s7"))
     share = F.when(F.length("s0") > 0, (F.length("s0") - F.length("cleaned")) / F.length("s0")).otherwise(F.lit(0.0))
-    return df.withColumn("cleaned", final).withColumn("removed", removed).withColumn("removed_share", share).drop(*[f"s{k}" for k in range(8)])
+    df = df.withColumn("cleaned", final).withColumn("removed", removed).withColumn("removed_share", share)
+    told = F.format_string(f"High removal rate: %.1f%% of text removed (threshold: {most_removed:.0%}%)", F.col("removed_share") * 100)
+    warnings = F.array_compact(F.array(F.when(F.col("removed_share") > most_removed, told)))
+    return df.withColumn("cleaning_warnings", warnings).drop(*[f"s{k}" for k in range(8)])
 
 
 def confidence(removed_share: Column, chars: Column, pages: Column, warnings: Column) -> Column:

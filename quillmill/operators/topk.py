@@ -22,6 +22,8 @@ def two_tier(primary: DataFrame, secondary: DataFrame, group: str, order: list[C
 
 def quota_sample(rows: DataFrame, group: str, key: str, quotas: dict[str, int]) -> DataFrame:
     """Per group its quota of rows, in the order of their keys' hashes (the same on every run)."""
+    if not quotas:
+        return rows.limit(0).withColumn("rank", F.lit(0))
     q = F.coalesce(F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])[F.col(group)], F.lit(0))
     # the largest quota is a literal, so that no more rows of a group are kept before the shuffle
     most = max(quotas.values(), default=0)

@@ -169,8 +169,10 @@ def opening_gate(s, d):
 
 
 def _scored(s, d) -> DataFrame:
-    gated = _chunks(s, d).filter(U.opening_gate(F.col("text")))
-    return S.axis_scores(gated, "text").select("doc_id", "chunk_index", "punch", "identity", "tension", "quotability", "novelty", "total")
+    # texts are judged where they are read; what is shuffled to count re-deliveries once is scores
+    gated = spread(table(s, d, "chunks")).filter(U.opening_gate(F.col("text")))
+    scored = S.axis_scores(gated, "text").select("doc_id", "chunk_index", "punch", "identity", "tension", "quotability", "novelty", "total")
+    return scored.dropDuplicates(["doc_id", "chunk_index"])
 
 
 @query

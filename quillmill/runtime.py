@@ -38,10 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut, lost executors do no harm."""
+    """Write a table to the shared folder and read it back: lineage is cut, lost executors do no harm.
+
+    The folder is deleted when the session's process ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
