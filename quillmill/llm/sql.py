@@ -65,11 +65,11 @@ q AS (SELECT id, chars, regexp_replace(plain, '[\x{A0}\x{2007}\x{202F}\x{3000}]'
 f AS (SELECT *, list_filter(string_split(regexp_replace(lower(plain), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws, regexp_extract_all(plain, '[^\s\v]+') AS toks,
   list_filter(list_transform(string_split(plain, chr(10)), lambda l: regexp_replace(l, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda l: l <> '') AS ls FROM q),
 m AS (SELECT id, chars, len(ws) AS words, len(ls) AS lines, len(toks) AS tokens, length(regexp_replace(plain, '[ \n\r\t]', '', 'g')) AS visible, len(list_filter(ws, lambda w: list_contains(@WORDS@, w))) AS common,
-  len(list_filter(toks, lambda k: regexp_matches(k, '[\p{L}\p{N}]'))) AS spelt, len(list_filter(toks, lambda k: regexp_matches(k, '\p{L}'))) AS alphabetic, len(regexp_extract_all(plain, '#|…|\.\.\.')) AS symbols,
+  len(list_filter(ws, lambda k: regexp_matches(k, '\p{L}'))) AS alphabetic, len(regexp_extract_all(plain, '#|…|\.\.\.')) AS symbols,
   len(list_filter(ls, lambda l: regexp_matches(l, '[.!?…:]["''”’»)]{0,2}$'))) AS ended, len(list_filter(ls, lambda l: regexp_matches(l, '^(?:[-–•*·☐›]|\[[ xX]?\]|#?\(?\d{1,3}[.)]?)[ \t]+[^\s\v]'))) AS bullets,
-  coalesce(list_sum(list_transform(list_filter(ls, lambda l: length(l) < 30), lambda l: length(regexp_replace(l, '[ \t\r]', '', 'g')))), 0) AS short FROM f),
+  coalesce(list_sum(list_transform(list_filter(string_split(plain, chr(10)), lambda l: length(regexp_replace(l, '^[ \t\r]+', '')) < 30), lambda l: length(regexp_replace(l, '[ \t\r]', '', 'g')))), 0) AS short FROM f),
 s AS (SELECT id AS item_id, CAST(chars AS INTEGER) AS chars, CAST(words AS INTEGER) AS words, CAST(lines AS INTEGER) AS lines, common, coalesce(visible / nullif(tokens, 0), 0) AS mean_word_length, coalesce(common / nullif(words, 0), 0) AS common_share,
-  coalesce(alphabetic / nullif(spelt, 0), 0) AS alphabetic_share, coalesce(symbols / nullif(tokens, 0), 0) AS symbol_ratio, coalesce(ended / nullif(lines, 0), 0) AS ended_share, coalesce(bullets / nullif(lines, 0), 0) AS bullet_share,
+  coalesce(alphabetic / nullif(words, 0), 0) AS alphabetic_share, coalesce(symbols / nullif(tokens, 0), 0) AS symbol_ratio, coalesce(ended / nullif(lines, 0), 0) AS ended_share, coalesce(bullets / nullif(lines, 0), 0) AS bullet_share,
   coalesce(CAST(short AS DOUBLE) / nullif(visible, 0), 0) AS short_share FROM m),
 v AS (SELECT *, CASE WHEN chars IS NULL THEN NULL WHEN chars >= 100 THEN list_filter([CASE WHEN mean_word_length NOT BETWEEN 3 AND 10 THEN 'word_length' END, CASE WHEN alphabetic_share < CAST(0.8 AS DOUBLE) THEN 'few_alphabetic_words' END,
   CASE WHEN symbol_ratio > CAST(0.1 AS DOUBLE) THEN 'symbols' END, CASE WHEN bullet_share > CAST(0.9 AS DOUBLE) THEN 'bullets' END, CASE WHEN common < 2 THEN 'few_stop_words' END,
