@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm.positions import first_positions
+from quillmill.operators.positions import first_positions
 from quillmill.llm.shingles import Hasher, buffers, distinct, mixed, words_of
 from quillmill.runtime import ship, staged
 

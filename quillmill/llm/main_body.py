@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common_words import WORDS
+from quillmill.llm.quality import MAX_BULLETS, MAX_SHORT, MAX_SYMBOLS, MIN_ALPHABETIC, MIN_COMMON, MIN_ENDED, MIN_STOPS, SHORT_LINE, WORD_LENGTH
 from quillmill.runtime import ship, staged
 
 ship(__name__)
@@ -604,13 +605,20 @@ def tree() -> Tree:
 
 
 def is_prose(b: Blocks, x: np.ndarray, pages: int) -> np.ndarray:
-    """Per page: the text-quality rules on the blocks at hand, prose lines and common words."""
+    """Per page: the rules of ``quality`` on the blocks at hand."""
     col = {name: i for i, name in enumerate(NAMES)}
-    words = x[:, col["words"]].astype(np.float64)
-    total = np.bincount(b.doc, words, pages)
-    prose = np.bincount(b.doc, words * ((words >= 7) | ((words >= 2) & (x[:, col["ends"]] > 0))), pages)
-    common = np.bincount(b.doc, words * x[:, col["common"]], pages)
-    return (total > 0) & (prose >= 0.4 * total) & (common >= 0.12 * total)
+    total = lambda v: np.bincount(b.doc, np.asarray(v, np.float64), pages)
+    share = lambda v, of: np.divide(v, of, out=np.zeros(pages), where=of > 0)
+    tokens = x[:, col["words"]].astype(np.float64)
+    visible = np.asarray(pc.utf8_length(b.bare)) - (tokens - 1)
+    common, words = total(tokens * x[:, col["common"]]), total(pc.count_substring_regex(b.low, r"[\p{L}\p{N}]+"))
+    lines, seen = total(np.ones(len(b))), total(visible)
+    bad = ~((share(seen, total(tokens)) >= WORD_LENGTH[0]) & (share(seen, total(tokens)) <= WORD_LENGTH[1]))
+    bad |= share(total(pc.count_substring_regex(b.low, r"\p{N}*\p{L}[\p{L}\p{N}]*")), words) < MIN_ALPHABETIC
+    bad |= share(total(pc.count_substring_regex(b.bare, r"#|…|\.\.\.")), total(tokens)) > MAX_SYMBOLS
+    bad |= (share(total(x[:, col["mark"]]), lines) > MAX_BULLETS) | (common < MIN_STOPS - 0.5) | (share(common, words) < MIN_COMMON)
+    short = np.where(np.asarray(pc.utf8_length(b.bare)) < SHORT_LINE, visible, 0)
+    return ~(bad | ((share(total(x[:, col["ends"]]), lines) < MIN_ENDED) & (share(total(short), seen) > MAX_SHORT)))
 
 
 def _classifier(model: Tree):

@@ -14,6 +14,12 @@ r AS (SELECT a, k FROM n WHERE k <> '' GROUP BY a, k HAVING count(DISTINCT id) >
 SELECT DISTINCT n.id AS item_id, CAST(line_no AS INTEGER) AS line_no FROM n JOIN r USING (a, k)
 """
 
+P1_CLEAN = P1_FOUND.replace("SELECT DISTINCT n.id AS item_id, CAST(line_no AS INTEGER) AS line_no FROM n JOIN r USING (a, k)", r""", h AS (SELECT DISTINCT n.id, line_no FROM n JOIN r USING (a, k)),
+x AS (SELECT DISTINCT ON (id) id, raw_text FROM content_reservoir),
+y AS (SELECT id, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) - 1 AS line_no FROM x),
+z AS (SELECT y.id, coalesce(string_agg(line, chr(10) ORDER BY y.line_no) FILTER (WHERE h.id IS NULL), '') AS clean_text FROM y LEFT JOIN h ON h.id = y.id AND h.line_no = y.line_no GROUP BY y.id)
+SELECT x.id, CAST(length(raw_text) AS INTEGER) AS chars_before, CAST(length(clean_text) AS INTEGER) AS chars_after, clean_text FROM x LEFT JOIN z ON z.id = x.id""")
+
 P2_FOUND = """
 SELECT id AS item_id, chunk_index FROM content_reservoir WHERE length(raw_text) > 6000
 UNION SELECT doc_id AS item_id, chunk_index FROM chunks WHERE length(text) > 6000
@@ -81,6 +87,7 @@ def oracle_sql() -> dict[str, str]:
     p7 = P7_STATISTICS.replace("@WORDS@", "[" + ", ".join(f"'{w}'" for w in all_words()) + "]")
     return {
         "p1_found": P1_FOUND,
+        "p1_clean": P1_CLEAN,
         "p2_found": P2_FOUND,
         "p6_found": P6_FOUND,
         "p7_found": p7 + "SELECT DISTINCT item_id FROM v WHERE len(reasons) > 0",

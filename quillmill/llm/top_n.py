@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.positions import first_positions
+from quillmill.operators.positions import first_positions
 
 
 def latest_rows(atoms: DataFrame) -> DataFrame:
