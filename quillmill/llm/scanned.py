@@ -550,7 +550,9 @@ def _pages(r: random.Random, words: list[str], by: dict) -> tuple[list[str], lis
     roman = r.random() < 0.1
     put = r.choice([lambda t, p: f"{t} | {p}", lambda t, p: f"{p} | {t}", lambda t, p: f"{t}   {p}", lambda t, p: f"{p}  {t}", lambda t, p: f"{t} — {p}", lambda t, p: t, lambda t, p: t])
     alone = r.choice([lambda p, q: f"{p}", lambda p, q: f"{p}", lambda p, q: f"{p}.", lambda p, q: f"- {p} -", lambda p, q: f"— {p} —", lambda p, q: f"Page {p} of {q}", lambda p, q: f"[{p}]", lambda p, q: f"p. {p}", lambda p, q: f"{p} / {q}"])
-    heads = r.choice([[title], [author], [title, author], [title.upper()], [author.upper(), title.upper()], [f"{author} — {title}"], [], [cap(2).upper()]])
+    at = r.randrange(len(words))
+    chapter = " ".join((words[at : at + r.randrange(2, 8)] or words[:3])).capitalize()
+    heads = r.choice([[chapter], [title, chapter], [title], [author], [title, author], [title.upper()], [author.upper(), title.upper()], [f"{author} — {title}"], [], [cap(2).upper()]])
     top, foot = r.random() < 0.7, r.random() < 0.5
     if not heads and not foot and r.random() < 0.7:
         foot = True
@@ -561,7 +563,7 @@ def _pages(r: random.Random, words: list[str], by: dict) -> tuple[list[str], lis
     if r.random() < 0.3:
         lines += [(noisy(f"Chapter {r.randrange(1, 30)}"), False), ("", False)]
         if r.random() < 0.5:
-            lines += [(noisy(cap(r.randrange(2, 5))), False), ("", False)]
+            lines += [(noisy(r.choice([chapter, cap(r.randrange(2, 5))])), False), ("", False)]
     for p in range(number, number + r.choice([1, 2, 3, 4, 5, 6, 8])):
         shown = romans[p % 16] if roman else str(p)
         if heads and top and not (p == number and r.random() < 0.3):
@@ -612,7 +614,7 @@ def furniture_tree(words: list[str], by: dict, pages: int = 450, seed: int = 3)
         ys.append(np.array([junk[i] for i in filled]))
     if not xs:
         xs, ys = [np.zeros((2, len(NAMES)), np.float32)], [np.zeros(2, bool)]
-    return Tree().fit(np.concatenate(xs), np.concatenate(ys), 12, 3)
+    return Tree().fit(np.concatenate(xs), np.concatenate(ys), 8, 8)
 
 
 # The whole

@@ -127,7 +127,7 @@ def test_scanned_pages(spark):
     line = "the careful habit follows another patient morning"
     body = [" ".join(words[k % 12 :] + words[: k % 12])[:52].rsplit(" ", 1)[0].removesuffix("well-meant").strip() for k in range(14)]
     page1 = ["On Habit | 12", *body, "because nobody asks the careful hab-"]
-    page2 = ["On Habit | 13", "it follows anothcr patient well-", "meant friend because nobody asks.", *body, "1938", "the c1oser silence", "ñ"]
+    page2 = ["On Habit | 13", "it follows anothcr patient well-", "meant friend because nobody asks.", *body[:7], "1938", *body[7:], "the c1oser silence", "ñ"]
     rows = [("a", "\n".join(page1 + page2), "On Habit", "Ann"), ("n", None, None, None), ("e", "", "", None), ("f", "\f\n\f", None, None), ("s", "word", None, None)]
     df = spark.createDataFrame(rows + rows[:1], "doc_id string, raw_text string, title string, author string")
     got = sorted(tuple(x) for x in P4.found_defects(df, clean, ["doc_id", "chunk_index"]).collect())
