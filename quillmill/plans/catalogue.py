@@ -25,7 +25,8 @@ from quillmill.plans.oracle import oracle_sql
 from quillmill.plans.pipeline import passages
 from quillmill.runtime import ship, spread, table
 from quillmill.operators.enrich import enriched, retry_after
-from quillmill.sources.text_files import archives
+from quillmill.sources.page_blocks import page_text
+from quillmill.sources.text_files import archives, text_blocks
 
 ship(__name__)
 
@@ -187,6 +188,14 @@ def elite_selection(s, d):
     return chosen.select("doc_id", "chunk_index", "total", "adjusted_total", F.array_join("axes", ",").alias("axes"))
 
 
+@query
+def elite_defaults(s, d):
+    """E1-E3 with all five axes and the default quotas, over shelves of many documents' chunks."""
+    place = F.concat_ws("-", "doc_id", F.lpad(F.col("chunk_index").cast("string"), 9, "0"))
+    shelves = _scored(s, d).withColumn("shelf", F.left("doc_id", F.lit(1))).withColumn("place", place)
+    return E.elite(shelves, "shelf", "place").select("shelf", "place", "total", "adjusted_total", F.array_join("axes", ",").alias("axes"))
+
+
 @query
 def elite_stats(s, d):
     gated = _chunks(s, d).select("doc_id", "chunk_index", U.opening_gate(F.col("text")).alias("passes"))
@@ -798,6 +807,26 @@ def body_previews(s, d):
     return _docs(s, d).select("doc_id", F.md5(M.preview(F.col("text"))).alias("preview_md5"))
 
 
+@query
+def page_blocks_in_order(s, d):
+    """Blocks of laid-out pages as text."""
+    li = table(s, d, "lineitem")
+    x0, y0 = F.col("l_quantity").cast("double"), (F.col("l_suppkey") * 7 % 800).cast("double")
+    blocks = li.select(
+        F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2 + 1).cast("int").alias("page_num"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_partkey") % 600).alias("x1"), (y0 + 10).alias("y1"),
+        F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), F.when(F.col("l_linenumber") % 5 == 0, 1).otherwise(0).alias("block_type"), F.concat_ws("-", "l_returnflag", F.col("l_linenumber").cast("string")).alias("text"),
+    )
+    return page_text(blocks).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+@query
+def block_files(s, d):
+    """Delimited files of addresses and pasted articles."""
+    t = _docs(s, d).filter("source is not null")
+    value = F.concat(F.lit("URL: "), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n-----\nno address here"))
+    return text_blocks(t.select(value.alias("value"))).select("url", F.md5("content").alias("content_md5"))
+
+
 @query
 def archive_round_trip(s, d):
     """Archives written from documents and read back."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillmill.functions import lexicons as L
+from quillmill.operators.elite import AXES
 from quillmill.plans import parameters as P
 
 
@@ -112,18 +113,18 @@ axes AS (SELECT doc_id, chunk_index, CAST(punch AS INTEGER) AS punch, CAST(ident
   CAST(novelty AS INTEGER) AS novelty, CAST(punch + identity + tension + quotability + novelty AS INTEGER) AS total FROM z)"""
 
 
-def _elite_ctes() -> str:
+def _elite_ctes(fill_to: int = 1, total: int = 60, edge: int = 0, axes: list[tuple[str, int, int]] = P.ELITE_AXES) -> str:
     """The greedy walk as one running count per axis."""
     out, last = [], "axes"
     out.append("e0 AS (SELECT *, CAST([] AS VARCHAR[]) AS lab FROM axes)")
-    for k, (name, quota, least) in enumerate(P.ELITE_AXES):
+    for k, (name, quota, least) in enumerate(axes):
         out.append(f"""e{k + 1} AS (SELECT * EXCLUDE (before) REPLACE (CASE WHEN before < {quota} AND {name} >= {least} THEN list_append(lab, '{name}') ELSE lab END AS lab) FROM (
   SELECT *, coalesce(sum(CASE WHEN len(lab) = 0 AND {name} >= {least} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY {name} DESC, chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM e{k}))""")
         last = f"e{k + 1}"
-    out.append(f"""fl AS (SELECT *, sum(CASE WHEN len(lab) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS n, len(lab) = 0 AND total >= 60 AND identity + tension >= 0 AS able FROM {last}),
+    out.append(f"""fl AS (SELECT *, sum(CASE WHEN len(lab) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS n, len(lab) = 0 AND total >= {total} AND identity + tension >= {edge} AS able FROM {last}),
 fr AS (SELECT *, row_number() OVER (PARTITION BY doc_id, able ORDER BY total DESC, chunk_index) AS k FROM fl),
-chosen AS (SELECT doc_id, chunk_index, total, CASE WHEN able AND k <= 1 - n THEN ['fill'] ELSE lab END AS lab FROM fr)""")
+chosen AS (SELECT doc_id, chunk_index, total, CASE WHEN able AND k <= {fill_to} - n THEN ['fill'] ELSE lab END AS lab FROM fr)""")
     return ",\n".join(out)
 
 
@@ -182,7 +183,7 @@ g AS (SELECT *, array_to_string(list_filter([{', '.join(f"CASE WHEN {n} NOT BETW
 _WEEK_20 = "CAST(o_orderdate AS DATE) >= DATE '1997-05-12' AND CAST(o_orderdate AS DATE) < DATE '1997-05-19'"
 
 # folds over the parts of a text, one step of all documents at a time
-_CONTENTS = rf"""b AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+_FOLD = rf"""b AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM source),
 l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS p FROM b),
 m AS (SELECT doc_id, p, x, regexp_matches(lower({_strip("x")}), '^(?:{_alt(L.TOC_START)})$') AS begins, regexp_matches(x, '^{L.TOC_LINE.replace(chr(39), chr(39) * 2)}$') AS entry, {_strip("x")} = '' AS blank FROM l),
 f AS (SELECT doc_id, p, x, begins AS inside, 0 AS strange, NOT begins AS keep FROM m WHERE p = 1
@@ -191,6 +192,23 @@ f AS (SELECT doc_id, p, x, begins AS inside, 0 AS strange, NOT begins AS keep FR
     CASE WHEN m.begins THEN 0 WHEN NOT f.inside THEN f.strange WHEN m.entry THEN 0 WHEN m.blank THEN f.strange ELSE f.strange + 1 END,
     NOT m.begins AND (NOT f.inside OR (NOT m.entry AND NOT m.blank AND f.strange + 1 >= 5))
   FROM f JOIN m ON m.doc_id = f.doc_id AND m.p = f.p + 1)"""
+_CONTENTS = "source AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), " + _FOLD
+_CUT_FRONT = f"""o AS (SELECT *, list_filter(range(0, len(ls)), lambda i: i < floor(len(ls) * CAST(0.15 AS DOUBLE)) AND regexp_matches(lower({_strip("ls[i + 1]")}), '^(?:{_alt(L.ACKNOWLEDGMENTS)})$'))[1] AS s FROM s4),
+q AS (SELECT *, list_filter(range(0, len(ls)), lambda i: i > s AND i < least(s + 50, len(ls)) AND regexp_matches(lower({_strip("ls[i + 1]")}), '{_alt(L.FRONT_CHAPTERS)}'))[1] AS e FROM o)"""
+_CLEANED = rf"""x AS (SELECT DISTINCT ON (doc_id) doc_id, raw_text AS s0, pages, warnings FROM extraction_results WHERE raw_text IS NOT NULL),
+s1 AS (SELECT *, {_FIXED.replace("translate(text,", "translate(s0,")} AS s1 FROM x),
+s2 AS (SELECT *, list_filter(string_split(s1, chr(10)), lambda x: NOT regexp_matches(x, '(?i)^(?:{_alt(L.PAGE_NUMBER_LINES)})$')) AS l2 FROM s1),
+k2 AS (SELECT *, list_transform(l2, lambda x: lower({_strip("x")})) AS keys FROM s2),
+j2 AS (SELECT *, list_filter(keys, lambda k: length(k) > 3 AND length(k) < 100 AND len({_words("k")}) < 10) AS able FROM k2),
+i2 AS (SELECT *, list_filter(list_distinct(able), lambda k: len(list_filter(able, lambda y: y = k)) >= 3) AS often FROM j2),
+s3 AS (SELECT doc_id, s0, s1, pages, warnings, l2, CASE WHEN len(l2) < 50 THEN l2 ELSE list_filter(l2, lambda x: NOT list_contains(often, lower({_strip("x")}))) END AS l3 FROM i2),
+source AS (SELECT doc_id, array_to_string(l3, chr(10)) AS text FROM s3), {_FOLD},
+folded AS (SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (WHERE keep), '') AS t FROM f GROUP BY doc_id),
+s4 AS (SELECT s3.*, string_split(CASE WHEN pages >= 10 THEN t ELSE array_to_string(l3, chr(10)) END, chr(10)) AS ls FROM s3 JOIN folded ON folded.doc_id = s3.doc_id), {_CUT_FRONT},
+s5 AS (SELECT doc_id, s0, s1, pages, warnings, l2, CASE WHEN len(ls) < 30 OR s IS NULL THEN ls ELSE list_concat(ls[1:s], ls[coalesce(e, s + 1) + 1:]) END AS l5 FROM q),
+h5 AS (SELECT *, list_filter(range(0, len(l5)), lambda i: i >= floor(len(l5) * CAST(0.85 AS DOUBLE)) AND regexp_matches(lower({_strip("l5[i + 1]")}), '^(?:{_alt(L.BACK_MATTER)})$')) AS hits FROM s5),
+s6 AS (SELECT *, array_to_string(CASE WHEN pages < 20 OR len(l5) < 100 OR len(hits) = 0 THEN l5 ELSE l5[1:hits[1]] END, chr(10)) AS s6 FROM h5),
+cleaned AS (SELECT doc_id, s0, pages, warnings, length(s1) - length(array_to_string(l2, chr(10))) AS numbers, {_strip(_COLLAPSED.replace(_FIXED, "s6"))} AS cleaned FROM s6)"""
 _PARAGRAPHS = rf"""b AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_strip("x")}), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(ps) AS x, generate_subscripts(ps, 1) - 1 AS p FROM b),
 m AS (SELECT doc_id, p, x, len({_words("x")}) AS w, regexp_extract(lower(x), '(?i){_alt(L.EARLY_CLOSE)}', 0) AS hit FROM l),
@@ -206,6 +224,20 @@ c AS (SELECT d.doc_id, d.k - 1 AS index, d.first, CASE WHEN k = n AND z.total <
 ch AS (SELECT c.doc_id, CAST(c.index AS INTEGER) AS index, CAST(words AS INTEGER) AS word_count, CAST(last - first + 1 AS INTEGER) AS paragraph_count, CAST(first AS INTEGER) AS start_paragraph, CAST(last AS INTEGER) AS end_paragraph, early AS closed_early, reason AS early_close_reason,
   md5(array_to_string(ps[first + 1:last + 1], chr(10) || chr(10))) AS text_md5 FROM c JOIN b ON b.doc_id = c.doc_id)"""
 
+_BOUNDS = (("900", "300"), ("1100", "400"), ("250", "60"))
+
+
+def _passages() -> str:
+    chunks, decision = _PARAGRAPHS.replace("FROM documents WHERE text IS NOT NULL", "FROM cl"), _DECISION
+    for a, b in _BOUNDS:
+        chunks = chunks.replace(f"< {a}", f"< {b}").replace(f">= {a}", f">= {b}")
+        decision = decision.replace(f"wc < {a}", f"wc < {b}").replace(f"wc > {a}", f"wc > {b}")
+    chunks = chunks.replace("md5(array_to_string(ps[first + 1:last + 1], chr(10) || chr(10))) AS text_md5", "array_to_string(ps[first + 1:last + 1], chr(10) || chr(10)) AS text")
+    return f"""WITH cl AS (WITH RECURSIVE {_CLEANED} SELECT doc_id, cleaned AS text FROM cleaned), pc AS (WITH RECURSIVE {chunks} SELECT doc_id, index AS chunk_index, text, word_count AS wc FROM ch),
+c AS (SELECT * FROM pc WHERE {decision} = 'PASS'), {_GATE}, {_AXES}, {_elite_ctes(15, 80, 50)},
+adj AS (SELECT *, total + CASE WHEN len(lab) >= 2 THEN 25 ELSE 0 END AS adjusted FROM chosen WHERE len(lab) > 0), placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY adjusted DESC, chunk_index) AS place FROM adj)
+SELECT placed.doc_id, placed.chunk_index AS index, wc AS word_count, total, CAST(adjusted AS INTEGER) AS adjusted_total, array_to_string(lab, ',') AS axes FROM placed JOIN pc ON pc.doc_id = placed.doc_id AND pc.chunk_index = placed.chunk_index WHERE place <= 35"""
+
 
 def oracle_sql() -> dict[str, str]:
     lines = "string_split(raw_text, chr(10))"
@@ -228,6 +260,11 @@ WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
 m AS (SELECT *, list_filter(range(0, len(ls)), lambda i: i < floor(len(ls) * CAST(0.15 AS DOUBLE)) AND regexp_matches(lower({_strip("ls[i + 1]")}), '^(?:{_alt(L.ACKNOWLEDGMENTS)})$'))[1] AS s FROM l),
 n AS (SELECT *, list_filter(range(0, len(ls)), lambda i: i > s AND i < least(s + 50, len(ls)) AND regexp_matches(lower({_strip("ls[i + 1]")}), '{_alt(L.FRONT_CHAPTERS)}'))[1] AS e FROM m)
 SELECT doc_id, md5(CASE WHEN len(ls) < 30 OR s IS NULL THEN text ELSE array_to_string(list_concat(ls[1:s], ls[coalesce(e, s + 1) + 1:]), chr(10)) END) AS cleaned_md5 FROM n""",
+        "cleaning_pipeline": f"""WITH RECURSIVE {_CLEANED}, r AS (SELECT *, CASE WHEN length(s0) > 0 THEN (length(s0) - length(cleaned)) / CAST(length(s0) AS DOUBLE) ELSE 0 END AS share, length(cleaned) / CAST(greatest(pages, 1) AS DOUBLE) AS per FROM cleaned)
+SELECT doc_id, CAST(length(cleaned) AS INTEGER) AS chars, CAST(greatest(numbers, 0) AS INTEGER) AS page_number_chars, round(share, 6) AS removed_share,
+  round(least(1.0, greatest(0.0, 1.0 - CASE WHEN share > CAST(0.3 AS DOUBLE) THEN CAST(0.3 AS DOUBLE) WHEN share > CAST(0.2 AS DOUBLE) THEN CAST(0.15 AS DOUBLE) WHEN share > CAST(0.1 AS DOUBLE) THEN CAST(0.05 AS DOUBLE) ELSE 0 END
+    - CASE WHEN per < 100 THEN CAST(0.4 AS DOUBLE) WHEN per < 500 THEN CAST(0.2 AS DOUBLE) ELSE 0 END - CAST(0.02 AS DOUBLE) * len(warnings))), 6) AS clean_confidence FROM r""",
+        "passage_pipeline": _passages(),
         "contents_fold": f"WITH RECURSIVE {_CONTENTS} SELECT doc_id, md5(coalesce(string_agg(x, chr(10) ORDER BY p) FILTER (WHERE keep), '')) AS cleaned_md5 FROM f GROUP BY doc_id",
         "chunk_paragraph_fold": f"WITH RECURSIVE {_PARAGRAPHS} SELECT * FROM ch",
         "chunk_stats": f"WITH RECURSIVE {_PARAGRAPHS} SELECT doc_id, count(*) AS chunks, CAST(sum(word_count) AS BIGINT) AS words, CAST(sum(paragraph_count) AS BIGINT) AS paragraphs, avg(word_count) AS avg_words, count(*) FILTER (WHERE closed_early) AS early FROM ch GROUP BY doc_id",
@@ -272,6 +309,10 @@ SELECT source_type, id, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= CASE
         "random_sample_hash": f"WITH {_RESERVOIR} SELECT id, source_type FROM r WHERE status = 'AVAILABLE' ORDER BY md5(id), id LIMIT 40",
         "video_keys": f"WITH {_INGEST}, v AS (SELECT id, source_url, coalesce({', '.join(f"nullif(regexp_extract(source_url, '{p.replace(chr(39), chr(39) * 2)}', 1), '')" for p in L.VIDEO_URLS)}) AS v FROM i WHERE source_url IS NOT NULL) SELECT id, CASE WHEN v IS NOT NULL THEN left(md5('youtube:' || v), 16) ELSE {_URL_KEY} END AS key FROM v",
         "body_previews": _docs_md5(r"""CASE WHEN regexp_extract(text, '(?m)^> "([^"]+)"', 1) <> '' THEN regexp_extract(text, '(?m)^> "([^"]+)"', 1) ELSE left(trim(regexp_replace(text, '[*_#>`]', '', 'g'), ' '), 150) END""").replace("cleaned_md5", "preview_md5"),
+        "page_blocks_in_order": """WITH b AS (SELECT l_orderkey AS doc_id, l_linenumber % 2 + 1 AS page_num, CAST(l_quantity AS DOUBLE) AS x0, CAST(l_suppkey * 7 % 800 AS DOUBLE) AS y0, CAST(l_quantity AS DOUBLE) + l_partkey % 600 AS x1, l_linenumber % 5 = 0 AS image, l_returnflag || '-' || l_linenumber AS text FROM lineitem)
+SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY page_num, CASE WHEN (x1 - x0) / 600 > CAST(0.7 AS DOUBLE) THEN 0 ELSE 1 END, y0, x0, text)) AS text_md5 FROM b WHERE NOT image AND y0 / 800 <= CAST(0.92 AS DOUBLE) GROUP BY doc_id""",
+        "block_files": f"""WITH t AS (SELECT 'https://' || source || '/' || doc_id AS url, {_strip(_ARTICLE.replace("(text,", "(chr(10) || text,"))} AS content FROM documents WHERE text IS NOT NULL AND source IS NOT NULL)
+SELECT url, md5(content) AS content_md5 FROM t WHERE len({_words("content")}) >= 50""",
         "archive_round_trip": "SELECT doc_id, 'https://' || source AS url, trim(title) AS title, trim(author) AS author_id, true AS valid FROM documents WHERE text IS NOT NULL AND title IS NOT NULL AND author IS NOT NULL AND source IS NOT NULL",
         "retry_hints": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderkey % 50 AS DOUBLE) + 1.0 WHEN 1 THEN CAST(o_orderkey % 900 AS DOUBLE) / 1000 + 0.5 END AS wait FROM orders",
         "enriched_stub": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, CASE WHEN wc <= 2000 THEN CAST(wc % 5 + 1 AS INTEGER) END AS level, wc > 2000 AS failed FROM c",
@@ -290,6 +331,9 @@ SELECT doc_id, CAST(part AS BIGINT) AS part, CAST(parts AS BIGINT) AS parts, md5
         "opening_gate": f"WITH {_CHUNKS}, {_GATE} SELECT doc_id, chunk_index, passes FROM gate",
         "axis_scores": f"WITH {_CHUNKS}, {_GATE}, {_AXES} SELECT * FROM axes",
         "elite_selection": _ELITE + " SELECT doc_id, chunk_index, total, CAST(total + CASE WHEN len(lab) >= 2 THEN 25 ELSE 0 END AS INTEGER) AS adjusted_total, array_to_string(lab, ',') AS axes FROM chosen WHERE len(lab) > 0",
+        "elite_defaults": f"""WITH {_CHUNKS}, {_GATE}, {_AXES.replace("axes AS (SELECT doc_id, chunk_index,", "axes AS (SELECT left(doc_id, 1) AS doc_id, doc_id || '-' || lpad(CAST(chunk_index AS VARCHAR), 9, '0') AS chunk_index,")}, {_elite_ctes(15, 80, 50, AXES)},
+adj AS (SELECT *, total + CASE WHEN len(lab) >= 2 THEN 25 ELSE 0 END AS adjusted FROM chosen WHERE len(lab) > 0), placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY adjusted DESC, chunk_index) AS place FROM adj)
+SELECT doc_id AS shelf, chunk_index AS place, total, CAST(adjusted AS INTEGER) AS adjusted_total, array_to_string(lab, ',') AS axes FROM placed WHERE place <= 35""",
         "elite_stats": _ELITE + """, ga AS (SELECT doc_id, count(*) FILTER (WHERE NOT passes) AS lost_at_gate, count(*) FILTER (WHERE passes) AS passed FROM gate GROUP BY doc_id),
 ch AS (SELECT doc_id, count(*) AS chosen FROM chosen WHERE len(lab) > 0 GROUP BY doc_id)
 SELECT ga.doc_id, lost_at_gate, passed - coalesce(chosen, 0) AS lost_in_ranking, coalesce(chosen, 0) AS chosen, coalesce(chosen, 0) < 2 AS low_yield FROM ga LEFT JOIN ch USING (doc_id)""",
