@@ -63,7 +63,7 @@ def core(token: str) -> str:
 def outputs(read: str, true: str) -> list[str]:
     """What each character read stands for, by the alignment of the two words."""
     out = [""] * len(read)
-    for tag, a, b, c, d in SequenceMatcher(None, read, true, False).get_opcodes():
+    for tag, a, b, c, d in SequenceMatcher(None, read, true, False).get_opcodes() if read else ():
         if tag == "equal":
             for k in range(b - a):
                 out[a + k] += read[a + k]
@@ -78,10 +78,7 @@ def outputs(read: str, true: str) -> list[str]:
                 out[0] = true[c:d] + out[0]
             else:
                 out[a - 1] += true[c:d]
-    if read[:1] and true and out[0] == true[: len(out[0])] and "".join(out) != true:
-        # letters put before the first character and then kept
-        out = [true[: true.index(read[0]) + 1] if read[0] in true else true] + out[1:]
-    return out if "".join(out) == true else [true] + [""] * (len(read) - 1)
+    return out
 
 
 class Editor:
@@ -421,6 +418,7 @@ _AFTER = re.compile(rf"^(\D.*?)(?:\s{{2,}}|\s+[|·•/—–]\s+)({_NUMBER})\.?$
 _BEFORE = re.compile(rf"^({_NUMBER})\.?(?:\s{{2,}}|\s+[|·•/—–]\s+)(.*\D)$")
 _ROMAN = re.compile(r"^[\W_]*(?:p(?:age|g)?\s*\.?\s*)?([ivxlcdm1|!]+)[\W_]*$")
 _WORTH = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+_FIGURE = re.compile(r"\d")
 _DIMS = 512
 
 
@@ -439,21 +437,34 @@ def _roman(s: str) -> int | None:
     return sum(-v if v < max(vals[k + 1 :], default=0) else v for k, v in enumerate(vals))
 
 
+_OTHER = re.compile(r"[^\w\n]+|[\d_]+")
+
+
 def _bare(s: str) -> str:
-    """Letters alone, figures and marks that are read for letters as those letters."""
-    s = s.lower().replace("0", "o").replace("5", "s").replace("1", "l").replace("6", "b").replace("!", "i").replace("|", "i")
-    return "".join(c for c in unicodedata.normalize("NFKD", s) if c.isalpha())
+    """Letters alone (and line feeds), figures and marks that are read for letters as those letters."""
+    s = s.lower()
+    for a, b in zip("0516!|", "oslbii"):
+        s = s.replace(a, b)
+    return _OTHER.sub("", s if s.isascii() else unicodedata.normalize("NFKD", s))
+
+
+def _name(s: str | None) -> str:
+    return _bare((s or "").replace("\n", " "))
 
 
 def _grams(texts: list[str]) -> np.ndarray:
     """Unit vectors of hashed character bigrams."""
-    out = np.zeros((len(texts), _DIMS), np.float32)
-    for i, t in enumerate(texts):
-        if t:
-            c = np.frombuffer(f"^{t}$".encode("utf-16-le"), np.uint16).astype(np.int64)
-            np.add.at(out[i], (c[:-1] * 31 + c[1:] * 7) % _DIMS, 1.0)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.maximum(norm, 1)
+    n = len(texts)
+    size = np.array([len(t.encode("utf-16-le")) // 2 for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-16-le"), np.uint16).astype(np.int64)
+    # a mark before and after every text
+    codes = np.insert(np.insert(codes, np.cumsum(size), 36), np.cumsum(size + 1) - size - 1, 94) if n else codes
+    row = np.repeat(np.arange(n), size + 2)
+    same = row[1:] == row[:-1]
+    key = row[1:] * _DIMS + (codes[:-1] * 31 + codes[1:] * 7) % _DIMS
+    out = np.bincount(key[same], minlength=n * _DIMS).reshape(n, _DIMS).astype(np.float32)
+    out[size == 0] = 0
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1)
 
 
 def page_features(lines: list[str], title: str | None, author: str | None) -> tuple[list[int], np.ndarray]:
@@ -469,15 +480,17 @@ def page_features(lines: list[str], title: str | None, author: str | None) -> tu
     usual = float(np.median(length))
     kind, value, text = np.zeros(n, np.float32), np.full(n, -1, np.int64), []
     rows = []
+    letters = [len(t) for t in _OTHER.sub("", "\n".join(strip)).split("\n")]
     for k, s in enumerate(strip):
-        m = _ALONE.match(s)
+        figures = len(_FIGURE.findall(s))
+        m = _ALONE.match(s) if figures else None
         v = _value(m[1]) if m else None
         rest = "" if v is not None else s
         if v is not None:
             kind[k] = 2 if _DRESSED.search(s) else 1
         elif (v := _roman(s)) is not None:
             kind[k], rest = 3, ""
-        else:
+        elif figures:
             m = _AFTER.match(s) or _BEFORE.match(s)
             if m:
                 a, b = (m[1], m[2]) if m.re is _AFTER else (m[2], m[1])
@@ -485,9 +498,9 @@ def page_features(lines: list[str], title: str | None, author: str | None) -> tu
                 if v is not None:
                     kind[k], rest = 4, a
         value[k] = -1 if v is None else v
-        text.append(_bare(rest))
-        figures, letters = sum(c.isdigit() for c in s), sum(c.isalpha() for c in s)
-        rows.append((s.count(" ") + 1, len(s), len(s) / usual, figures / len(s), letters, s.isupper(), s[-1] in ".,?!;:”\"’", s[0].islower(), s[-1] in MARKS))
+        text.append(rest)
+        rows.append((s.count(" ") + 1, len(s), len(s) / usual, figures / len(s), letters[k], s.isupper(), s[-1] in ".,?!;:”\"’", s[0].islower(), s[-1] in MARKS))
+    text = _bare("\n".join(text)).split("\n")
     x[:, :9] = rows
     x[:, col["kind"]] = kind
     at = np.array(filled)
@@ -515,7 +528,7 @@ def page_features(lines: list[str], title: str | None, author: str | None) -> tu
     x[:, col["from_start"]] = np.arange(n)
     x[:, col["from_end"]] = np.arange(n)[::-1]
     grams = _grams(text)
-    names = [_bare(title or ""), _bare(author or ""), _bare((author or "") + (title or "")), _bare((title or "") + (author or ""))]
+    names = [_name(title), _name(author), _name(author) + _name(title), _name(title) + _name(author)]
     to = grams @ _grams(names).T
     x[:, col["title"]] = to.max(1)
     x[:, col["author"]] = to[:, 1]
@@ -620,6 +633,9 @@ def furniture_tree(words: list[str], by: dict, pages: int = 450, seed: int = 3)
 # The whole
 
 
+_LETTER = re.compile(r"[^\W\d_]")
+
+
 class Page:
     """A scan's lines told apart: furniture, words of body lines, words divided at line ends."""
 
@@ -653,7 +669,7 @@ class Page:
                     continue
                 full = tok.lstrip(LEAD).lower()
                 low = full.rstrip(TRAIL)
-                if any(c.isalpha() for c in low) and low not in names:
+                if (low.isalpha() or _LETTER.search(low)) and low not in names:
                     at = self.words.setdefault(full, [])
                     if not at or at[-1] != i:
                         at.append(i)
