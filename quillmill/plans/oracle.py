@@ -345,6 +345,11 @@ c AS (SELECT label, list(m ORDER BY i) AS m FROM q GROUP BY label),
 s AS (SELECT vec_id, u.label, list_inner_product(v, m) / sqrt(list_inner_product(m, m)) AS cosine FROM u JOIN c ON u.label = c.label)
 SELECT vec_id, label, round(cosine, 6) AS cosine, CAST(trunc(greatest(0.0, least(100.0, 20.0 + (1.0 - cosine) * 100))) AS INTEGER) AS novelty FROM s""",
         "dedup_first_wins": f"WITH {_INGEST} SELECT id FROM i WHERE raw_content IS NULL UNION ALL SELECT min(id) AS id FROM i WHERE raw_content IS NOT NULL GROUP BY md5(raw_content)",
+        "admission_two_keys": f"""WITH RECURSIVE {_INGEST}, o AS (SELECT id, md5(raw_content) AS c, nullif(source_identifier, '') AS s, row_number() OVER (ORDER BY id) AS n FROM i WHERE raw_content IS NOT NULL),
+w AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS id, false AS taken, CAST([] AS VARCHAR[]) AS cs, CAST([] AS VARCHAR[]) AS ss
+  UNION ALL SELECT n, id, fresh, CASE WHEN fresh THEN list_append(cs, c) ELSE cs END, CASE WHEN fresh AND s IS NOT NULL THEN list_append(ss, s) ELSE ss END
+  FROM (SELECT o.n, o.id, c, s, cs, ss, NOT list_contains(cs, c) AND NOT coalesce(list_contains(ss, s), false) AS fresh FROM w JOIN o ON o.n = w.n + 1))
+SELECT id FROM w WHERE taken""",
         "admission_against_history": f"""WITH {_INGEST}, k AS (SELECT id, status, md5(raw_content) AS c, {_URL_KEY} AS u FROM i)
 SELECT id FROM k WHERE status = 'PENDING' AND NOT EXISTS (SELECT 1 FROM k h WHERE h.status <> 'PENDING' AND h.c = k.c) AND NOT EXISTS (SELECT 1 FROM k h WHERE h.status <> 'PENDING' AND h.u = k.u)""",
         "reservoir_transfer": f"WITH {_RESERVOIR} SELECT id, concat_ws(':', 'reservoir', source_id, CAST(chunk_index AS VARCHAR)) AS source_identifier, 'PENDING' AS status, times_used + 1 AS times_used FROM r WHERE source_type IN ('BOOK', 'BLOG', 'YOUTUBE')",
