@@ -32,6 +32,8 @@ ship(__name__)
 WORDS = 13
 MAX_ITEM_CHARS = 4_000_000
 MASK_BITS = 24
+#: Hits that are held at once (those of one document are held together); a passage that many items share may have many.
+MAX_HITS = 4_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -108,6 +110,16 @@ class Index:
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
         if not len(at):
             return []
+        # documents in groups of at most MAX_HITS hits
+        doc = np.searchsorted(offsets, at, "right") - 1
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        hits = np.add.reduceat(n, first)
+        group = np.repeat((np.cumsum(hits) - hits) // MAX_HITS, np.diff(np.r_[first, len(at)]))
+        cuts = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1, len(at)]
+        return [pair for a, b in zip(cuts, cuts[1:]) for pair in self._met(flat, offsets, at[a:b], lo[a:b], n[a:b])]
+
+    def _met(self, flat: np.ndarray, offsets: np.ndarray, at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
+        """The verified pairs of whole documents' probes: their places, first entries in the index and numbers of entries."""
         rep = np.repeat(np.arange(len(at)), n)
         idx = lo[rep] + (np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n))
         p, d = self.pos[idx], at[rep]

@@ -102,7 +102,9 @@ def test_two_batches_equal_one_run(spark, tmp_path):
     assert P6.stored(spark, path).select("id").distinct().count() == P6.pivot_table(df).select("id").distinct().count()
 
 
-def test_leaks(spark):
+@pytest.mark.parametrize("hits", [1, 4_000_000])
+def test_leaks(spark, monkeypatch, hits):
+    monkeypatch.setattr(P9, "MAX_HITS", hits)
     r = random.Random(7)
     vocab = ["a", "I", "über", "habit", "x1", "the", "morning", "of", "ß"]
     say = lambda n: [r.choice(vocab) for _ in range(n)]
