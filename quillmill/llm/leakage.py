@@ -33,7 +33,7 @@ WORDS = 13
 MAX_ITEM_CHARS = 4_000_000
 MASK_BITS = 24
 #: Hits that are held at once (those of one document are held together); a passage that many items share may have many.
-MAX_HITS = 4_000_000
+MAX_HITS = 250_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -75,7 +75,7 @@ class Index:
             return
         # the shortest run of so many words (blanks at both ends included) bounds q and the step
         # k edited words leave one of k + 1 stretches with its share of the words untouched
-        whole = -(-(words - k) // (k + 1))
+        self.whole = whole = -(-(words - k) // (k + 1))
         shortest = min(self._shortest(t, whole) for t in self.texts)
         self.q = max(8, min(32, (shortest // 2 if k == 0 else shortest) // 8 * 8))
         # such a stretch holds so many q-grams, and a probe at every step-th position meets `probes` of them
@@ -152,15 +152,18 @@ class Index:
             sides = [(t[1:-1].split(b" "), np.flatnonzero(np.frombuffer(t, np.uint8) == 32)) for t in (text, item)]
         for d, p in sorted(hits):
             d, p = d - int(offsets[dn]), p - int(self.starts[i])
-            if self.k == 0:
-                if done.get(d - p, -1) >= d:
-                    continue  # the run of this diagonal was looked at
-                a, b = self._run(text, item, d, p)
-                done[d - p] = b
-                if text[a:b].count(b" ") - 1 >= self.words:
-                    return True
-            elif self._aligned(*sides, d, p, tried):
+            if done.get(d - p, -1) >= d:
+                continue  # the run of this diagonal was looked at
+            a, b = self._run(text, item, d, p)
+            done[d - p] = b
+            run = text[a:b].count(b" ") - 1
+            if run >= self.words:
                 return True
+            # one stretch of a run with edits is this long, and its own probes lead here
+            if self.k and run >= self.whole:
+                a += text[a:b].index(b" ")
+                if self._aligned(*sides, a, a - (d - p), run, tried):
+                    return True
         return False
 
     @staticmethod
@@ -175,11 +178,11 @@ class Index:
         bad = np.flatnonzero(x != y)
         return a, d + (int(bad[0]) if len(bad) else m)
 
-    def _aligned(self, text: tuple[list[bytes], np.ndarray], item: tuple[list[bytes], np.ndarray], d: int, p: int, tried: set[tuple[int, int]]) -> bool:
-        """Whether a run of ``words`` of the item's words around p aligns with the text in at most k word edits."""
+    def _aligned(self, text: tuple[list[bytes], np.ndarray], item: tuple[list[bytes], np.ndarray], d: int, p: int, run: int, tried: set[tuple[int, int]]) -> bool:
+        """Whether ``words`` of the item's words that share a stretch of the common run from p align with the text in at most k word edits."""
         (tw, tb), (iw, ib) = text, item
         ip, tp = int(np.searchsorted(ib, p, "right")) - 1, int(np.searchsorted(tb, d, "right")) - 1
-        for s in range(max(0, ip - self.words + 1), min(ip, len(iw) - self.words) + 1):
+        for s in range(max(0, ip + self.whole - self.words), min(ip + run - self.whole, len(iw) - self.words) + 1):
             q = iw[s : s + self.words]
             lo = max(0, tp - (ip - s) - self.k)
             if (s, lo) in tried:
