@@ -147,9 +147,7 @@ class Index:
         item = self.texts[i]
         done: dict[int, int] = {}
         tried: set[tuple[int, int]] = set()
-        if self.k:
-            # the words of both sides, and the places of the blanks in front of them
-            sides = [(t[1:-1].split(b" "), np.flatnonzero(np.frombuffer(t, np.uint8) == 32)) for t in (text, item)]
+        sides: list[tuple[list[bytes], np.ndarray]] = []
         for d, p in sorted(hits):
             d, p = d - int(offsets[dn]), p - int(self.starts[i])
             if done.get(d - p, -1) >= d:
@@ -162,6 +160,8 @@ class Index:
             # one stretch of a run with edits is this long, and its own probes lead here
             if self.k and run >= self.whole:
                 a += text[a:b].index(b" ")
+                # the words of both sides, and the places of the blanks in front of them
+                sides = sides or [(t[1:-1].split(b" "), np.flatnonzero(np.frombuffer(t, np.uint8) == 32)) for t in (text, item)]
                 if self._aligned(*sides, a, a - (d - p), run, tried):
                     return True
         return False
